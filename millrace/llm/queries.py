@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, media, mixing, packing, quality, simhash, toxicity
+from millrace.llm import bpe, chat, media, mixing, packing, quality, secrets, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_table(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(_table(spark, sf_dir, "documents"), secrets.default_forest(spark))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(_table(spark, sf_dir, "documents"))
 
@@ -58,7 +63,8 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op4_source_mixing, op5_quality_rules, op6_token_counts, op7_simhash, op8_chat_formatting, op9_best_fit_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op3_secret_scan, op4_source_mixing, op5_quality_rules, op6_token_counts, op7_simhash, op8_chat_formatting, op9_best_fit_packing)}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 WORD_COUNT = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 

@@ -173,8 +173,18 @@ def links(classes: DataFrame, budget: int) -> DataFrame:
 
 
 def fingerprints(documents: DataFrame, width: int = 3, parts: int = 1) -> DataFrame:
-    """(doc_id, prints), worked out once and kept in the checkpoint folder."""
-    return cut(documents.select("doc_id", fingerprint_column(width, parts)(text_of()).alias("prints")))
+    """(doc_id, text_key, prints, vertex), worked out once and kept in the checkpoint folder. A vertex is a set of equal prints."""
+    prints = documents.select("doc_id", F.xxhash64("text").alias("text_key"), fingerprint_column(width, parts)(text_of()).alias("prints"))
+    return cut(prints.withColumn("vertex", F.col("prints")[0] if parts == 1 else F.xxhash64("prints")))
+
+
+def grouped(prints: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
+    """(vertex, component), and per component the first document as ``best``: least doc_id, null last, then least text_key."""
+    first = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_key")
+    classes = cut(prints.groupBy("vertex").agg(F.first("prints").alias("prints"), F.min(first).alias("least")))
+    member = connected_components(links(classes, budget)).withColumnRenamed("vertex", "v")
+    placed = classes.select("vertex", "least").join(member, F.col("vertex") == F.col("v"), "left").select("vertex", "least", F.coalesce("component", "vertex").alias("component"))
+    return placed.select("vertex", "component"), placed.groupBy("component").agg(F.min("least").alias("best"))
 
 
 def near_duplicates(documents: DataFrame, width: int = 3, budget: int = 2, parts: int = 1) -> DataFrame:
@@ -186,14 +196,24 @@ def near_duplicates(documents: DataFrame, width: int = 3, budget: int = 2, parts
     Repeated rows stay. An empty table gives no rows; other columns are ignored.
     """
     prints = fingerprints(documents, width, parts)
-    vertex = F.col("prints")[0] if parts == 1 else F.xxhash64("prints")
-    keyed = prints.withColumn("vertex", vertex)
-    classes = cut(keyed.groupBy("vertex").agg(F.first("prints").alias("prints"), F.min("doc_id").alias("least")))
-    member = connected_components(links(classes, budget)).withColumnRenamed("vertex", "v")
-    placed = classes.select("vertex", "least").join(member, F.col("vertex") == F.col("v"), "left").select("vertex", "least", F.coalesce("component", "vertex").alias("component"))
-    best = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = placed.select("vertex", "component").join(best, "component").select(F.col("vertex").alias("v"), "component_id")
-    return keyed.join(names, F.col("vertex") == F.col("v")).select("doc_id", "prints", "component_id")
+    placed, best = grouped(prints, budget)
+    names = placed.join(best, "component").select(F.col("vertex").alias("v"), F.col("best.doc_id").alias("component_id"))
+    return prints.join(names, F.col("vertex") == F.col("v")).select("doc_id", "prints", "component_id")
+
+
+def one_of_each(documents: DataFrame, width: int = 5, budget: int = 3, parts: int = 8) -> DataFrame:
+    """``documents`` with one row of each group of near-duplicates: the least doc_id (null last), the rest of its group goes.
+
+    Eight fingerprints of five-word shingles, each of remixed hashes, are compared: documents whose shingles are 95 %
+    the same have a chance of about 0.95 to come within 3 bits in one of them, at 98 % it is over 0.99. Rows that are
+    repeated as a whole are one row afterwards.
+    """
+    prints = fingerprints(documents, width, parts)
+    _, best = grouped(prints, budget)
+    chosen = best.select(F.col("best.doc_id").alias("_doc_id"), F.col("best.text_key").alias("_text_key"))
+    keyed = documents.withColumn("_key", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_key") == F.col("_text_key"))
+    return keyed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
 
 
 def near_duplicate_table(documents: DataFrame) -> DataFrame:
