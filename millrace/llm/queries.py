@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, media, mixing, packing, quality, secrets, simhash, toxicity
+from millrace.llm import bpe, chat, media, mixing, packing, quality, secrets, simhash, suffix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,7 +63,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op3_secret_scan, op4_source_mixing, op5_quality_rules, op6_token_counts, op7_simhash, op8_chat_formatting, op9_best_fit_packing)}
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.without_repeats(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op3_secret_scan, op4_source_mixing, op5_quality_rules, op6_token_counts, op7_simhash, op8_chat_formatting, op9_best_fit_packing, op10_repeated_passages)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 WORD_COUNT = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
