@@ -1,8 +1,8 @@
 """All registered queries by name."""
 
-from millrace.queries import sequences, statistics, testing, texts
+from millrace.queries import lookups, sequences, statistics, testing, texts
 
-_REGISTRIES = (sequences.R, statistics.R, testing.R, texts.R)
+_REGISTRIES = (sequences.R, statistics.R, testing.R, texts.R, lookups.R)
 QUERIES, SQL = {}, {}
 for _r in _REGISTRIES:
     if twice := QUERIES.keys() & _r.queries.keys():
