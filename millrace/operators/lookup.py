@@ -202,4 +202,4 @@ def convex_hull(df: DataFrame, x: str, y: str, by: Cols = ()) -> DataFrame:
         return pd.DataFrame([(*k, i, *p) for i, p in enumerate(hull_of(list(zip(g["x"], g["y"]))))], columns=[*by, "nth", "x", "y"])
 
     small = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).mapInPandas(share, schema)
-    return small.groupBy(*by).applyInPandas(whole, schema) if by else small.groupBy(F.lit(0)).applyInPandas(lambda k, g: whole((), g), schema)
+    return small.groupBy(*by).applyInPandas(whole, schema) if by else small.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda k, g: whole((), g), schema)
