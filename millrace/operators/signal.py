@@ -258,7 +258,7 @@ def cubic_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def minimise(f, grad, x0, memory: int = 10, rounds: int = 500, tol: float = 1e-8) -> np.ndarray:
-    """Limited-memory BFGS with backtracking; f and grad may be Spark aggregates."""
+    """Limited-memory BFGS with a Wolfe line search; f and grad may be Spark aggregates."""
     x = np.asarray(x0, float)
     fx, g, past = f(x), np.asarray(grad(x)), []
     for _ in range(rounds):
@@ -274,11 +274,17 @@ def minimise(f, grad, x0, memory: int = 10, rounds: int = 500, tol: float = 1e-8
             q *= s @ y / (y @ y)
         for (s, y), a in zip(past, reversed(kept)):
             q += s * (a - y @ q / (y @ s))
-        step, slope = 1.0, -(g @ q)
-        while step > 1e-14 and f(x - step * q) > fx + 1e-4 * step * slope:
-            step /= 2
-        new = x - step * q
-        g_new = np.asarray(grad(new))
+        step, slope, low, high = 1.0, -(g @ q), 0.0, math.inf
+        for _ in range(60):  # weak Wolfe conditions by bisection
+            new = x - step * q
+            g_new = np.asarray(grad(new))
+            if f(new) > fx + 1e-4 * step * slope:
+                high = step
+            elif -(g_new @ q) < 0.9 * slope:
+                low = step
+            else:
+                break
+            step = 2 * low if high == math.inf else (low + high) / 2
         s, y = new - x, g_new - g
         if s @ y > 1e-12:
             past = [*past[-memory + 1 :], (s, y)]
