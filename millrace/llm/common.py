@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
@@ -33,3 +33,15 @@ def key_hash(*columns: str | Column) -> Column:
     """60 bits of an MD5 over the columns' text; SQL engines other than Spark can compute it too."""
     parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\x00null")) for c in columns]
     return F.conv(F.substring(F.md5(F.concat_ws("\x01", *parts)), 1, 15), 16, 10).cast("long")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import key_hash, text_of, word_count
+from millrace.llm.common import fresh, key_hash, text_of, word_count
 from millrace.plans.storage import cut
 
 WEIGHTS = (5, 2, 1)
@@ -75,9 +75,13 @@ def plan_mix(sized: DataFrame) -> DataFrame:
     return cut(thresholds(sized, cut(source_targets(sizes))))
 
 
-def _times(documents: DataFrame, plan: DataFrame) -> DataFrame:
-    rule = plan.select(F.col("source").alias("_source"), *(F.col(c).alias(f"_{c}") for c in ("source_size", "target", "copies", "cutoff")))
-    return documents.join(rule, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_times", F.col("_copies") + F.when(F.col("_h") < F.col("_cutoff"), 1).otherwise(0))
+def _with_rule(documents: DataFrame, plan: DataFrame, h: str) -> tuple[DataFrame, dict[str, str]]:
+    """``documents`` joined with its source's rule, and how often each is taken, under names that do not clash."""
+    columns = ("source", "source_size", "target", "copies", "cutoff", "times")
+    name = dict(zip(columns, fresh(documents, *(f"_{c}" for c in columns))))
+    rule = plan.select(*(F.col(c).alias(name[c]) for c in columns[:-1]))
+    rows = documents.join(rule, documents["source"].eqNullSafe(F.col(name["source"])), "left")
+    return rows.withColumn(name["times"], F.col(name["copies"]) + F.when(F.col(h) < F.col(name["cutoff"]), 1).otherwise(0)), name
 
 
 def mix_table(documents: DataFrame) -> DataFrame:
@@ -87,12 +91,13 @@ def mix_table(documents: DataFrame) -> DataFrame:
     their hash and so their fate. Where there are no words at all every target is 0. An empty table gives no rows.
     """
     sized = sized_documents(documents)
-    rows = _times(sized.withColumnRenamed("h", "_h"), plan_mix(sized))
-    return rows.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * F.col("_times")).alias("taken"))
+    rows, name = _with_rule(sized, plan_mix(sized), "h")
+    return rows.select("doc_id", "size", F.col(name["source_size"]).alias("source_size"), F.col(name["target"]).alias("target"), (F.col("size") * F.col(name["times"])).alias("taken"))
 
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The mix itself, in the columns of ``documents``: rows are repeated, kept once or left out."""
     plan = plan_mix(sized_documents(documents))
-    rows = _times(documents.withColumn("_h", key_hash("doc_id")), plan)
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int")))).select(*documents.columns)
+    h, copy = fresh(documents, "_h", "_copy")
+    rows, name = _with_rule(documents.withColumn(h, key_hash("doc_id")), plan, h)
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(name["times"]).cast("int")))).select(*documents.columns)

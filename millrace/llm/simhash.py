@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import text_of
+from millrace.llm.common import fresh, text_of
 from millrace.operators.components import connected_components
 from millrace.plans.storage import cut
 
@@ -210,10 +210,11 @@ def one_of_each(documents: DataFrame, width: int = 5, budget: int = 3, parts: in
     """
     prints = fingerprints(documents, width, parts)
     _, best = grouped(prints, budget)
-    chosen = best.select(F.col("best.doc_id").alias("_doc_id"), F.col("best.text_key").alias("_text_key"))
-    keyed = documents.withColumn("_key", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_key") == F.col("_text_key"))
-    return keyed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
+    own_key, doc, key = fresh(documents, "_key", "_doc_id", "_text_key")
+    chosen = best.select(F.col("best.doc_id").alias(doc), F.col("best.text_key").alias(key))
+    keyed = documents.withColumn(own_key, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own_key) == F.col(key))
+    return keyed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", own_key]).drop(own_key)
 
 
 def near_duplicate_table(documents: DataFrame) -> DataFrame:

@@ -1,0 +1,422 @@
+"""Operators on a small table of awkward rows, against plain versions of what they should give."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import bpe, chat, media, mixing, packing, quality, secrets, simhash, suffix, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Columns that operators might want to use themselves.
+CLASH = ("_h", "_key", "_copy", "_times", "_source", "media", "part", "vertex", "prints", "h", "size", "words", "shard", "t")
+
+
+def awkward_rows():
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    base = prose(120)
+    rows = [(0, base), (1, base), (2, base + " more"), (3, None), (4, ""), (5, "   \n\t "), (6, "one"), (7, "é漢字🙂 naïve " * 30), (8, prose(9000)), (9, "The The " * 60), (10, "a | b | c\n" * 40)]
+    rows += [(11, "line one is here\n" * 6 + prose(40)), (None, prose(50)), (None, prose(50)), (12, 'token = "' + hashlib.sha1(b"x").hexdigest() + '" ' + prose(30)), (13, "x" * 5000), (14, prose(30) + "\x0b\x0c\r\n\x85 end")]
+    rows += [(20 + i, prose(rng.randint(1, 200))) for i in range(40)]
+    rows += [(20, rows[-40][1])]  # the same row again
+    sources = ["a", "b", "c", None, "a", "a"]
+    return [(i, t, "en", sources[k % 6], len(t or "")) for k, (i, t) in enumerate(rows)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return awkward_rows()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    return df.select("*", *(F.lit("clash").alias(c) for c in CLASH)).cache()
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def collected(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_empty_tables(spark, none):
+    import public_tokenizers
+
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    forest = [0.0]
+    for df in (media.media_digests(none), toxicity.toxicity_table(none, labels), secrets.findings(none, forest), mixing.mix_table(none), quality.quality_table(none), bpe.token_counts(none, public_tokenizers.path("word_bpe_49k.json")), simhash.near_duplicate_table(none), packing.pack_documents(none), suffix.without_repeats(none), quality.kept_documents(none), simhash.one_of_each(none), secrets.redacted(none, forest), mixing.mixed_documents(none), chat.read_back(chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))):
+        assert df.count() == 0
+
+
+def test_media(docs, rows):
+    got = {(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in media.media_digests(docs).collect()}
+    want = set()
+    for i, t, *_ in rows:
+        raw = (t or "").encode()
+        padded = raw + bytes(64 * max(1, -(-len(raw) // 64)) - len(raw))
+        want.add((i, len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:])))
+    assert got == want and media.media_digests(docs).count() == len(rows)
+
+
+def test_png_of_every_filter_and_damage():
+    rng = np.random.default_rng(1)
+    image = rng.integers(0, 256, (50, 64), dtype=np.uint8)
+    for _ in range(10):
+        kinds = rng.integers(0, 5, 50)
+        filtered = np.empty((50, 65), np.uint8)
+        for y, k in enumerate(kinds):
+            row, up = image[y].astype(int), image[y - 1].astype(int) if y else np.zeros(64, int)
+            a, c = np.r_[0, row[:-1]], np.r_[0, up[:-1]]
+            p = a + up - c
+            near = np.where((abs(p - a) <= abs(p - up)) & (abs(p - a) <= abs(p - c)), a, np.where(abs(p - up) <= abs(p - c), up, c))
+            filtered[y] = np.r_[k, (row - [0 * a, a, up, (a + up) // 2, near][k]) % 256]
+        assert (media.unfilter(filtered) == image).all()
+    data = media.encode_png(image.tobytes())
+    assert media.decode_png(data).tobytes() == image.tobytes()
+    for place in (3, 20, 45, len(data) - 20, len(data) - 6):
+        broken = bytearray(data)
+        broken[place] ^= 1
+        with pytest.raises(media.MediaError):
+            media.decode_png(bytes(broken))
+    with pytest.raises(media.MediaError):
+        media.decode_png(data[:-5])
+    assert media.cosine_hash(image) == media.cosine_hash(image.copy())
+
+
+def test_quality_counts(docs, rows):
+    def plain(t):
+        w = WORD.findall(t)
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        at = defaultdict(list)
+        for i in range(len(w) - 7):
+            at[tuple(w[i : i + 8])].append(i)
+        cover = {j for v in at.values() if len(v) > 1 for i in v for j in range(i, i + 8)}
+        failed = len(w) < 20 or 100 * len(cover) > 30 * len(w)
+        return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(cover), failed
+
+    got = quality.quality_table(docs).collect()
+    assert sorted(repr(tuple(r)[:7]) for r in got) == sorted(repr((i, *plain(t or ""))) for i, t, *_ in rows)
+    assert all(not r.kept for r in got if r.base_failed)
+    kept = {r.doc_id for r in got if r.kept}
+    assert {0, 1, 2, 8, 12} <= kept and not kept & {3, 4, 5, 6, 9, 10}
+    assert {r.doc_id for r in quality.kept_documents(docs).collect()} == kept
+
+
+def test_order_of_rules_does_not_change_the_verdict(docs):
+    given = quality.rules(F.coalesce("text", F.lit("")))
+    forward = docs.select("doc_id", quality.cascade(given).isNull().alias("k"))
+    backward = docs.select("doc_id", quality.cascade(given[::-1]).isNull().alias("k"))
+    assert collected(forward) == collected(backward)
+
+
+def test_token_counts(docs, rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    got = collected(bpe.token_counts(docs, path).select("doc_id", "n_bytes", "n_tokens", "over_limit"))
+    assert got == sorted(((i, len((t or "").encode()), n := count(t or ""), n > 2048) for i, t, *_ in rows), key=repr)
+    table = bpe.WordCounts(bpe.MergeTable.load(path))
+    rng = random.Random(3)
+    pool = "abcXYZ '’s't  \t\n\x0b\x1c\x85ΣσςÉ½²漢字🙂ı.,!?-_#ﬁ"
+    for t in ["<|endoftext|>", "a<|startoftext|>b <|ENDOFTEXT|>", "don't WE'LL"] + ["".join(rng.choice(pool) for _ in range(40)) for _ in range(500)]:
+        assert bpe.count_text(table, t) == count(t), t
+
+
+def plain_fingerprint(t, width):
+    import xxhash
+
+    w = (t or "").encode().lower().split()
+    runs = [b" ".join(w)] if 0 < len(w) < width else [b" ".join(w[i : i + width]) for i in range(len(w) - width + 1)]
+    h = [xxhash.xxh64_intdigest(r, 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
+def linked(keys, near):
+    group = {k: {k} for k in keys}
+    for a in keys:
+        for b in keys:
+            if near(a, b) and group[a] is not group[b]:
+                group[a] |= group[b]
+                for k in group[b]:
+                    group[k] = group[a]
+    return group
+
+
+def test_near_duplicates(docs, rows):
+    prints = [plain_fingerprint(t, 3) for _, t, *_ in rows]
+    group = linked(sorted(set(prints)), lambda a, b: (a ^ b).bit_count() <= 2)
+    least = {p: min((i for (i, *_), q in zip(rows, prints) if q in group[p] and i is not None), default=None) for p in group}
+    want = sorted(((i, f"{p:016x}", least[p]) for (i, *_), p in zip(rows, prints)), key=repr)
+    assert collected(simhash.near_duplicate_table(docs)) == want
+
+
+def test_trie_join_finds_all_pairs():
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 2**63, 1500, dtype=np.uint64)
+    near = base.copy()
+    for _ in range(2):
+        near ^= np.uint64(1) << rng.integers(0, 64, len(near)).astype(np.uint64)
+    v = np.sort(np.r_[base, near, base[:7]])
+    for budget in (0, 1, 2, 3):
+        got = set()
+        for shift, size in zip(np.cumsum([0, *simhash.block_bits(budget)]), simhash.block_bits(budget)):
+            turned = (v << np.uint64(shift)) | (v >> np.uint64(64 - shift)) if shift else v
+            o = np.argsort(turned)
+            i, j = simhash.trie_pairs(turned[o], size, budget)
+            got |= {tuple(sorted((int(v[o[a]]), int(v[o[b]])))) for a, b in zip(i, j)}
+        a, b = np.where(np.triu(np.bitwise_count(v[:, None] ^ v[None]) <= budget, 1))
+        assert {p for p in got if p[0] != p[1]} == {(int(v[x]), int(v[y])) for x, y in zip(a, b) if v[x] != v[y]}
+
+
+def test_one_of_each(docs, rows):
+    left = simhash.one_of_each(docs)
+    assert left.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in left.collect()]
+    texts = Counter(t for _, t in kept)
+    assert max(texts.values()) == 1  # no two equal texts
+    assert {t or "" for _, t, *_ in rows} - {t or "" for _, t in kept} <= {rows[2][1], "", "   \n\t "}
+    assert (0, rows[0][1]) in kept and (1, rows[1][1]) not in kept
+
+
+def test_mixing(docs, rows):
+    size = lambda t: len(WORD.findall(t or ""))
+    sizes = defaultdict(int)
+    for _, t, _, s, _ in rows:
+        sizes[s] += size(t)
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, capped = {}, set()
+    while True:
+        rest = 1.5 * sum(sizes.values()) - sum(2 * sizes[s] for s in capped)
+        w = sum(weight[s] for s in order if s not in capped)
+        target = {s: 2 * sizes[s] if s in capped else rest * weight[s] / w for s in order}
+        over = {s for s in order if target[s] > 2 * sizes[s] + 1e-9}
+        if not over:
+            break
+        capped |= over
+    got = mixing.mix_table(docs).collect()
+    assert len(got) == len(rows)
+    taken = defaultdict(int)
+    for r in got:
+        assert r.taken in (0, r.size, 2 * r.size)
+        match = next(s for s in order if sizes[s] == r.source_size)
+        assert r.target == pytest.approx(target[match])
+        taken[match] += r.taken
+    for s in order:
+        assert abs(taken[s] - target[s]) <= max(size(t) for _, t, _, x, _ in rows if x == s)
+    assert collected(mixing.mix_table(docs)) == collected(mixing.mix_table(docs.repartition(5)))
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    assert sum(size(r.text) for r in mixed.collect()) == sum(taken.values())
+
+
+def test_nested_budgets(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.array_repeat(F.lit("w"), (F.col("id") % 50).cast("int"))).alias("text"), F.lit("one").alias("source"))
+    sized = mixing.sized_documents(rows)
+    total = sized.agg(F.sum("size")).first()[0]
+    before = set()
+    for share in (0.1, 0.3, 0.5, 0.9):
+        rule = mixing.thresholds(sized, spark.createDataFrame([("one", total, 1.0, share * total)], "source string, source_size long, weight double, target double"))
+        cutoff = rule.first()["cutoff"]
+        now = {r[0] for r in sized.where(F.col("h") < cutoff).select("doc_id").collect()}
+        assert before <= now
+        assert abs(sized.where(F.col("h") < cutoff).agg(F.sum("size")).first()[0] - share * total) <= 50
+        before = now
+
+
+def test_packing(docs, rows):
+    got = packing.pack_documents(docs, permitted=(64, 128, 256), shard=20).collect()
+    words = [len(WORD.findall(t or "")) for _, t, *_ in rows]
+    placed = Counter()
+    bins = defaultdict(list)
+    for r in got:
+        placed[r.doc_id] += r.length
+        bins[r.bin_id].append(r)
+    want = Counter()
+    for (i, *_), n in zip(rows, words):
+        want[i] += n + 1
+    assert placed == want
+    for pieces in bins.values():
+        used = sum(p.length for p in pieces)
+        assert {p.bin_used for p in pieces} == {used} and {p.bin_length for p in pieces} == {min(c for c in (64, 128, 256) if c >= used)}
+        spans = sorted((p.bin_offset, p.bin_offset + p.length) for p in pieces)
+        assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_best_fit_fills_bins():
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(1, 4097, 5000)
+    where, offset, final = packing.pack(lengths)
+    assert lengths.sum() / final.sum() > 0.97
+    assert packing.pack(np.array([300]))[2].tolist() == [512] and len(packing.pack(np.empty(0, int))[0]) == 0
+
+
+def plain_removal(rows, n=50):
+    first = {}
+    key = lambda i: math.inf if i is None else i
+    for i, t, *_ in rows:
+        b = (t or "").encode()
+        for k in range(len(b) - n + 1):
+            w = b[k : k + n]
+            first[w] = min(first.get(w, math.inf), key(i))
+    out = []
+    for i, t, *_ in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - n + 1):
+            if first[b[k : k + n]] < key(i):
+                gone[k : k + n] = b"\1" * n
+        out.append((i, len(b), sum(gone), sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1])), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_repeated_passages(docs, rows):
+    assert collected(suffix.without_repeats(docs)) == plain_removal(rows)
+
+
+def test_repeated_passages_at_edges(spark):
+    rng = random.Random(8)
+    passage = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(45, 300))) for _ in range(12)]
+    filler = lambda: "".join(rng.choice("stuvwxyz é") for _ in range(rng.randint(0, 60)))
+    rows = [(i, filler() + rng.choice(passage)[rng.randint(0, 9) :] + filler() + rng.choice(passage) + filler()) for i in range(150)]
+    rows += [(200, "x" * 300), (201, "x" * 120), (201, "x" * 120 + "y"), (202, "b" * 49), (203, "b" * 50), (204, "b" * 51), (205, "ab" * 40), (206, "ba" * 40), (None, passage[0]), (None, passage[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert collected(suffix.without_repeats(df)) == plain_removal(rows)
+    kept = {(r.doc_id, bytes(r.kept)) for r in suffix.without_repeats(df, with_text=True).collect()}
+    assert all(hashlib.sha256(k).hexdigest() for _, k in kept) and len(kept) > 100
+
+
+def test_deep_shallow_order():
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 3, (800, 5)).astype(np.uint64) * np.uint64(0x0101010101010101)
+    words[:, :3] = rng.integers(0, 2, (800, 3))
+    group = rng.integers(0, 4, 800)
+    order, cls = suffix.deep_shallow(words, group)
+    keys = [(int(group[i]), *map(int, words[i])) for i in order]
+    assert keys == sorted(keys)
+    assert [a == b for a, b in zip(keys, keys[1:])] == (cls[1:] == cls[:-1]).tolist()
+
+
+def test_conversations(spark):
+    odd = "</s>[INST] ok [/INST] ␛0 ␛ <|turn|>x<|say|>y<|end|>"
+    turns = [(1, 0, "system", "be brief"), (1, 1, "user", "hi"), (1, 2, "assistant", odd), (2, 0, "user", None), (2, 1, "assistant", ""), (3, 0, "assistant", "first"), (3, 1, "user", "then"), (4, 0, "user", "left alone"), (5, 0, None, "nobody"), (5, None, "user", "early"), (None, 0, "user", "a"), (None, 1, "assistant", "b"), (6, 0, "user", "x" * 200000), (6, 1, "assistant", "é漢" * 50000)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("loss", F.lit("clash")).repartition(4)
+    segments = chat.format_conversations(df)
+    got = {r.conv_id: r for r in chat.read_back(segments).collect()}
+    whole = defaultdict(str)
+    for r in sorted(segments.collect(), key=lambda r: (r.conv_id is not None, r.conv_id or 0, r.seg_no)):
+        whole[r.conv_id] += r.text
+    by = defaultdict(list)
+    for c, n, r, t in sorted(turns, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or 0)):
+        by[c].append((r or "", t or ""))
+    assert got.keys() == by.keys()
+    for c, said in by.items():
+        r, learned = got[c], "".join(t for role, t in said if role == "assistant")
+        assert (r.n_turns, r.turns_sha256) == (len(said), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in said).encode()).hexdigest())
+        assert (r.loss_chars, r.loss_sha256, r.formatted_chars) == (len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(whole[c]))
+        assert whole[c].count("<|turn|>") == len(said) and "[INST]" not in whole[c]
+    assert {c for c, r in got.items() if r.valid} == {1, 2, None, 6}
+    codec = chat.Codec(chat.Template())
+    rng = random.Random(6)
+    for _ in range(500):
+        s = "".join(rng.choice(["<|", "turn", "|>", "␛", "0", "1", "a", "</s>", "[INST]", "<s>", "[/", "INST]"]) for _ in range(12))
+        assert codec.unescape(codec.escape(s)) == s and not any(x in codec.escape(s) for x in chat.Template().control)
+    with pytest.raises(ValueError):
+        chat.Template(turn=("{text}",))
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.default_forest(spark)
+
+
+def plain_score(forest, f):
+    def leaf(node):
+        while not isinstance(node, float):
+            node = node[2] if f[node[0]] <= node[1] else node[3]
+        return node
+
+    return sum(map(leaf, forest)) / len(forest)
+
+
+def test_secret_forest_on_unseen_findings(spark, forest):
+    rows = secrets.labelled_findings(spark, 5000).withColumn("n", F.monotonically_increasing_id()).where(f"n >= {secrets.LABELLED}")
+    feature = secrets.features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"))
+    scored = rows.select("label", feature.alias("f"), secrets.let(feature, lambda f: secrets.forest_score(forest, f)).alias("s")).collect()
+    assert all(r.s == pytest.approx(plain_score(forest, r.f)) for r in scored)
+    right = sum((r.s >= 0.5) == (r.label == 1.0) for r in scored) / len(scored)
+    assert len(scored) == 2000 and right > 0.97
+
+
+def test_secrets_are_masked_and_nothing_else(spark, docs, rows, forest):
+    found = secrets.findings(docs, forest).collect()
+    pattern = re.compile(secrets.CANDIDATE)
+    assert Counter(r.doc_id for r in found) == Counter(i for i, t, *_ in rows for _ in pattern.findall(t or ""))
+    assert {r.doc_id for r in found if r.is_secret} == {12}
+    masked = secrets.redacted(docs, forest)
+    assert masked.columns == docs.columns
+    key = hashlib.sha1(b"x").hexdigest()
+    assert sorted(repr((r.doc_id, r.text)) for r in masked.collect()) == sorted(repr((i, t and t.replace(key, "[SECRET]"))) for i, t, *_ in rows)
+    at_ends = spark.createDataFrame([(1, f'{key} and api_key="{key}"'), (2, f'secret: "{key}"'), (3, f"commit {key}")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in secrets.redacted(at_ends, forest).collect()}
+    assert out == {1: f'{key} and api_key="[SECRET]"', 2: 'secret: "[SECRET]"', 3: f"commit {key}"}
+
+
+def test_toxicity_on_held_out_documents(spark):
+    rng = random.Random(9)
+    common = ["the", "of", "and", "to", "in", "is"] + [f"word{i}" for i in range(300)]
+    bad = ["vileword", "nastyword", "hatefulword"]
+    rows, labels = [], []
+    for i in range(1200):
+        toxic = i % 4 == 0
+        words = [rng.choice(common) for _ in range(rng.randint(20, 200))]
+        for _ in range(max(1, len(words) // 30) if toxic else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(bad))
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    rows += [(5000, None), (5001, ""), (None, "the vileword")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
+    table = spark.createDataFrame(labels + [(7000, 1, 1), (None, 0, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity_table(docs, table).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.held_out == (zlib.crc32((str(r.doc_id) if r.doc_id is not None else "").encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+    held = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 1200]
+    hit = sum(r.predicted for r in held if r.doc_id % 4 == 0)
+    assert hit / sum(r.doc_id % 4 == 0 for r in held) > 0.9 and hit / max(1, sum(r.predicted for r in held)) > 0.95
+    other = spark.createDataFrame([(i, q, 1 - x if zlib.crc32(str(i).encode()) % 3 == 1 else x) for i, q, x in labels], "doc_id long, quality int, toxic int")
+    assert collected(toxicity.toxicity_table(docs, other)) == collected(toxicity.toxicity_table(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
+
+
+def test_kneser_ney_sums_to_one():
+    rng = np.random.default_rng(2)
+    docs = tuple([rng.integers(1, 12, 40).astype(np.int64) for _ in range(30)] for _ in range(2))
+    m = toxicity.fit_models(docs, word_cutoff=0, pair_cutoff=0)
+    words, pairs = toxicity.HashIndex(m.words), toxicity.HashIndex(m.pairs)
+    vocabulary = np.array([0, *range(1, 12)], np.int64)
+    for previous in (1, 5):
+        p = m.pair_p[pairs.find(toxicity.pair_key(np.full(12, previous, np.int64), vocabulary))] + m.context[words.find(np.full(12, previous, np.uint64))] * m.word_p[words.find(vocabulary.view(np.uint64))]
+        unseen = m.context[words.find(np.array([previous], np.uint64))] * m.word_p[-1]
+        assert np.allclose(p.sum(axis=0) + unseen, 1, atol=1e-9)
+
+
+def test_hash_index():
+    keys = np.unique(np.random.default_rng(0).integers(0, 2**63, 5000, dtype=np.uint64))
+    index = toxicity.HashIndex(keys)
+    assert (index.find(keys) == np.arange(len(keys))).all() and (index.find(keys + np.uint64(1))[~np.isin(keys + np.uint64(1), keys)] == len(keys)).all()
