@@ -56,10 +56,36 @@ def fingerprint(hashes: np.ndarray, part: int = 0) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprint_column(width: int, parts: int):
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def prints(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [fingerprint(h, k) for h in (shingle_hashes(t or "", width),) for k in range(parts)])
+#: Buckets of a sketch; 0 stands for an empty one.
+BUCKETS = 256
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """One-permutation MinHash: for each of 256 ranges of the (mixed) hashes 8 bits of the least one, from 1 to 255."""
+    out = np.zeros(BUCKETS, np.uint8)
+    h = np.sort(_remix(hashes, 99))
+    bucket, first = np.unique(h >> np.uint64(56), return_index=True)
+    out[bucket.astype(np.int64)] = h[first] % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of rows of sketches; two empty ones are alike. The standard error is at most 0.03."""
+    either = ((a != 0) | (b != 0)).sum(axis=1)
+    same = ((a == b) & (a != 0)).sum(axis=1)
+    return np.where(either == 0, 1.0, same / np.maximum(either, 1))
+
+
+def fingerprint_column(width: int, parts: int, sketch_width: int = 0):
+    """prints (array of ``parts`` fingerprints) and, for a sketch width, the sketch of shingles of so many words."""
+
+    @F.pandas_udf(T.StructType([T.StructField("prints", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]))
+    def prints(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            h = shingle_hashes(t or "", width)
+            rows.append(([fingerprint(h, k) for k in range(parts)], sketch(shingle_hashes(t or "", sketch_width)) if sketch_width else None))
+        return pd.DataFrame(rows, columns=["prints", "sketch"])
 
     return prints
 
@@ -129,7 +155,11 @@ def block_bits(budget: int) -> list[int]:
     return [base + (k < more) for k in range(budget + 1)]
 
 
-def _joiner(budget: int):
+def _alike(i: np.ndarray, j: np.ndarray, sketches: np.ndarray, least: float) -> np.ndarray:
+    return np.concatenate([np.empty(0, bool), *(similarity(sketches[i[k : k + 8192]], sketches[j[k : k + 8192]]) >= least for k in range(0, len(i), 8192))])
+
+
+def _joiner(budget: int, least: float | None):
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
     sizes = block_bits(budget)
 
@@ -138,78 +168,92 @@ def _joiner(budget: int):
         if not held:
             return
         group, turned, vertex = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in range(3))
+        sketches = None if least is None else np.frombuffer(b"".join(x for b in held for x in b.column(3).to_pylist()), np.uint8).reshape(-1, BUCKETS)
         held.clear()
         for g in np.unique(group).tolist():
-            mine = group == g
-            values, own = turned[mine].view(np.uint64), vertex[mine]
-            order = np.argsort(values, kind="stable")
-            values, own = values[order], own[order]
-            edges = list(_forest(*trie_pairs(values, sizes[g % len(sizes)], budget)))
+            mine = np.flatnonzero(group == g)
+            mine = mine[np.argsort(turned[mine].view(np.uint64), kind="stable")]
+            i, j = trie_pairs(turned[mine].view(np.uint64), sizes[g % len(sizes)], budget)
+            if least is not None:
+                good = _alike(mine[i], mine[j], sketches, least)
+                i, j = i[good], j[good]
+            edges = list(_forest(i, j))
             if edges:
-                a, b = own[np.array(edges)].T
+                a, b = vertex[mine][np.array(edges)].T
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
     return run
 
 
-def links(classes: DataFrame, budget: int) -> DataFrame:
+def links(classes: DataFrame, budget: int, least: float | None = None) -> DataFrame:
     """Spanning edges (src, dst) among classes (vertex, prints) that differ in at most ``budget`` bits in any one print.
 
+    With ``least`` the pairs must have sketches of that similarity too; then all classes need a sketch.
+
     Edges that tasks find are enough to connect all linked classes; none joins classes that no chain of links joins.
     """
     sizes = block_bits(budget)
     n = len(sizes)
     shifts = [sum(sizes[:k]) for k in range(n)]
-    part = classes.select("vertex", F.posexplode("prints").alias("part", "value"))
+    more = [] if least is None else ["sketch"]
+    part = classes.select("vertex", *more, F.posexplode("prints").alias("part", "value"))
 
     def turn(shift: int):
         value = F.col("value")
         return value if shift == 0 else F.shiftleft(value, shift).bitwiseOR(F.shiftrightunsigned(value, 64 - shift))
 
     blocks = F.array(*(F.struct(turn(s).alias("turned"), F.shiftrightunsigned(turn(s), 64 - size).alias("head")) for s, size in zip(shifts, sizes)))
-    rows = part.select("vertex", "part", F.posexplode(blocks).alias("block", "to"))
-    dealt = rows.select((F.col("part") * n + F.col("block")).cast("int").alias("grp"), "to.turned", "vertex", "to.head").repartition("grp", "head")
-    return dealt.select("grp", "turned", "vertex").mapInArrow(_joiner(budget), "src long, dst long")
+    rows = part.select("vertex", *more, "part", F.posexplode(blocks).alias("block", "to"))
+    dealt = rows.select((F.col("part") * n + F.col("block")).cast("int").alias("grp"), "to.turned", "vertex", *more, "to.head").repartition("grp", "head")
+    return dealt.select("grp", "turned", "vertex", *more).mapInArrow(_joiner(budget, least), "src long, dst long")
 
 
-def fingerprints(documents: DataFrame, width: int = 3, parts: int = 1) -> DataFrame:
-    """(doc_id, text_key, prints, vertex), worked out once and kept in the checkpoint folder. A vertex is a set of equal prints."""
-    prints = documents.select("doc_id", F.xxhash64("text").alias("text_key"), fingerprint_column(width, parts)(text_of()).alias("prints"))
+def fingerprints(documents: DataFrame, width: int = 3, parts: int = 1, sketch_width: int = 0) -> DataFrame:
+    """(doc_id, text_key, prints, sketch, vertex), worked out once and kept in the checkpoint folder. A vertex is a set of equal prints."""
+    prints = documents.select("doc_id", F.xxhash64("text").alias("text_key"), fingerprint_column(width, parts, sketch_width)(text_of()).alias("f")).select("doc_id", "text_key", "f.*")
     return cut(prints.withColumn("vertex", F.col("prints")[0] if parts == 1 else F.xxhash64("prints")))
 
 
-def grouped(prints: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
-    """(vertex, component), and per component the first document as ``best``: least doc_id, null last, then least text_key."""
+def grouped(prints: DataFrame, budget: int, least: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(vertex, component), and per component the first document as ``best``: least doc_id, null last, then least text_key.
+
+    With ``least``, classes that have a link by their prints are joined once more, and links count only if the sketches
+    are so similar.
+    """
     first = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_key")
-    classes = cut(prints.groupBy("vertex").agg(F.first("prints").alias("prints"), F.min(first).alias("least")))
+    classes = cut(prints.groupBy("vertex").agg(F.first("prints").alias("prints"), F.first("sketch").alias("sketch"), F.min(first).alias("least")))
     member = connected_components(links(classes, budget)).withColumnRenamed("vertex", "v")
+    if least is not None:
+        some = classes.join(cut(member), F.col("vertex") == F.col("v"), "left_semi")
+        member = connected_components(links(some, budget, least)).withColumnRenamed("vertex", "v")
     placed = classes.select("vertex", "least").join(member, F.col("vertex") == F.col("v"), "left").select("vertex", "least", F.coalesce("component", "vertex").alias("component"))
     return placed.select("vertex", "component"), placed.groupBy("component").agg(F.min("least").alias("best"))
 
 
-def near_duplicates(documents: DataFrame, width: int = 3, budget: int = 2, parts: int = 1) -> DataFrame:
+def near_duplicates(documents: DataFrame, width: int = 3, budget: int = 2, parts: int = 1, sketch_width: int = 0, least: float | None = None) -> DataFrame:
     """One row per document: doc_id, prints (its fingerprints), component_id (the smallest doc_id reachable).
 
     Documents are linked if any one of their ``parts`` fingerprints differs in at most ``budget`` bits; equal texts are
-    one class from the start. Null and empty texts have fingerprints of zeros and are linked like any other. Null
+    one class from the start; with ``least`` their sketches (see one_of_each) must be so similar too. Null and empty texts have fingerprints of zeros and are linked like any other. Null
     doc_ids count as larger than all others and get their component's id; a component without any doc_id has null.
     Repeated rows stay. An empty table gives no rows; other columns are ignored.
     """
-    prints = fingerprints(documents, width, parts)
-    placed, best = grouped(prints, budget)
+    prints = fingerprints(documents, width, parts, sketch_width)
+    placed, best = grouped(prints, budget, least)
     names = placed.join(best, "component").select(F.col("vertex").alias("v"), F.col("best.doc_id").alias("component_id"))
     return prints.join(names, F.col("vertex") == F.col("v")).select("doc_id", "prints", "component_id")
 
 
-def one_of_each(documents: DataFrame, width: int = 5, budget: int = 3, parts: int = 8) -> DataFrame:
+def one_of_each(documents: DataFrame, width: int = 2, budget: int = 3, parts: int = 8, sketch_width: int = 5, least: float = 0.78) -> DataFrame:
     """``documents`` with one row of each group of near-duplicates: the least doc_id (null last), the rest of its group goes.
 
-    Eight fingerprints of five-word shingles, each of remixed hashes, are compared: documents whose shingles are 95 %
-    the same have a chance of about 0.95 to come within 3 bits in one of them, at 98 % it is over 0.99. Rows that are
-    repeated as a whole are one row afterwards.
+    Near-duplicates have a Jaccard similarity of 0.8 or more over shingles of five words. Pairs are found by eight
+    fingerprints of two-word shingles, of which an edit of single words changes fewer, and checked by sketches of the
+    five-word shingles, less their standard error. Rows that are repeated as a whole are one row afterwards; null and
+    empty texts form a group. An empty table stays empty; all columns stay.
     """
-    prints = fingerprints(documents, width, parts)
-    _, best = grouped(prints, budget)
+    prints = fingerprints(documents, width, parts, sketch_width)
+    _, best = grouped(prints, budget, least)
     own_key, doc, key = fresh(documents, "_key", "_doc_id", "_text_key")
     chosen = best.select(F.col("best.doc_id").alias(doc), F.col("best.text_key").alias(key))
     keyed = documents.withColumn(own_key, F.xxhash64("text"))

@@ -194,6 +194,31 @@ def test_one_of_each(docs, rows):
     assert (0, rows[0][1]) in kept and (1, rows[1][1]) not in kept
 
 
+def test_near_copies_by_similarity(spark):
+    """Copies with edits of single words: those of a five-word similarity of 0.8 go, those under 0.7 and others stay."""
+    rng = random.Random(12)
+    words = [f"t{i}" for i in range(3000)]
+    rows, near, far = [], [], []
+    for k in range(60):
+        base = [rng.choice(words) for _ in range(400)]
+        rows.append((10 * k, " ".join(base)))
+        for n, edits in ((1, 4), (2, 60)):
+            copy = list(base)
+            for i in rng.sample(range(400), edits):
+                copy[i] = "changed"
+            rows.append((10 * k + n, " ".join(copy)))
+            grams = [set(zip(*(w[i:] for i in range(5)))) for w in (base, copy)]
+            s = len(grams[0] & grams[1]) / len(grams[0] | grams[1])
+            (near if s >= 0.85 else far).append(10 * k + n)
+            assert s >= 0.85 or s < 0.7
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = {r.doc_id for r in simhash.one_of_each(df).collect()}
+    assert {10 * k for k in range(60)} <= left and set(far) <= left
+    assert len(left & set(near)) <= 2
+    a, b = (np.frombuffer(simhash.sketch(np.arange(lo, lo + 2000, dtype=np.uint64)), np.uint8)[None] for lo in (0, 400))
+    assert simhash.similarity(a, b)[0] == pytest.approx(1600 / 2400, abs=0.1)
+
+
 def test_mixing(docs, rows):
     size = lambda t: len(WORD.findall(t or ""))
     sizes = defaultdict(int)
