@@ -8,10 +8,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import distributions as dist
+from millrace.operators.sequence import scan
 from millrace.operators.statistics import average_rank
 
 _NORMAL = dist.Normal()
@@ -77,9 +78,8 @@ def anova(df: DataFrame, x: str, group: str) -> DataFrame:
 
 
 def _ecdf(df: DataFrame, x: str) -> DataFrame:
-    """Distinct values with the counts at and up to each; the running sum is over distinct values."""
-    counts = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count("*").alias("c"))
-    return counts.withColumn("upto", F.sum("c").over(Window.orderBy(x)))
+    """Distinct values with the counts at and up to each, by a two-phase running sum."""
+    return scan(df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count("*").alias("c")), "c", [x], out="upto")
 
 
 def ks_one_sample(df: DataFrame, x: str, cdf: Column) -> DataFrame:
@@ -95,8 +95,8 @@ def ks_two_sample(df: DataFrame, x: str, group: str, a, b, method: str = "root")
     rows = df.where(F.col(group).isin(a, b) & F.col(x).isNotNull())
     counts = rows.groupBy(x).agg(F.count_if(F.col(group) == a).alias("ca"), F.count_if(F.col(group) == b).alias("cb"))
     n1, n2 = counts.agg(F.sum("ca"), F.sum("cb")).first()
-    w = Window.orderBy(x)
-    d = counts.select(F.abs(F.sum("ca").over(w) / n1 - F.sum("cb").over(w) / n2).alias("d")).agg(F.max("d")).first()[0]
+    both = scan(scan(counts, "ca", [x], out="sa"), "cb", [x], out="sb")
+    d = both.select(F.abs(F.col("sa") / n1 - F.col("sb") / n2).alias("d")).agg(F.max("d")).first()[0]
     size = n1 * n2 / (n1 + n2)
     return _result(df.sparkSession, d, 2 * math.exp(-2 * d * d * (math.sqrt(size) if method == "root" else size)), None)
 
@@ -158,9 +158,8 @@ def shapiro_wilk(df: DataFrame, x: str, most: int = 5000) -> DataFrame:
 def anderson_darling(df: DataFrame, x: str) -> DataFrame:
     """Against a normal of the sample's mean and population deviation; the p-value by the usual four pieces."""
     n, m, s = df.agg(F.count(x), F.avg(x), F.stddev_pop(x)).first()
-    w = Window.orderBy(x)
     f = dist.Normal(m, s).cdf_column(F.col(x))
-    ranked = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(w)).withColumn("f", F.least(F.greatest(f, F.lit(1e-15)), F.lit(1 - 1e-15)))
+    ranked = _ecdf(df, x).withColumn("f", F.least(F.greatest(f, F.lit(1e-15)), F.lit(1 - 1e-15)))
     # sum over ranks i of (2i - 1) ln F and (2(n - i) + 1) ln(1 - F), grouped by equal values
     first = F.col("upto") - F.col("c")
     lower = F.col("c") * (F.col("upto") + first)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.sequence import enumerate_rows
+from millrace.plans.storage import cut
+
 Cols = tuple[str, ...] | list[str]
 
 
@@ -23,7 +26,11 @@ def as_of(left: DataFrame, right: DataFrame, left_time: str, right_time: str, va
 
 
 def neighbours(df: DataFrame, value: str, by: Cols = ()) -> DataFrame:
-    """Each distinct value with the next lower and next higher one."""
+    """Each distinct value with the next lower and next higher one; without ``by`` through positions, so no task has all values."""
+    if not by:
+        rows = cut(enumerate_rows(df.select(value).distinct(), [value], out="_at"))
+        below, above = rows.select(F.col(value).alias("predecessor"), (F.col("_at") + 1).alias("_at")), rows.select(F.col(value).alias("successor"), (F.col("_at") - 1).alias("_at"))
+        return rows.join(below, "_at", "left").join(above, "_at", "left").drop("_at")
     w = Window.partitionBy(*by).orderBy(value)
     return df.select(*by, value).distinct().select(*by, value, F.lag(value).over(w).alias("predecessor"), F.lead(value).over(w).alias("successor"))
 
@@ -121,7 +128,7 @@ def ring_lookup(keys: DataFrame, nodes: list[str], key_hash: Column, replicas: i
 
 def rank_in_set(df: DataFrame, score: str, member: str, by: Cols = (), out: str = "rank") -> DataFrame:
     """Rank from 0 by (score, member), as in a sorted set."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(score, member)) - 1)
+    return enumerate_rows(df, [score, member], by, out=out)
 
 
 def range_aggregate(df: DataFrame, pos: str, value: str, ranges: list[tuple[int, int]]) -> DataFrame:

@@ -147,8 +147,7 @@ def top_k(df: DataFrame, k: int, order_by: list[Column], by: Cols = ()) -> DataF
 
 def order_statistic(df: DataFrame, value: str, k: int, by: Cols = ()) -> DataFrame:
     """The k-th smallest value (from 0), with repeats."""
-    w = Window.partitionBy(*by).orderBy(value)
-    return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") == k + 1).select(*by, value)
+    return enumerate_rows(df, [value], by, out="_rank").where(F.col("_rank") == k).select(*by, value)
 
 
 def upper_median(df: DataFrame, value: str, by: Cols) -> DataFrame:
@@ -158,8 +157,7 @@ def upper_median(df: DataFrame, value: str, by: Cols) -> DataFrame:
 
 def islands(df: DataFrame, value: str, by: Cols = ()) -> DataFrame:
     """Runs of consecutive whole numbers, repeats ignored: first, last and length of each."""
-    w = Window.partitionBy(*by).orderBy(value)
-    runs = df.select(*by, value).distinct().withColumn("_start", F.col(value) - F.row_number().over(w))
+    runs = enumerate_rows(df.select(*by, value).distinct(), [value], by, out="_at").withColumn("_start", F.col(value) - F.col("_at"))
     return runs.groupBy(*by, "_start").agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count("*").alias("length")).drop("_start")
 
 

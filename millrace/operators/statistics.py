@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.sequence import scan
+
 Cols = tuple[str, ...] | list[str]
 
 
@@ -68,8 +70,7 @@ def pearson(df: DataFrame, x: str, y: str, by: Cols = ()) -> DataFrame:
 def average_rank(df: DataFrame, value: str, by: Cols = (), out: str = "rank") -> DataFrame:
     """Ranks from 1; equal values share the mean of theirs. Ranks come from counts of distinct values."""
     counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*by).orderBy(value)) - F.col("_n")
-    ranked = counts.withColumn(out, before + (F.col("_n") + 1) / 2).drop("_n")
+    ranked = scan(counts, "_n", [value], by, inclusive=False, out="_before").withColumn(out, F.col("_before") + (F.col("_n") + 1) / 2).drop("_n", "_before")
     return df.join(ranked, [*by, value])
 
 
