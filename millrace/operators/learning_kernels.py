@@ -286,3 +286,101 @@ class Dual:
 def gradient_of(f, x) -> list[float]:
     """Partial derivatives of a function of a list, one forward pass each."""
     return [f([Dual(v, float(i == k)) for i, v in enumerate(x)]).slope for k in range(len(x))]
+
+
+class Policy:
+    """A softmax policy over a table of preferences, with a table of state values; rewards are discounted."""
+
+    def __init__(self, states: int, actions: int, rate: float = 0.1, value_rate: float = 0.1, discount: float = 0.99, seed: int = 0):
+        self.preference, self.value = np.zeros((states, actions)), np.zeros(states)
+        self.rate, self.value_rate, self.discount, self.random = rate, value_rate, discount, np.random.default_rng(seed)
+
+    def probabilities(self, state: int) -> np.ndarray:
+        e = np.exp(self.preference[state] - self.preference[state].max())
+        return e / e.sum()
+
+    def act(self, state: int, greedy: bool = False) -> int:
+        p = self.probabilities(state)
+        return int(p.argmax()) if greedy else int(self.random.choice(len(p), p=p))
+
+    def _push(self, state: int, action: int, strength: float) -> None:
+        slope = -self.probabilities(state)
+        slope[action] += 1
+        self.preference[state] += self.rate * strength * slope
+
+    def learn_episode(self, steps: list[tuple[int, int, float]]) -> None:
+        """Policy gradient over (state, action, reward), with the state's value as the baseline."""
+        back = 0.0
+        for state, action, reward in reversed(steps):
+            back = reward + self.discount * back
+            surprise = back - self.value[state]
+            self.value[state] += self.value_rate * surprise
+            self._push(state, action, surprise)
+
+    def learn_step(self, state: int, action: int, reward: float, after: int | None) -> float:
+        """Actor and critic move by one step's surprise, which is returned."""
+        surprise = reward + (0.0 if after is None else self.discount * self.value[after]) - self.value[state]
+        self.value[state] += self.value_rate * surprise
+        self._push(state, action, surprise)
+        return float(surprise)
+
+    def learn_clipped(self, steps: list[tuple[int, int, float]], advantages: list[float], clip: float = 0.2, rounds: int = 4) -> None:
+        """Proximal updates: no push once the action's probability has left the clip range on the side of its advantage."""
+        old = [self.probabilities(s)[a] for s, a, _ in steps]
+        for _ in range(rounds):
+            for (s, a, _), p, gain in zip(steps, old, advantages):
+                ratio = self.probabilities(s)[a] / p
+                if (gain > 0 and ratio < 1 + clip) or (gain < 0 and ratio > 1 - clip):
+                    self._push(s, a, gain * ratio)
+
+
+def fft2(x: np.ndarray) -> np.ndarray:
+    """Two-dimensional transform, rows then columns; sides are powers of two."""
+    if any(n & (n - 1) for n in x.shape):
+        raise ValueError("sides must be powers of two")
+    return np.fft.fft(np.fft.fft(x, axis=1), axis=0)
+
+
+def lagrange(x, y, at) -> np.ndarray:
+    """The polynomial through all points, at new places."""
+    x, y, at = (np.asarray(v, float) for v in (x, y, at))
+    out = np.zeros(at.shape)
+    for i in range(len(x)):
+        out += y[i] * np.prod([(at - x[j]) / (x[i] - x[j]) for j in range(len(x)) if j != i], axis=0)
+    return out
+
+
+def monotone_cubic(x, y, at) -> np.ndarray:
+    """Cubic pieces that never overshoot: slopes are harmonic means, zero where the data turn."""
+    x, y, at = (np.asarray(v, float) for v in (x, y, at))
+    h, d = np.diff(x), np.diff(y) / np.diff(x)
+    m = np.zeros(len(x))
+    m[0], m[-1] = d[0], d[-1]
+    for i in range(1, len(x) - 1):
+        if d[i - 1] * d[i] > 0:
+            a, b = 2 * h[i] + h[i - 1], h[i] + 2 * h[i - 1]
+            m[i] = (a + b) / (a / d[i - 1] + b / d[i])
+    k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, len(x) - 2)
+    t = (at - x[k]) / h[k]
+    return y[k] * (1 + 2 * t) * (1 - t) ** 2 + m[k] * h[k] * t * (1 - t) ** 2 + y[k + 1] * t * t * (3 - 2 * t) + m[k + 1] * h[k] * t * t * (t - 1)
+
+
+def number_transform(a: list[int], root: int = 3, modulus: int = 998244353) -> list[int]:
+    """Transform of a power-of-two list modulo a prime, used to multiply polynomials without rounding."""
+    n = len(a)
+    if n == 1:
+        return a
+    even, odd = number_transform(a[0::2], root, modulus), number_transform(a[1::2], root, modulus)
+    w, step, out = 1, pow(root, (modulus - 1) // n, modulus), [0] * n
+    for k in range(n // 2):
+        t = w * odd[k] % modulus
+        out[k], out[k + n // 2] = (even[k] + t) % modulus, (even[k] - t) % modulus
+        w = w * step % modulus
+    return out
+
+
+def multiply_polynomials(a: list[int], b: list[int], modulus: int = 998244353) -> list[int]:
+    n = 1 << (len(a) + len(b) - 2).bit_length()
+    x, y = (number_transform(v + [0] * (n - len(v)), 3, modulus) for v in (a, b))
+    z = number_transform([p * q % modulus for p, q in zip(x, y)], pow(3, -1, modulus), modulus)
+    return [v * pow(n, -1, modulus) % modulus for v in z[: len(a) + len(b) - 1]]

@@ -92,3 +92,41 @@ def test_optimisers():
     assert np.allclose(got, [2, -1.5], atol=1e-6)
     assert lk.gradient_of(lambda v: v[0] * v[1] + v[0] ** 3 / v[1], [2.0, 4.0]) == pytest.approx([4 + 3 * 4 / 4, 2 - 8 / 16])
     assert lk.gradient_of(lambda v: v[0].through(math.sin, math.cos) * 2, [0.0]) == [2.0]
+
+
+def test_policies():
+    for how in ("episode", "step", "clipped"):
+        p = lk.Policy(1, 3, rate=0.2, seed=1)
+        for _ in range(400):
+            a = p.act(0)
+            reward = (0.0, 0.2, 1.0)[a]
+            if how == "episode":
+                p.learn_episode([(0, a, reward)])
+            elif how == "step":
+                p.learn_step(0, a, reward, None)
+            else:
+                p.learn_clipped([(0, a, reward)], [reward - 0.4])
+        assert p.act(0, greedy=True) == 2
+
+
+def test_transforms_and_interpolation():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4, 8))
+    assert np.allclose(lk.fft2(x), np.fft.fft2(x))
+    at = np.linspace(0, 3, 7)
+    assert np.allclose(lk.lagrange([0, 1, 2, 3], [0, 1, 8, 27], at), at**3)
+    y = lk.monotone_cubic([0, 1, 2, 3], [0, 0, 1, 1], np.linspace(0, 3, 50))
+    assert (np.diff(y) >= -1e-12).all() and y.min() >= 0 and y.max() <= 1
+    a, b = [3, 1, 4, 1, 5], [9, 2, 6]
+    assert lk.multiply_polynomials(a, b) == np.convolve(a, b).tolist()
+
+
+def test_ensembles(spark):
+    from millrace.operators import learning as ml
+
+    rows = [(i, float(i % 17), float(i % 5), int(i % 17 > 8)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, label int")
+    voted, names = ml.predict_all(ml.bagging(df, "tree", ["a", "b"], "label", 3), df, ["a", "b"])
+    assert ml.accuracy(ml.vote(voted, names), "label", "vote") > 0.95
+    stacked = ml.stacking(df, ["tree", "logistic"], ["a", "b"], "label", "id", 2)
+    assert ml.accuracy(ml.predict_stacked(stacked, df, ["a", "b"]), "label") > 0.95
