@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +57,13 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return (whole ^ (whole >> np.uint64(29))) >> np.uint64(2)
 
 
+def _hash_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the GRAM bytes at some places, a block of places at a time."""
+    runs = np.lib.stride_tricks.sliding_window_view(data, GRAM)
+    blocks = (runs[at[k : k + 4096]].ravel() for k in range(0, len(at), 4096))
+    return np.concatenate([np.empty(0, np.uint64), *(_gram_hashes(b)[::GRAM] for b in blocks)])
+
+
 def _slide(values: np.ndarray, width: int, least) -> np.ndarray:
     """``least`` over every run of ``width`` values, by doubling."""
     done = 1
@@ -271,8 +279,24 @@ ROWS = "kind int, part int, a binary, b binary, c binary, d binary, e binary, f
 ROW_TYPE = pa.schema([("kind", pa.int32()), ("part", pa.int32()), *((x, pa.binary()) for x in "abcdef")])
 
 
+def pack(column: np.ndarray) -> bytes:
+    """Bytes of a column by significance, compressed; ids (int64) as differences. Rows of bytes count as one value each."""
+    if column.dtype == np.int64:
+        column = np.diff(column, prepend=np.int64(0))
+    planes = np.ascontiguousarray(column).view(np.uint8).reshape(len(column), -1).T
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpack(data: bytes, kind, width: int | None = None) -> np.ndarray:
+    """What pack() was given; ``width`` is the row length of rows of bytes."""
+    size = width or np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1).T
+    values = np.ascontiguousarray(planes) if width else np.ascontiguousarray(planes).view(kind).ravel()
+    return np.cumsum(values) if values.dtype == np.int64 else values
+
+
 def _row(kind: int, part: int, *columns: np.ndarray) -> tuple:
-    return (kind, part, *(np.ascontiguousarray(c).tobytes() for c in columns), *(None,) * (6 - len(columns)))
+    return (kind, part, *map(pack, columns), *(None,) * (6 - len(columns)))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -367,8 +391,7 @@ def _repeats(parts: int):
                 yield _batch(passed)
         if not held:
             return
-        six = np.frombuffer(b"".join(x[0] for x in held), np.uint8).reshape(-1, 6)
-        doc, pos = np.frombuffer(b"".join(x[1] for x in held), np.int64), np.frombuffer(b"".join(x[2] for x in held), np.uint32)
+        six, doc, pos = (np.concatenate([unpack(x[k], t, w) for x in held]) for k, (t, w) in enumerate(((np.uint8, 6), (np.int64, None), (np.uint32, None))))
         held.clear()
         h = np.zeros((len(six), 8), np.uint8)
         h[:, :6] = six
@@ -390,7 +413,7 @@ def _repeats(parts: int):
 
 
 def _join(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in table.column(name).to_pylist() if x), kind)
+    return np.concatenate([np.empty(0, kind), *(unpack(x, kind) for x in table.column(name).to_pylist())])
 
 
 def _windows(parts: int):
@@ -452,7 +475,7 @@ def _settle_or_send(parts, h, doc, tag, low, near, count, data, at) -> list[tupl
     for lo, hi in zip(cuts, np.r_[cuts[1:], len(r)]):
         s = r[lo:hi]
         shape = np.stack([near[s], count[s]], axis=1).astype(np.uint8)
-        rows.append(_row(0, int(part[lo]), h[s], doc[s], tag[s], low[s].astype(np.uint32), shape, text[offset[lo] : offset[hi - 1] + size[hi - 1]]))
+        rows.append(_row(0, int(part[lo]), doc[s], tag[s], low[s].astype(np.uint32), shape, text[offset[lo] : offset[hi - 1] + size[hi - 1]]))
     return rows
 
 
@@ -475,11 +498,13 @@ def _sorted_windows(parts: int):
                 yield _batch(passed)
         if not held:
             return
-        h, doc, tag, low, shape, data = (np.frombuffer(b"".join(x[2 + k] for x in held), t) for k, t in enumerate((np.uint64, np.int64, np.uint32, np.uint32, np.uint8, np.uint8)))
+        columns = ((np.int64, None), (np.uint32, None), (np.uint32, None), (np.uint8, 2), (np.uint8, None))
+        doc, tag, low, shape, data = (np.concatenate([unpack(x[2 + k], t, w) for x in held]) for k, (t, w) in enumerate(columns))
         held.clear()
-        near, count = shape.reshape(-1, 2).astype(np.int64).T
+        near, count = shape.astype(np.int64).T
         size = count + LENGTH - 1
-        rec, start, end = repeated_windows(h, doc, low.astype(np.int64), near, count, data, np.cumsum(size) - size)
+        at = np.cumsum(size) - size
+        rec, start, end = repeated_windows(_hash_at(data, at + near), doc, low.astype(np.int64), near, count, data, at)
         if len(rec):
             yield _batch(_span_rows(parts, doc[rec], tag[rec], start, end))
 
