@@ -30,7 +30,9 @@ LENGTH = 50
 GRAM = 24
 REACH = LENGTH - GRAM + 1  # strings of GRAM bytes in a window
 TILE = 1 << 18
-SHARE = 16 << 20
+SHARE = 8 << 20
+#: Stretches that are sorted at a time; all of an anchor stay together.
+BLOCK = 20_000
 #: Words of 8 bytes that quicksort looks at before blind tries take over.
 SHALLOW = 3
 MANY = np.uint32(0xFFFFFFFF)
@@ -504,9 +506,18 @@ def _sorted_windows(parts: int):
         near, count = shape.astype(np.int64).T
         size = count + LENGTH - 1
         at = np.cumsum(size) - size
-        rec, start, end = repeated_windows(_hash_at(data, at + near), doc, low.astype(np.int64), near, count, data, at)
-        if len(rec):
-            yield _batch(_span_rows(parts, doc[rec], tag[rec], start, end))
+        h = _hash_at(data, at + near)
+        by = np.argsort(h, kind="stable")
+        ends = np.flatnonzero(np.r_[h[by][1:] != h[by][:-1], True]) + 1
+        lo = 0
+        while lo < len(by):
+            hi = int(ends[min(np.searchsorted(ends, lo + BLOCK), len(ends) - 1)])
+            mine = by[lo:hi]
+            rec, start, end = repeated_windows(h[mine], doc[mine], low[mine].astype(np.int64), near[mine], count[mine], data, at[mine])
+            if len(rec):
+                rec = mine[rec]
+                yield _batch(_span_rows(parts, doc[rec], tag[rec], start, end))
+            lo = hi
 
     return run
 
