@@ -348,7 +348,7 @@ def _layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.r_[0, ends[:-1]], ends
 
 
-def _probe(parts: int):
+def _probe(parts: int, tasks: int):
     """Documents -> anchors. An anchor that several documents of the share have is sent once; its places are repeats already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +369,7 @@ def _probe(parts: int):
             group = h[by[first[several]]]
             sent = (np.r_[h[single], group], np.r_[doc[single], np.zeros(len(group), np.int64)], np.r_[pos[single], np.full(len(group), MANY)])
             six = sent[0].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            rows = _by_part(0, (sent[0] % np.uint64(parts)).astype(np.int64), six, sent[1], sent[2])
+            rows = _by_part(0, (sent[0] % np.uint64(tasks)).astype(np.int64), six, sent[1], sent[2])
             known = np.sort(by[many])
             rows += _by_part(1, _bucket(doc[known], parts), doc[known], pos[known])
             yield _batch(rows)
@@ -418,7 +418,7 @@ def _join(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.concatenate([np.empty(0, kind), *(unpack(x, kind) for x in table.column(name).to_pylist())])
 
 
-def _windows(parts: int):
+def _windows(parts: int, tasks: int):
     """Documents and places of repeated anchors of a bucket -> stretches of text; stretches that repeat here are settled here."""
 
     def run(documents: pa.Table, places: pa.Table) -> pa.Table:
@@ -447,13 +447,13 @@ def _windows(parts: int):
                 keep &= hi >= lo
                 at, h, which, lo, hi = (x[keep] for x in (at, h, which, lo, hi))
                 tag = np.array([zlib.crc32(t) for t in texts], np.uint32)
-                rows += _settle_or_send(parts, h, ids[which], tag[which], lo - starts[which], at - lo, hi - lo + 1, data, lo)
+                rows += _settle_or_send(parts, tasks, h, ids[which], tag[which], lo - starts[which], at - lo, hi - lo + 1, data, lo)
         return pa.Table.from_batches([_batch(rows)]) if rows else ROW_TYPE.empty_table()
 
     return run
 
 
-def _settle_or_send(parts, h, doc, tag, low, near, count, data, at) -> list[tuple]:
+def _settle_or_send(parts, tasks, h, doc, tag, low, near, count, data, at) -> list[tuple]:
     """Of equal stretches around an anchor, those of the smallest document are sent; the others are repeats of it for sure."""
     if not len(h):
         return []
@@ -468,7 +468,7 @@ def _settle_or_send(parts, h, doc, tag, low, near, count, data, at) -> list[tupl
     if len(r):
         rows += _span_rows(parts, doc[r], tag[r], low[r], low[r] + count[r] - 1 + LENGTH)
     r = np.flatnonzero(~settled)
-    part = (h[r] % np.uint64(parts)).astype(np.int64)
+    part = (h[r] % np.uint64(tasks)).astype(np.int64)
     r, part = r[by := np.argsort(part, kind="stable")], part[by]
     size = count[r] + LENGTH - 1
     offset = np.cumsum(size) - size
@@ -568,12 +568,12 @@ def without_repeats(documents: DataFrame, with_text: bool = False) -> DataFrame:
     texts are the same or not. Matches may overlap; they are judged on the input. An empty table gives no rows; other
     columns are ignored.
     """
-    spark = documents.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * tasks + 1  # buckets of documents; anchors are dealt to tasks directly, so tasks exchange a row a pair
     texts = documents.select("doc_id", text_of().alias("text"))
     dealt = texts.withColumn("part", bucket_column(F.col("doc_id"), parts))
-    places = texts.mapInArrow(_probe(parts), ROWS).repartition("part").mapInArrow(_repeats(parts), ROWS).select("part", "a", "b")
-    windows = dealt.groupBy("part").cogroup(places.groupBy("part")).applyInArrow(_windows(parts), ROWS)
-    spans = windows.repartition("part").mapInArrow(_sorted_windows(parts), ROWS).select("part", "a", "b", "c", "d")
+    places = texts.mapInArrow(_probe(parts, tasks), ROWS).repartitionById(tasks, "part").mapInArrow(_repeats(parts), ROWS).select("part", "a", "b")
+    windows = dealt.groupBy("part").cogroup(places.groupBy("part")).applyInArrow(_windows(parts, tasks), ROWS)
+    spans = windows.repartitionById(tasks, "part").mapInArrow(_sorted_windows(parts), ROWS).select("part", "a", "b", "c", "d")
     result = RESULT + (", kept binary" if with_text else "")
     return dealt.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_cleaner(with_text), result)
