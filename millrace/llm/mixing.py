@@ -17,6 +17,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 HASH_BITS, STEP_BITS = 60, 15
+#: Sources up to which their rules are broadcast; with more, documents are joined by source.
+FEW_SOURCES = 10_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -80,6 +82,8 @@ def _with_rule(documents: DataFrame, plan: DataFrame, h: str) -> tuple[DataFrame
     columns = ("source", "source_size", "target", "copies", "cutoff", "times")
     name = dict(zip(columns, fresh(documents, *(f"_{c}" for c in columns))))
     rule = plan.select(*(F.col(c).alias(name[c]) for c in columns[:-1]))
+    if plan.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
+        rule = F.broadcast(rule)
     rows = documents.join(rule, documents["source"].eqNullSafe(F.col(name["source"])), "left")
     return rows.withColumn(name["times"], F.col(name["copies"]) + F.when(F.col(h) < F.col(name["cutoff"]), 1).otherwise(0)), name
 
