@@ -10,34 +10,27 @@ these exceed e. A task gives the edges of a spanning forest only; components are
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import fresh, text_of
+from millrace.llm.shingles import shingle_hashes
+from millrace.llm.similar import shingle_sets, similar_groups
 from millrace.operators.components import connected_components
 from millrace.plans.storage import cut
 
-SEED = 42
+#: Least Jaccard similarity of near-duplicates in a corpus.
+SIMILARITY = 0.8
 #: Odd constants of splitmix64, by which further fingerprints remix a shingle's hash (fixed values).
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
-def shingle_hashes(text: str, width: int) -> np.ndarray:
-    """XXH64 of each run of ``width`` words, A-Z lower-cased; of the whole sequence if there are fewer words."""
-    words = text.encode("utf-8").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    runs = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width))))
-    return np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64)
-
-
 def _remix(h: np.ndarray, k: int) -> np.ndarray:
     if k == 0:
         return h
@@ -230,30 +223,38 @@ def grouped(prints: DataFrame, budget: int, least: float | None = None) -> tuple
     return placed.select("vertex", "component"), placed.groupBy("component").agg(F.min("least").alias("best"))
 
 
-def near_duplicates(documents: DataFrame, width: int = 3, budget: int = 2, parts: int = 1, sketch_width: int = 0, least: float | None = None) -> DataFrame:
+def near_duplicates(documents: DataFrame, width: int = 3, budget: int = 2, parts: int = 1, sketch_width: int = 0, least: float | None = None, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, prints (its fingerprints), component_id (the smallest doc_id reachable).
 
     Documents are linked if any one of their ``parts`` fingerprints differs in at most ``budget`` bits; equal texts are
-    one class from the start; with ``least`` their sketches (see one_of_each) must be so similar too. Null and empty texts have fingerprints of zeros and are linked like any other. Null
+    one class from the start. If ``least`` is given, whatever its value (it was the bound of an estimate), they are linked if
+    and only if the exact Jaccard similarity of their shingles of ``sketch_width`` words is at least ``similarity``.
+    Null and empty texts have fingerprints of zeros and are linked like any other. Null
     doc_ids count as larger than all others and get their component's id; a component without any doc_id has null.
     Repeated rows stay. An empty table gives no rows; other columns are ignored.
     """
-    prints = fingerprints(documents, width, parts, sketch_width)
-    placed, best = grouped(prints, budget, least)
+    if least is not None:
+        bound = Fraction(str(similarity))
+        sets = shingle_sets(documents, sketch_width, bound)
+        placed, best = similar_groups(sets, documents, sketch_width, bound)
+        names = placed.join(best, "component").select(F.col("vertex").alias("v"), F.col("best.doc_id").alias("component_id"))
+        by_text = sets.select("text_key", F.col("vertex").alias("v")).distinct().join(names, "v").drop("v")
+        return fingerprints(documents, width, parts).join(by_text, "text_key").select("doc_id", "prints", "component_id")
+    prints = fingerprints(documents, width, parts)
+    placed, best = grouped(prints, budget)
     names = placed.join(best, "component").select(F.col("vertex").alias("v"), F.col("best.doc_id").alias("component_id"))
     return prints.join(names, F.col("vertex") == F.col("v")).select("doc_id", "prints", "component_id")
 
 
-def one_of_each(documents: DataFrame, width: int = 2, budget: int = 3, parts: int = 8, sketch_width: int = 5, least: float = 0.78) -> DataFrame:
+def one_of_each(documents: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """``documents`` with one row of each group of near-duplicates: the least doc_id (null last), the rest of its group goes.
 
-    Near-duplicates have a Jaccard similarity of 0.8 or more over shingles of five words. Pairs are found by eight
-    fingerprints of two-word shingles, of which an edit of single words changes fewer, and checked by sketches of the
-    five-word shingles, less their standard error. Rows that are repeated as a whole are one row afterwards; null and
+    Near-duplicates have a Jaccard similarity of ``similarity`` or more over shingles of ``width`` words; all such pairs are
+    found and decided exactly (see similar). Rows that are repeated as a whole are one row afterwards; null and
     empty texts form a group. An empty table stays empty; all columns stay.
     """
-    prints = fingerprints(documents, width, parts, sketch_width)
-    _, best = grouped(prints, budget, least)
+    bound = Fraction(str(similarity))
+    _, best = similar_groups(shingle_sets(documents, width, bound), documents, width, bound)
     own_key, doc, key = fresh(documents, "_key", "_doc_id", "_text_key")
     chosen = best.select(F.col("best.doc_id").alias(doc), F.col("best.text_key").alias(key))
     keyed = documents.withColumn(own_key, F.xxhash64("text"))

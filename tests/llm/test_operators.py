@@ -219,6 +219,39 @@ def test_near_copies_by_similarity(spark):
     assert simhash.similarity(a, b)[0] == pytest.approx(1600 / 2400, abs=0.1)
 
 
+def grams(text):
+    w = text.split()
+    return set(zip(*(w[i:] for i in range(5)))) if len(w) >= 5 else {tuple(w)}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def left_by_brute_force(rows, least=0.8):
+    """The first documents of the groups that pairs of a five-word similarity of at least ``least`` form."""
+    sets = {i: grams(t) for i, t in rows}
+    group = linked(sorted(sets), lambda a, b: jaccard(sets[a], sets[b]) >= least)
+    return {min(g) for g in group.values()}
+
+
+def test_block_edits_are_found(spark):
+    """Copies with one paragraph appended, inserted or cut, of a similarity from 0.8 to 0.95."""
+    rng = random.Random(21)
+    words = [f"b{i}" for i in range(3000)]
+    rows = []
+    for k in range(60):
+        base = [rng.choice(words) for _ in range(400)]
+        block = [rng.choice(words) for _ in range((20, 45, 70, 90)[k % 4])]
+        at = (400, 0, 200)[k % 3]
+        copy = base[:at] + block + base[at:]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        assert 0.8 <= jaccard(grams(rows[-2][1]), grams(rows[-1][1])) < 0.96
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = {r.doc_id for r in simhash.one_of_each(df).collect()}
+    assert left == left_by_brute_force(rows) == {2 * k for k in range(60)}
+
+
 def test_mixing(docs, rows):
     size = lambda t: len(WORD.findall(t or ""))
     sizes = defaultdict(int)
