@@ -252,6 +252,21 @@ def test_block_edits_are_found(spark):
     assert left == left_by_brute_force(rows) == {2 * k for k in range(60)}
 
 
+def test_near_copies_among_texts_of_one_template(spark):
+    """Texts whose two-word prints mostly agree: each near copy is found, whatever lies between it and its original."""
+    rng = random.Random(22)
+    rows = []
+    for k in range(80):
+        names = [f"n{k}x{j}" for j in range(170)]
+        edited = list(names)
+        for j in rng.sample(range(170), 2):
+            edited[j] += "new"
+        rows += [(i, " ".join("n/a n/a " + " ".join(own[j : j + 5]) for j in range(0, 170, 5))) for i, own in ((k, names), (100 + k, edited))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == left_by_brute_force(rows) == set(range(80))
+
+
 def test_mixing(docs, rows):
     size = lambda t: len(WORD.findall(t or ""))
     sizes = defaultdict(int)
