@@ -267,6 +267,16 @@ def test_near_copies_among_texts_of_one_template(spark):
     assert {r.doc_id for r in simhash.one_of_each(df).collect()} == left_by_brute_force(rows) == set(range(80))
 
 
+def test_texts_of_equal_prints_stay(spark):
+    """Most word pairs are the same one, so all fingerprints are equal; every run of five words holds an own name."""
+    rows = [(k, " ".join(f"n/a n/a n/a n/a n{k}x{j}" for j in range(40))) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert left_by_brute_force(rows) == set(range(30))
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == set(range(30))
+    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, 2, 3, 8, 5, 0.8).collect()}
+    assert groups == {k: k for k in range(30)}
+
+
 def test_mixing(docs, rows):
     size = lambda t: len(WORD.findall(t or ""))
     sizes = defaultdict(int)
