@@ -277,6 +277,37 @@ def test_texts_of_equal_prints_stay(spark):
     assert groups == {k: k for k in range(30)}
 
 
+def test_similarity_around_the_bound_is_exact(spark):
+    """Edits of single words, of a similarity from 0.74 to 0.86: what is under 0.8 stays, the rest goes."""
+    rng = random.Random(23)
+    words = [f"e{i}" for i in range(3000)]
+    rows, found = [], []
+    for k in range(90):
+        base = [rng.choice(words) for _ in range(400)]
+        copy = list(base)
+        for i in rng.sample(range(400), 7 + k % 6):
+            copy[i] = "edited"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        found.append(jaccard(grams(rows[-2][1]), grams(rows[-1][1])))
+    assert sum(0.74 <= s < 0.8 for s in found) > 20 and sum(0.8 <= s < 0.86 for s in found) > 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == left_by_brute_force(rows)
+
+
+def test_groups_need_no_common_leader(spark):
+    """Chains in which the ends share shingles but are not alike, so that links besides those to the least text count."""
+    rng = random.Random(24)
+    rows = []
+    for k in range(12):
+        text = [f"c{k}x{i}" for i in range(300)]
+        for n in range(8):
+            rows.append((rng.randrange(10**6) * 100 + len(rows), " ".join(text)))
+            for i in rng.sample(range(300), 5):
+                text[i] += "y"
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == left_by_brute_force(rows)
+
+
 def test_mixing(docs, rows):
     size = lambda t: len(WORD.findall(t or ""))
     sizes = defaultdict(int)
