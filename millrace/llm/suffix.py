@@ -82,7 +82,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     np.add.at(edge, starts[long_enough], 1)
     np.add.at(edge, ends[long_enough] - LENGTH + 1, -1)
     valid = np.cumsum(edge, dtype=np.int8)[:-1] > 0
-    for lo in range(0, size - LENGTH + 1 if size >= LENGTH else 0, TILE):
+    for lo in range(0, size - GRAM + 1, TILE):
         first, past = max(0, lo - REACH + 1), min(size, lo + TILE + LENGTH)
         if past - first < LENGTH:
             continue

@@ -416,6 +416,24 @@ def test_repeated_passages_at_edges(spark):
     assert all(hashlib.sha256(k).hexdigest() for _, k in kept) and len(kept) > 100
 
 
+def test_anchors_at_the_end_of_a_share():
+    """A last tile of 23 to 51 bytes has the anchors that one tile over all bytes has."""
+    rng = np.random.default_rng(17)
+    for over in range(suffix.GRAM - 1, suffix.LENGTH + 2):
+        size = suffix.TILE + over
+        data = rng.integers(97, 105, size, dtype=np.uint8)
+        starts, ends = np.array([0, size - 3000 - over]), np.array([size - 3000 - over, size])
+        h = suffix._gram_hashes(data)
+        want = set()
+        for w in range(starts[1], size - suffix.LENGTH + 1):
+            least = h[w : w + suffix.REACH].min()
+            want |= {w + k for k in np.flatnonzero(h[w : w + suffix.REACH] == least).tolist()}
+        at, hashes = suffix.anchors(data, starts, ends)
+        inside = at >= ends[0]
+        assert set(at[inside].tolist()) == want, over
+        assert (hashes == h[at]).all() and len(set(at.tolist())) == len(at)
+
+
 def test_deep_shallow_order():
     rng = np.random.default_rng(3)
     words = rng.integers(0, 3, (800, 5)).astype(np.uint64) * np.uint64(0x0101010101010101)
