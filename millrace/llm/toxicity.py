@@ -1,9 +1,11 @@
 """Toxicity from class-conditional Kneser-Ney models.
 
 Two bigram models, of toxic and of ordinary documents, are fitted by interpolated Kneser-Ney smoothing. Each backs off to
-its class's continuation counts, and these to continuation counts shared by both classes, so that a rare expression
-which neither class explains better counts for neither. A document's log-likelihood ratio, by length, is turned into a
-probability by a logistic curve fitted on labelled documents that the models have not seen.
+its class's continuation counts, and these to continuation counts shared by both classes. As in the modified form the
+discount grows with the count: a class keeps what its count has beyond what the other class's rate accounts for, and
+leaves the rest to the shared backoff, so that a rare expression which neither class explains better counts for neither.
+A document's log-likelihood ratio, by length, is turned into a probability by a logistic curve fitted on labelled
+documents that the models which score them have not seen.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from millrace.llm.common import text_of
 #: Bounds of the labelled sample that models are fitted on, for each class: documents, and characters in all of them.
 MAX_DOCS, MAX_CHARS = 4000, 6_000_000
 THRESHOLD = 0.7
-#: Continuation counts and document counts at or under which a word or pair is left to the shared backoff.
-WORD_CUTOFF, PAIR_CUTOFF = 2, 9
-#: Log ratio beyond which an expression counts as evidence by itself.
-NOTABLE = 1.5
+#: A count is discounted by so much, by so many times what the other class's rate makes of it, and by so many of its standard deviations.
+DISCOUNT, TIMES, DEVIATIONS = 0.75, 2.0, 2.0
+#: Parts of the labelled sample; the curve sees each part scored by models of the others.
+FOLDS = 3
 #: Hash of what precedes a document's first word.
 START = np.int64(0)
 
@@ -70,9 +72,10 @@ class HashIndex:
         return out
 
 
-def _discount(counts: np.ndarray) -> float:
-    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-    return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+def _excess(own: np.ndarray, other: np.ndarray, own_total: np.ndarray, other_total: np.ndarray) -> np.ndarray:
+    """What is left of counts after the discount. A count that the other class has not is taken for one there."""
+    expected = own_total * (other + 1) / np.maximum(other_total, 1)
+    return np.maximum(own - TIMES * expected - DEVIATIONS * np.sqrt(expected) - DISCOUNT, 0)
 
 
 @dataclass
@@ -81,79 +84,83 @@ class Model:
 
     words: np.ndarray
     word_p: np.ndarray  # (words + 1, 2): backoff probability in the toxic and the ordinary class
-    context: np.ndarray  # (words + 1, 2): weight of the backoff after this word
+    context: np.ndarray  # (words + 1, 1): weight of the backoff after this word
     pairs: np.ndarray
     pair_p: np.ndarray  # (pairs + 1, 2): discounted bigram probability
     curve: np.ndarray  # of the logistic curve, see features()
 
     def evidence(self, tokens: np.ndarray, offsets: np.ndarray, words: HashIndex, pairs: HashIndex) -> np.ndarray:
-        """Per document the sum of log p_toxic - log p_ordinary, the part of it beyond NOTABLE, and the number of words."""
+        """Per document the sum of log p_toxic - log p_ordinary, and the number of words."""
         previous = np.empty_like(tokens)
         previous[1:] = tokens[:-1]
         previous[offsets[:-1][offsets[:-1] < len(tokens)]] = START
         p = self.pair_p[pairs.find(pair_key(previous, tokens))] + self.context[words.find(previous.view(np.uint64))] * self.word_p[words.find(tokens.view(np.uint64))]
-        ratio = np.log(p[:, 0]) - np.log(p[:, 1])
-        sums = [np.r_[0.0, np.cumsum(x)] for x in (ratio, np.maximum(ratio - NOTABLE, 0))]
-        return np.stack([*(x[offsets[1:]] - x[offsets[:-1]] for x in sums), np.diff(offsets)], axis=1)
+        sums = np.r_[0.0, np.cumsum(np.log(p[:, 0]) - np.log(p[:, 1]))]
+        return np.stack([sums[offsets[1:]] - sums[offsets[:-1]], np.diff(offsets)], axis=1)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features(evidence) @ self.curve, -50, 50)))
 
 
 def features(evidence: np.ndarray) -> np.ndarray:
-    """What the curve weighs: a constant, the mean log ratio, and the notable part by length and by the root of length."""
-    ratio, notable, length = evidence.T
+    """What the curve weighs: a constant, and the log ratio by length and by the root of length."""
+    ratio, length = evidence.T
     length = np.maximum(length, 1)
-    return np.stack([np.ones(len(evidence)), ratio / length, notable / length, notable / np.sqrt(length)], axis=1)
+    return np.stack([np.ones(len(evidence)), ratio / length, ratio / np.sqrt(length)], axis=1)
 
 
 def _grams(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (previous, word) with the number of documents that have them: a document that repeats itself counts once."""
-    own = [np.unique(np.stack([np.r_[START, d[:-1]], d], axis=1), axis=0) for d in docs if len(d)]
-    if not own:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    both, counts = np.unique(np.concatenate(own), axis=0, return_counts=True)
-    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), counts
-
-
-def _share(counts: np.ndarray, cutoff: int) -> np.ndarray:
-    """Counts above the cutoff, less their discount; others leave all their weight to the backoff."""
-    return np.where(counts > cutoff, counts - _discount(counts), 0.0)
-
-
-def fit_models(classes: tuple[list[np.ndarray], list[np.ndarray]], word_cutoff: int = WORD_CUTOFF, pair_cutoff: int = PAIR_CUTOFF) -> Model:
+    """Distinct (previous, word) with the number of distinct words before the pair, so that copies of a text count once."""
+    second = np.concatenate([START[None], *docs])[1:]
+    begins = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(d)) for d in docs)])
+    first = np.where(begins >= 1, np.roll(second, 1), START)
+    before = np.where(begins >= 2, np.roll(second, 2), START)
+    pair = pair_key(first, second)
+    _, place = np.unique(pair_key(before, pair.view(np.int64)), return_index=True)
+    _, at, counts = np.unique(pair[place], return_index=True, return_counts=True)
+    return first[place[at]], second[place[at]], counts
+
+
+def fit_models(classes: tuple[list[np.ndarray], list[np.ndarray]]) -> Model:
     """Kneser-Ney models of (toxic, ordinary) documents given as word hashes.
 
     A word's class probability comes from its continuation count, the number of distinct words before it, and is
-    interpolated with the continuation counts of both classes together. Both classes give the backoff the same weight,
-    the larger of their two, so that what is rare in both has a ratio of one, however much more text one class has.
-    Words and pairs at or under the cutoffs in both classes need no rows of their own for that reason.
+    interpolated with the continuation counts of both classes together; a pair's comes from its own
+    continuation count and is interpolated with the word's. Both classes give a backoff the same weight, the lesser of what their
+    discounts leave, so that what neither class has in excess has a ratio of one, however much more text one class has;
+    what is over in a class stands for words in neither vocabulary. Words and pairs without excess need no rows of their
+    own for that reason.
     """
     grams = [_grams(docs) for docs in classes]
     words = np.unique(np.concatenate([np.r_[l, r] for l, r, _ in grams] + [np.array([START])]).view(np.uint64))
     size, index = len(words), HashIndex(words)
     places = [(index.find(l.view(np.uint64)), index.find(r.view(np.uint64))) for l, r, _ in grams]
-    follows = [np.bincount(r, minlength=size) for _, r in places]
+    follows = [np.bincount(r, minlength=size).astype(float) for _, r in places]
     both = follows[0] + follows[1]
-    kinds, total, less = (both > 0).sum(), max(1, both.sum()), _discount(both)
-    shared = np.r_[np.maximum(both - less, 0) / total, 0.0] + less * max(1, kinds) / total / (size + 1)
-    kept = [_share(f, word_cutoff) for f in follows]
-    backoff = max(1 - k.sum() / max(1, f.sum()) for k, f in zip(kept, follows))
-    word_p = np.stack([np.r_[(1 - backoff) * k / max(k.sum(), 1e-12), 0.0] + backoff * shared for k in kept], axis=1)
-    pair_kept = [_share(n, pair_cutoff) for *_, n in grams]
-    held = [np.bincount(l, weights=k, minlength=size) for (l, _), k in zip(places, pair_kept)]
-    seen = [np.bincount(l, weights=n, minlength=size) for (l, _), (*_, n) in zip(places, grams)]
-    context = np.maximum(*(np.where(s > 0, 1 - h / np.maximum(s, 1), 1.0) for h, s in zip(held, seen)))
+    total, kinds = max(1.0, both.sum()), max(1, int((both > 0).sum()))
+    shared = np.r_[np.maximum(both - DISCOUNT, 0) / total, 0.0] + DISCOUNT * kinds / total / (size + 1)
+    sums = [max(1.0, f.sum()) for f in follows]
+    kept = [_excess(follows[c], follows[1 - c], sums[c], sums[1 - c]) / sums[c] for c in (0, 1)]
+    backoff = 1 - max(k.sum() for k in kept)
+    word_p = np.stack([np.r_[k, 0.0] + backoff * shared for k in kept], axis=1)
     keys = [pair_key(l, r) for l, r, _ in grams]
-    pairs = np.unique(np.concatenate([k[p > 0] for k, p in zip(keys, pair_kept)]))
-    pair_p = np.zeros((len(pairs) + 1, 2))
+    pairs = np.unique(np.concatenate(keys))
+    at = [np.searchsorted(pairs, k) for k in keys]
+    left = np.zeros(len(pairs), np.int64)
+    counts = np.zeros((2, len(pairs)))
+    for c, ((l, _), place, (*_, n)) in enumerate(zip(places, at, grams)):
+        left[place], counts[c, place] = l, n
+    seen = [np.bincount(left, weights=n, minlength=size) for n in counts]
+    pair_kept = [_excess(counts[c], counts[1 - c], seen[c][left], seen[1 - c][left]) for c in (0, 1)]
+    pair_kept = [k / np.maximum(s, 1)[left] for k, s in zip(pair_kept, seen)]
+    context = 1 - np.maximum(*(np.bincount(left, weights=k, minlength=size) for k in pair_kept))
+    some = (pair_kept[0] > 0) | (pair_kept[1] > 0)
     needed = (kept[0] > 0) | (kept[1] > 0) | (context < 1)
-    for c, ((l, r), key, p) in enumerate(zip(places, keys, pair_kept)):
-        some = p > 0
-        needed[r[some]] = True
-        pair_p[np.searchsorted(pairs, key[some]), c] = ((1 - context[l]) * p / np.maximum(held[c][l], 1e-12))[some]
+    for (_, r), place in zip(places, at):
+        needed[r[some[place]]] = True
     rows = np.r_[np.flatnonzero(needed), size]
-    return Model(words[needed], word_p[rows], np.r_[context, 1.0][rows][:, None].repeat(2, axis=1), pairs, pair_p, np.zeros(4))
+    pair_p = np.r_[np.stack(pair_kept, axis=1)[some], np.zeros((1, 2))]
+    return Model(words[needed], word_p[rows], np.r_[context, 1.0][rows][:, None], pairs[some], pair_p, np.zeros(3))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -192,21 +199,33 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, max_docs: int, max_
     return documents.join(chosen, "doc_id").select("doc_id", word_hashes(text_of()).alias("words")), kept
 
 
+def _evidence_of(model: Model, docs: list[np.ndarray]) -> np.ndarray:
+    n = np.array([len(d) for d in docs], np.int64)
+    return model.evidence(np.concatenate([np.empty(0, np.int64), *docs]), np.r_[0, np.cumsum(n)].astype(np.int64), HashIndex(model.words), HashIndex(model.pairs))
+
+
+def fit_sample(docs: list[np.ndarray], label: np.ndarray, fold: np.ndarray) -> Model:
+    """Models of all the documents; the curve is fitted to each part's evidence under models of the other parts."""
+
+    def models(use: np.ndarray) -> Model:
+        return fit_models(tuple([d for d, y, u in zip(docs, label, use) if u and y == c] for c in (1, 0)))
+
+    found = np.zeros((len(docs), 2))
+    for part in range(FOLDS):
+        mine = np.flatnonzero(fold == part)
+        if len(mine):
+            found[mine] = _evidence_of(models(fold != part), [docs[i] for i in mine])
+    model = models(np.ones(len(docs), bool))
+    model.curve = fit_curve(features(found), label.astype(float))
+    return model
+
+
 def fit(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> Model:
-    """Models from two thirds of the labelled sample, the curve from the rest (thirds by hash of the id)."""
+    """Models and curve from the labelled sample; its parts are dealt by hash of the id."""
     sample, label = labelled_sample(documents, labels, max_docs, max_chars)
-    table = sample.withColumn("fold", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold")), F.lit(3))).orderBy("doc_id", "words").toArrow()
-    ids, folds = table["doc_id"].to_pylist(), table["fold"].to_pylist()
+    table = sample.withColumn("fold", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold")), F.lit(FOLDS))).orderBy("doc_id", "words").toArrow()
     docs = [np.asarray(w.values.to_numpy(zero_copy_only=False), np.int64) for w in table["words"]]
-    split = {(c, held): [d for d, i, f in zip(docs, ids, folds) if label[i] == c and (f == 0) == held] for c in (0, 1) for held in (False, True)}
-    model = fit_models((split[1, False], split[0, False]))
-    words, pairs = HashIndex(model.words), HashIndex(model.pairs)
-    unseen = split[1, True] + split[0, True]
-    n = np.array([len(d) for d in unseen], np.int64)
-    y = np.r_[np.ones(len(split[1, True])), np.zeros(len(split[0, True]))]
-    tokens = np.concatenate([np.empty(0, np.int64), *unseen])
-    model.curve = fit_curve(features(model.evidence(tokens, np.r_[0, np.cumsum(n)].astype(np.int64), words, pairs)), y)
-    return model
+    return fit_sample(docs, np.array([label[i] for i in table["doc_id"].to_pylist()], np.int64), table["fold"].to_numpy())
 
 
 def _scorer(shared):
@@ -219,7 +238,7 @@ def _scorer(shared):
             tokens = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], np.int64)
             offsets -= offsets[0]
             n = np.diff(offsets)
-            found = np.zeros((len(n), 3))
+            found = np.zeros((len(n), 2))
             step = 1 << 20
             lo = 0
             while lo < len(n):  # about a million tokens at a time

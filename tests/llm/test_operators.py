@@ -536,16 +536,69 @@ def test_toxicity_on_held_out_documents(spark):
     assert collected(toxicity.toxicity_table(docs, other)) == collected(toxicity.toxicity_table(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
 
 
-def test_kneser_ney_sums_to_one():
+def plain_kneser_ney(classes):
+    """p(class, previous, word) of the same two models from counts in dictionaries."""
+    triples = [{(before, first, w) for d in docs for before, first, w in zip([0, 0, *d][:-2] if len(d) > 1 else [0] * len(d), [0, *d], d)} for docs in classes]
+    pairs = [Counter((f, w) for _, f, w in t) for t in triples]
+    follows = [Counter(w for _, w in p) for p in pairs]
+    words = {0} | {w for docs in classes for d in docs for w in d}
+    both = follows[0] + follows[1]
+    total, kinds = sum(both.values()), len(both)
+    shared = {w: (max(both[w] - 0.75, 0) if w in both else 0) / total + 0.75 * kinds / total / (len(words) + 1) for w in words}
+
+    def excess(n, other, own_total, other_total):
+        e = own_total * (other + 1) / max(other_total, 1)
+        return max(n - 2 * e - 2 * math.sqrt(e) - 0.75, 0)
+
+    sums = [sum(f.values()) for f in follows]
+    kept = [{w: excess(follows[c][w], follows[1 - c][w], sums[c], sums[1 - c]) / sums[c] for w in words} for c in (0, 1)]
+    back = 1 - max(sum(k.values()) for k in kept)
+    after = [Counter() for _ in classes]
+    for c in (0, 1):
+        for (f, _), n in pairs[c].items():
+            after[c][f] += n
+    pair_kept = [{k: excess(pairs[c][k], pairs[1 - c][k], after[c][k[0]], after[1 - c][k[0]]) / after[c][k[0]] for k in pairs[c]} for c in (0, 1)]
+    weight = {u: 1 - max(sum(x for (f, _), x in pair_kept[c].items() if f == u) for c in (0, 1)) for u in words}
+    return words, lambda c, u, w: pair_kept[c].get((u, w), 0) + weight[u] * (kept[c][w] + back * shared[w])
+
+
+def test_kneser_ney_against_plain_counts():
     rng = np.random.default_rng(2)
-    docs = tuple([rng.integers(1, 12, 40).astype(np.int64) for _ in range(30)] for _ in range(2))
-    m = toxicity.fit_models(docs, word_cutoff=0, pair_cutoff=0)
+    docs = tuple([np.r_[rng.integers(1, 40, 40), [50, 51 + c] * 3][rng.permutation(46)].astype(np.int64) for _ in range(60)] + [np.array([7], np.int64), np.empty(0, np.int64)] for c in (0, 1))
+    docs = tuple([np.r_[d, [60, 61 + c, 62]] for d in side] for c, side in enumerate(docs))
+    m = toxicity.fit_models(docs)
     words, pairs = toxicity.HashIndex(m.words), toxicity.HashIndex(m.pairs)
-    vocabulary = np.array([0, *range(1, 12)], np.int64)
-    for previous in (1, 5):
-        p = m.pair_p[pairs.find(toxicity.pair_key(np.full(12, previous, np.int64), vocabulary))] + m.context[words.find(np.full(12, previous, np.uint64))] * m.word_p[words.find(vocabulary.view(np.uint64))]
-        unseen = m.context[words.find(np.array([previous], np.uint64))] * m.word_p[-1]
-        assert np.allclose(p.sum(axis=0) + unseen, 1, atol=1e-9)
+    vocabulary, p = plain_kneser_ney([[d.tolist() for d in side] for side in docs])
+    assert len(m.pairs) and len(m.words)
+    for u in (0, 1, 7, 50, 60, 61):
+        for c in (0, 1):
+            assert sum(p(c, u, w) for w in vocabulary) <= 1 + 1e-9
+        for w in (3, 51, 52, 61, 62):
+            got = m.evidence(np.array([u, w] if u else [w], np.int64), np.array([0, 2 if u else 1]), words, pairs)[0, 0]
+            want = math.log(p(0, u, w) / p(1, u, w)) + (math.log(p(0, 0, u) / p(1, 0, u)) if u else 0)
+            assert math.isclose(got, want, abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("many", [200, 600, 2000])
+def test_toxicity_at_several_sample_sizes(many):
+    """Telling words are found and ordinary ones left alone, however many labelled documents there are."""
+    rng = np.random.default_rng(many)
+    odds = 1 / np.arange(1, 8001)
+    odds /= odds.sum()
+
+    def some(n, toxic):
+        out = []
+        for _ in range(n):
+            d = rng.choice(8000, rng.integers(20, 600), p=odds) + 1
+            if toxic:
+                d[rng.integers(0, len(d), 2 + len(d) // 60)] = rng.integers(9001, 9040, 2 + len(d) // 60)
+            out.append(toxicity.pair_key(d.astype(np.int64), d.astype(np.int64)).view(np.int64))  # spread like word hashes
+        return out
+
+    docs, label = some(many, True) + some(2 * many, False), np.repeat([1, 0], [many, 2 * many])
+    model = toxicity.fit_sample(docs, label, np.arange(len(docs)) % 3)
+    hits, misses = (model.score(toxicity._evidence_of(model, some(600, toxic))) >= toxicity.THRESHOLD for toxic in (True, False))
+    assert hits.mean() >= 0.85 and misses.mean() <= 0.03, (hits.mean(), misses.mean())
 
 
 def test_hash_index():
