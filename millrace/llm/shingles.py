@@ -1,4 +1,4 @@
-"""Hashed runs of words."""
+"""Hashed runs of words, and fingerprints of them."""
 
 from __future__ import annotations
 
@@ -17,3 +17,12 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     runs = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width))))
     return np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """Bit b is 1 if it is set in over half of the hashes, as a signed 64-bit number."""
+    ones, n = np.zeros(64, np.int64), len(hashes)
+    for at in range(0, n, 1 << 15):
+        block = hashes[at : at + (1 << 15)]
+        ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])

@@ -20,65 +20,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import fresh, text_of
-from millrace.llm.shingles import shingle_hashes
-from millrace.llm.similar import shingle_sets, similar_groups
+from millrace.llm.shingles import fingerprint, shingle_hashes
+from millrace.llm.similar import distinct_sets, first_of_groups, listed, shingle_sets
 from millrace.operators.components import connected_components
-from millrace.plans.storage import cut
+from millrace.plans.storage import cut, stored
 
 #: Least Jaccard similarity of near-duplicates in a corpus.
 SIMILARITY = 0.8
-#: Odd constants of splitmix64, by which further fingerprints remix a shingle's hash (fixed values).
-MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+#: Differing bits up to which the trie join proposes pairs to the exact test.
+NEAR_BITS = 3
 
 
-def _remix(h: np.ndarray, k: int) -> np.ndarray:
-    if k == 0:
-        return h
-    h = h + np.uint64(MIX[0] * k % 2**64)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(MIX[1])
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(MIX[2])
-    return h ^ (h >> np.uint64(31))
+def fingerprint_column(width: int):
+    """The fingerprint of a text's shingles of so many words."""
 
-
-def fingerprint(hashes: np.ndarray, part: int = 0) -> int:
-    """Bit b is 1 if it is set in over half of the hashes, as a signed 64-bit number."""
-    ones, n = np.zeros(64, np.int64), len(hashes)
-    for at in range(0, n, 1 << 15):
-        block = _remix(hashes[at : at + (1 << 15)], part)
-        ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
-
-
-#: Buckets of a sketch; 0 stands for an empty one.
-BUCKETS = 256
-
-
-def sketch(hashes: np.ndarray) -> bytes:
-    """One-permutation MinHash: for each of 256 ranges of the (mixed) hashes 8 bits of the least one, from 1 to 255."""
-    out = np.zeros(BUCKETS, np.uint8)
-    h = np.sort(_remix(hashes, 99))
-    bucket, first = np.unique(h >> np.uint64(56), return_index=True)
-    out[bucket.astype(np.int64)] = h[first] % np.uint64(255) + np.uint64(1)
-    return out.tobytes()
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of rows of sketches; two empty ones are alike. The standard error is at most 0.03."""
-    either = ((a != 0) | (b != 0)).sum(axis=1)
-    same = ((a == b) & (a != 0)).sum(axis=1)
-    return np.where(either == 0, 1.0, same / np.maximum(either, 1))
-
-
-def fingerprint_column(width: int, parts: int, sketch_width: int = 0):
-    """prints (array of ``parts`` fingerprints) and, for a sketch width, the sketch of shingles of so many words."""
-
-    @F.pandas_udf(T.StructType([T.StructField("prints", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]))
-    def prints(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            h = shingle_hashes(t or "", width)
-            rows.append(([fingerprint(h, k) for k in range(parts)], sketch(shingle_hashes(t or "", sketch_width)) if sketch_width else None))
-        return pd.DataFrame(rows, columns=["prints", "sketch"])
+    @F.pandas_udf(T.LongType())
+    def prints(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(shingle_hashes(t, width)) for t in texts], dtype="int64")
 
     return prints
 
@@ -148,11 +106,7 @@ def block_bits(budget: int) -> list[int]:
     return [base + (k < more) for k in range(budget + 1)]
 
 
-def _alike(i: np.ndarray, j: np.ndarray, sketches: np.ndarray, least: float) -> np.ndarray:
-    return np.concatenate([np.empty(0, bool), *(similarity(sketches[i[k : k + 8192]], sketches[j[k : k + 8192]]) >= least for k in range(0, len(i), 8192))])
-
-
-def _joiner(budget: int, least: float | None):
+def _joiner(budget: int):
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
     sizes = block_bits(budget)
 
@@ -161,15 +115,11 @@ def _joiner(budget: int, least: float | None):
         if not held:
             return
         group, turned, vertex = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in range(3))
-        sketches = None if least is None else np.frombuffer(b"".join(x for b in held for x in b.column(3).to_pylist()), np.uint8).reshape(-1, BUCKETS)
         held.clear()
         for g in np.unique(group).tolist():
             mine = np.flatnonzero(group == g)
             mine = mine[np.argsort(turned[mine].view(np.uint64), kind="stable")]
             i, j = trie_pairs(turned[mine].view(np.uint64), sizes[g % len(sizes)], budget)
-            if least is not None:
-                good = _alike(mine[i], mine[j], sketches, least)
-                i, j = i[good], j[good]
             edges = list(_forest(i, j))
             if edges:
                 a, b = vertex[mine][np.array(edges)].T
@@ -178,91 +128,73 @@ def _joiner(budget: int, least: float | None):
     return run
 
 
-def links(classes: DataFrame, budget: int, least: float | None = None) -> DataFrame:
+def links(classes: DataFrame, budget: int) -> DataFrame:
     """Spanning edges (src, dst) among classes (vertex, prints) that differ in at most ``budget`` bits in any one print.
 
-    With ``least`` the pairs must have sketches of that similarity too; then all classes need a sketch.
-
     Edges that tasks find are enough to connect all linked classes; none joins classes that no chain of links joins.
     """
     sizes = block_bits(budget)
     n = len(sizes)
     shifts = [sum(sizes[:k]) for k in range(n)]
-    more = [] if least is None else ["sketch"]
-    part = classes.select("vertex", *more, F.posexplode("prints").alias("part", "value"))
+    part = classes.select("vertex", F.posexplode("prints").alias("part", "value"))
 
     def turn(shift: int):
         value = F.col("value")
         return value if shift == 0 else F.shiftleft(value, shift).bitwiseOR(F.shiftrightunsigned(value, 64 - shift))
 
     blocks = F.array(*(F.struct(turn(s).alias("turned"), F.shiftrightunsigned(turn(s), 64 - size).alias("head")) for s, size in zip(shifts, sizes)))
-    rows = part.select("vertex", *more, "part", F.posexplode(blocks).alias("block", "to"))
-    dealt = rows.select((F.col("part") * n + F.col("block")).cast("int").alias("grp"), "to.turned", "vertex", *more, "to.head").repartition("grp", "head")
-    return dealt.select("grp", "turned", "vertex", *more).mapInArrow(_joiner(budget, least), "src long, dst long")
+    rows = part.select("vertex", "part", F.posexplode(blocks).alias("block", "to"))
+    dealt = rows.select((F.col("part") * n + F.col("block")).cast("int").alias("grp"), "to.turned", "vertex", "to.head").repartition("grp", "head")
+    return dealt.select("grp", "turned", "vertex").mapInArrow(_joiner(budget), "src long, dst long")
 
 
-def fingerprints(documents: DataFrame, width: int = 3, parts: int = 1, sketch_width: int = 0) -> DataFrame:
-    """(doc_id, text_key, prints, sketch, vertex), worked out once and kept in the checkpoint folder. A vertex is a set of equal prints."""
-    prints = documents.select("doc_id", F.xxhash64("text").alias("text_key"), fingerprint_column(width, parts, sketch_width)(text_of()).alias("f")).select("doc_id", "text_key", "f.*")
-    return cut(prints.withColumn("vertex", F.col("prints")[0] if parts == 1 else F.xxhash64("prints")))
+def near_duplicates(documents: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
+    """One row per document: doc_id, print (its fingerprint), component_id (the smallest doc_id reachable).
 
+    Documents are linked if their fingerprints differ in at most ``budget`` bits; equal fingerprints are one class from the
+    start. Null and empty texts have a fingerprint of zero and are linked like any other. Null doc_ids count as larger than
+    all others and get their component's id; a component without any doc_id has null. Repeated rows stay. An empty table
+    gives no rows; other columns are ignored.
+    """
+    prints = cut(documents.select("doc_id", fingerprint_column(width)(text_of()).alias("vertex")))
+    classes = cut(prints.groupBy("vertex").agg(F.min("doc_id").alias("least")))
+    member = connected_components(links(classes.select("vertex", F.array("vertex").alias("prints")), budget)).withColumnRenamed("vertex", "v")
+    placed = classes.join(member, F.col("vertex") == F.col("v"), "left").select(F.col("vertex").alias("v"), "least", F.coalesce("component", "vertex").alias("component"))
+    names = placed.join(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("v", "component_id")
+    return prints.join(names, F.col("vertex") == F.col("v")).select("doc_id", F.col("vertex").alias("print"), "component_id")
 
-def grouped(prints: DataFrame, budget: int, least: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(vertex, component), and per component the first document as ``best``: least doc_id, null last, then least text_key.
 
-    With ``least``, classes that have a link by their prints are joined once more, and links count only if the sketches
-    are so similar.
-    """
-    first = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_key")
-    classes = cut(prints.groupBy("vertex").agg(F.first("prints").alias("prints"), F.first("sketch").alias("sketch"), F.min(first).alias("least")))
-    member = connected_components(links(classes, budget)).withColumnRenamed("vertex", "v")
-    if least is not None:
-        some = classes.join(cut(member), F.col("vertex") == F.col("v"), "left_semi")
-        member = connected_components(links(some, budget, least)).withColumnRenamed("vertex", "v")
-    placed = classes.select("vertex", "least").join(member, F.col("vertex") == F.col("v"), "left").select("vertex", "least", F.coalesce("component", "vertex").alias("component"))
-    return placed.select("vertex", "component"), placed.groupBy("component").agg(F.min("least").alias("best"))
-
-
-def near_duplicates(documents: DataFrame, width: int = 3, budget: int = 2, parts: int = 1, sketch_width: int = 0, least: float | None = None, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, prints (its fingerprints), component_id (the smallest doc_id reachable).
-
-    Documents are linked if any one of their ``parts`` fingerprints differs in at most ``budget`` bits; equal texts are
-    one class from the start. If ``least`` is given, whatever its value (it was the bound of an estimate), they are linked if
-    and only if the exact Jaccard similarity of their shingles of ``sketch_width`` words is at least ``similarity``.
-    Null and empty texts have fingerprints of zeros and are linked like any other. Null
-    doc_ids count as larger than all others and get their component's id; a component without any doc_id has null.
-    Repeated rows stay. An empty table gives no rows; other columns are ignored.
+def similar_documents(documents: DataFrame, width: int = 5, similarity: float = SIMILARITY, budget: int = NEAR_BITS) -> DataFrame:
+    """One row per document: doc_id, text_key (a hash of the text), and best_id and best_key, those of the first of its group.
+
+    Documents are linked if the Jaccard similarity of their shingles of ``width`` words is at least ``similarity``; all such
+    pairs are found and decided exactly (see similar). The first document has the least doc_id, null last, then the least
+    text_key. Null and empty texts form a group. Repeated rows stay; an empty table gives no rows; other columns are ignored.
     """
-    if least is not None:
-        bound = Fraction(str(similarity))
-        sets = shingle_sets(documents, sketch_width, bound)
-        placed, best = similar_groups(sets, documents, sketch_width, bound)
-        names = placed.join(best, "component").select(F.col("vertex").alias("v"), F.col("best.doc_id").alias("component_id"))
-        by_text = sets.select("text_key", F.col("vertex").alias("v")).distinct().join(names, "v").drop("v")
-        return fingerprints(documents, width, parts).join(by_text, "text_key").select("doc_id", "prints", "component_id")
-    prints = fingerprints(documents, width, parts)
-    placed, best = grouped(prints, budget)
-    names = placed.join(best, "component").select(F.col("vertex").alias("v"), F.col("best.doc_id").alias("component_id"))
-    return prints.join(names, F.col("vertex") == F.col("v")).select("doc_id", "prints", "component_id")
+    bound = Fraction(str(similarity))
+    sets = shingle_sets(documents, width, bound)
+    classes = distinct_sets(sets)
+    best = first_of_groups(classes, links(classes, budget), documents, width, bound)
+    return sets.select("doc_id", "text_key", "vertex").join(best, "vertex").select("doc_id", "text_key", F.col("best.doc_id").alias("best_id"), F.col("best.text_key").alias("best_key"))
 
 
 def one_of_each(documents: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """``documents`` with one row of each group of near-duplicates: the least doc_id (null last), the rest of its group goes.
+    """``documents`` with one row of each group of near-duplicates (see similar_documents): its first document, the rest goes.
 
-    Near-duplicates have a Jaccard similarity of ``similarity`` or more over shingles of ``width`` words; all such pairs are
-    found and decided exactly (see similar). Rows that are repeated as a whole are one row afterwards; null and
-    empty texts form a group. An empty table stays empty; all columns stay.
+    Of rows that have doc_id and text in common one stays, the least by a hash of all columns that can be hashed. An empty
+    table stays empty; all columns stay.
     """
-    bound = Fraction(str(similarity))
-    _, best = similar_groups(shingle_sets(documents, width, bound), documents, width, bound)
-    own_key, doc, key = fresh(documents, "_key", "_doc_id", "_text_key")
-    chosen = best.select(F.col("best.doc_id").alias(doc), F.col("best.text_key").alias(key))
-    keyed = documents.withColumn(own_key, F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own_key) == F.col(key))
-    return keyed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", own_key]).drop(own_key)
+    every = similar_documents(documents, width, similarity)
+    same = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("text_key") == F.col("best_key"))
+    counted = stored(every.groupBy(F.col("doc_id").alias("k_doc"), F.col("text_key").alias("k_text")).agg(F.count("*").alias("n"), F.first(same).alias("stays")).where("n > 1 or not stays"))
+    whole = listed(documents, counted.select("k_doc", "k_text"), "left_anti")
+    again = listed(documents, counted.where("stays").select("k_doc", "k_text"), "left_semi")
+    hashed = F.xxhash64(*(again[f"`{f.name}`"] for f in again.schema if "map<" not in f.dataType.simpleString()))
+    one = again.groupBy("doc_id", F.xxhash64("text").alias(fresh(documents, "_key")[0])).agg(F.min_by(F.struct("*"), hashed).alias("_row")).select("_row.*")
+    return whole.unionByName(one)
 
 
 def near_duplicate_table(documents: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for 3-word shingles and 2 differing bits."""
     rows = near_duplicates(documents)
-    return rows.select("doc_id", F.lower(F.lpad(F.hex(F.col("prints")[0]), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")

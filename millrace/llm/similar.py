@@ -1,9 +1,14 @@
-"""Groups of texts by the exact Jaccard similarity of their word shingles, found by a prefix filter.
+"""Groups of texts by the exact Jaccard similarity of their word shingles.
 
-Two sets of n and m elements with a similarity of at least s share an element among the first n - ceil(s * n) + 1 of the
+Candidate pairs come from the SimHash trie join (see simhash) and, for what fingerprints cannot see, from a prefix filter:
+two sets of n and m elements with a similarity of at least s share an element among the first n - ceil(s * n) + 1 of the
 one and the first m - ceil(s * m) + 1 of the other, in any fixed order of all elements. Elements that are common in a
-sample come last in that order; the sample decides how many pairs are compared, never which are found. Texts that share
-such an element are compared with the least of them first. What these links leave unjoined is compared in all pairs.
+sample come last in that order; the sample decides how many pairs are compared, never which are found.
+
+Of the texts that share such an element, one that shares most is compared with all others first. What these links leave in
+different groups is compared with the texts of that element's other groups. Before two sets are fetched, their odd
+sketches are compared: bit b of a sketch is the parity of how many elements fall into bucket b, so two sketches differ in at
+most as many bits as the sets differ in elements, and a pair beyond that bound is dropped without being missed.
 """
 
 from __future__ import annotations
@@ -15,17 +20,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import text_of
-from millrace.llm.shingles import SEED, shingle_hashes
+from millrace.llm.shingles import SEED, fingerprint, shingle_hashes
 from millrace.operators.components import connected_components
-from millrace.plans.storage import cut
+from millrace.plans.storage import cut, stored
 
 #: Distinct texts of the sample for common shingles, about, and how many of these are sent to tasks at most.
 SAMPLE, COMMON = 4000, 200_000
+#: Bits of an odd sketch.
+SKETCH_BITS = 1024
+#: Keys up to which a list of documents is broadcast; a longer one is joined by key.
+FEW_KEYS = 1_000_000
 
 
 def common_shingles(documents: DataFrame, width: int) -> np.ndarray:
@@ -42,16 +51,26 @@ def common_shingles(documents: DataFrame, width: int) -> np.ndarray:
     return np.array([r.h for r in counts.collect()][::-1], np.int64).view(np.uint64)
 
 
-def prefix_column(width: int, least: Fraction, common: np.ndarray):
-    """vertex (a hash of the set of shingles), size of the set, and the elements of its prefix in order."""
+def odd_sketch(elements: np.ndarray) -> np.ndarray:
+    """Parity of the number of elements in each bucket, as signed 64-bit numbers."""
+    bucket = (elements >> np.uint64(20)) % np.uint64(SKETCH_BITS)
+    return np.packbits(np.bincount(bucket.astype(np.int64), minlength=SKETCH_BITS) & 1).view(np.int64)
+
+
+SET = T.StructType([T.StructField("vertex", T.LongType()), T.StructField("size", T.LongType()), T.StructField("prints", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("prefix", T.ArrayType(T.LongType()))])
+
+
+def set_column(width: int, least: Fraction, common: np.ndarray):
+    """Of a text's shingles: vertex (a hash of the set), its size, fingerprint and odd sketch, and its prefix in order."""
     by_hash = np.argsort(common)
     in_order = common[by_hash]
 
-    @F.pandas_udf(T.StructType([T.StructField("vertex", T.LongType()), T.StructField("size", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]))
-    def prefixes(texts: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf(SET)
+    def sets(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            h = np.unique(shingle_hashes(t, width))
+            every = shingle_hashes(t, width)
+            h = np.unique(every)
             n = len(h)
             rank = np.full(n, -1)
             if len(in_order):
@@ -59,19 +78,40 @@ def prefix_column(width: int, least: Fraction, common: np.ndarray):
                 rank = np.where(in_order[at] == h, by_hash[at], -1)
             keep = n - -(-least.numerator * n // least.denominator) + 1 if n else 0
             prefix = h[np.lexsort((h, rank))[:keep]]
-            rows.append((int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).astype(np.int64)), n, prefix.view(np.int64)))
-        return pd.DataFrame(rows, columns=["vertex", "size", "prefix"])
+            rows.append((int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).astype(np.int64)), n, [fingerprint(every)], odd_sketch(h), prefix.view(np.int64)))
+        return pd.DataFrame(rows, columns=SET.names)
 
-    return prefixes
+    return sets
 
 
 def shingle_sets(documents: DataFrame, width: int, least: Fraction) -> DataFrame:
-    """(doc_id, text_key, vertex, size, prefix). A vertex is a set of shingles; texts without words share one."""
-    column = prefix_column(width, least, common_shingles(documents, width))
-    return documents.select("doc_id", F.xxhash64("text").alias("text_key"), column(text_of()).alias("s")).select("doc_id", "text_key", "s.*")
+    """(doc_id, text_key, vertex, size, prints, sketch, prefix), stored. Texts without words share one vertex."""
+    column = set_column(width, least, common_shingles(documents, width))
+    return stored(documents.select("doc_id", F.xxhash64("text").alias("text_key"), column(text_of()).alias("s")).select("doc_id", "text_key", "s.*"))
+
+
+def listed(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """``rows`` with (or, for left_anti, without) a (k_doc, k_text) among the keys; a short list is broadcast."""
+    if keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS:
+        keys = F.broadcast(keys)
+    return rows.join(keys, rows["doc_id"].eqNullSafe(keys["k_doc"]) & (F.xxhash64(rows["text"]) == keys["k_text"]), how)
+
+
+def _bits_apart(a: Column, b: Column) -> Column:
+    apart = F.bit_count(a[0].bitwiseXOR(b[0]))
+    for k in range(1, SKETCH_BITS // 64):
+        apart = apart + F.bit_count(a[k].bitwiseXOR(b[k]))
+    return apart
+
+
+def _may_be_alike(x: str, y: str, least: Fraction) -> Column:
+    """Whether sizes and sketches (size_x, sketch_x, ...) allow the similarity: sets differ in (1 - s) / (1 + s) of their sizes' sum at most."""
+    p, q = least.numerator, least.denominator
+    n, m = F.col(f"size_{x}"), F.col(f"size_{y}")
+    return (F.least(n, m) * q >= F.greatest(n, m) * p) & (_bits_apart(F.col(f"sketch_{x}"), F.col(f"sketch_{y}")) * (q + p) <= (n + m) * (q - p))
 
 
-def _alike(pairs: DataFrame, classes: DataFrame, documents: DataFrame, width: int, least: Fraction) -> DataFrame:
+def alike(pairs: DataFrame, classes: DataFrame, documents: DataFrame, width: int, least: Fraction) -> DataFrame:
     """The pairs (src, dst) of vertices whose sets have a similarity of at least ``least``."""
 
     @F.pandas_udf("binary")
@@ -87,46 +127,75 @@ def _alike(pairs: DataFrame, classes: DataFrame, documents: DataFrame, width: in
             out.append(both * least.denominator >= least.numerator * (len(x) + len(y) - both))
         return pd.Series(out, dtype=bool)
 
+    for side, end in (("a", "src"), ("b", "dst")):
+        pairs = pairs.join(classes.select(F.col("vertex").alias(end), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), end)
+    pairs = stored(pairs.where(_may_be_alike("a", "b", least)).select("src", "dst"))
     ends = pairs.select(F.col("src").alias("vertex")).union(pairs.select(F.col("dst").alias("vertex"))).distinct()
-    one = classes.join(ends, "vertex").select("vertex", F.col("least.doc_id").alias("d"), F.col("least.text_key").alias("k"))
-    texts = documents.select("doc_id", F.xxhash64("text").alias("text_key"), text_of().alias("text"))
-    found = texts.join(one, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).dropDuplicates(["vertex"])
-    sets = cut(found.select("vertex", set_of("text").alias("s")))
+    keys = stored(classes.join(ends, "vertex").select("vertex", F.col("least.doc_id").alias("k_doc"), F.col("least.text_key").alias("k_text")))
+    found = listed(documents.select("doc_id", "text"), keys, "inner").groupBy("vertex").agg(F.min("text").alias("text"))
+    sets = stored(found.select("vertex", set_of(text_of()).alias("s")))
     sides = [sets.select(F.col("vertex").alias(c), F.col("s").alias(f"{c}_set")) for c in ("src", "dst")]
-    return cut(pairs.join(sides[0], "src").join(sides[1], "dst").where(near("src_set", "dst_set")).select("src", "dst"))
+    return stored(pairs.join(sides[0], "src").join(sides[1], "dst").where(near("src_set", "dst_set")).select("src", "dst"))
 
 
-def similar_groups(sets: DataFrame, documents: DataFrame, width: int, least: Fraction) -> tuple[DataFrame, DataFrame]:
-    """(vertex, component), and per component the first document as ``best``: least doc_id, null last, then least text_key.
+def shared_elements(classes: DataFrame) -> DataFrame:
+    """(token, vertex, place) of the prefix elements that two or more sets have, stored."""
+    tokens = classes.select("vertex", F.posexplode("prefix").alias("place", "token"))
+    group = Window.partitionBy("token").orderBy("vertex")
+    beside = tokens.select("*", F.lag("vertex").over(group).alias("before"), F.lead("vertex").over(group).alias("after"))
+    return stored(beside.where("before is not null or after is not null").select("token", "vertex", "place"))
 
-    Components are those of the graph of all pairs of sets with a similarity of at least ``least``.
+
+def _enough(x: str, y: str, least: Fraction) -> Column:
+    """Whether what two sets can share from an element on (size_x, place_x, ...), which is their first common one, is what they must share."""
+    most = F.least(F.col(f"size_{x}") - F.col(f"place_{x}"), F.col(f"size_{y}") - F.col(f"place_{y}"))
+    return most * (least.numerator + least.denominator) >= (F.col(f"size_{x}") + F.col(f"size_{y}")) * least.numerator
+
+
+def leading_pairs(posted: DataFrame, classes: DataFrame, least: Fraction) -> DataFrame:
+    """Distinct pairs (src, dst): for each shared element the set with the greatest part of its prefix shared, and each other one."""
+    weight = posted.groupBy("vertex").agg(F.count("*").alias("shared")).join(classes.select("vertex", "size"), "vertex").select("vertex", "size", (F.col("shared") / F.col("size")).alias("weight"))
+    rows = stored(posted.join(weight, "vertex"))
+    leads = rows.groupBy("token").agg(F.max(F.struct("weight", "vertex", "size", "place")).alias("a")).select("token", F.col("a.vertex").alias("src"), F.col("a.size").alias("size_a"), F.col("a.place").alias("place_a"))
+    others = rows.select("token", F.col("vertex").alias("dst"), F.col("size").alias("size_b"), F.col("place").alias("place_b"))
+    return others.join(leads, "token").where((F.col("src") != F.col("dst")) & _enough("a", "b", least)).select("src", "dst").distinct()
+
+
+def open_pairs(posted: DataFrame, classes: DataFrame, member: DataFrame, least: Fraction) -> DataFrame:
+    """Distinct pairs of sets in different groups that share an element and may be alike.
+
+    Each element's largest group is met by the sets of its others only, so that a large group costs no pairs inside.
     """
+    rows = posted.join(member, "vertex", "left").select("token", "vertex", "place", F.coalesce("component", "vertex").alias("c"))
+    by_group = rows.groupBy("token", "c").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("groups"), F.max(F.struct("n", "c"))["c"].alias("most"))
+    # Elements within one group are dropped before sketches are fetched.
+    rest = stored(rows.join(by_group.where("groups > 1").select("token", "most"), "token").join(classes.select("vertex", "size", "sketch"), "vertex"))
+    names = ("vertex", "place", "c", "size", "sketch")
+    a, b = (x.select("token", *(F.col(n).alias(f"{n}_{side}") for n in names)) for x, side in ((rest.where("c != most"), "a"), (rest, "b")))
+    crossed = a.join(b, "token").where((F.col("c_a") != F.col("c_b")) & _enough("a", "b", least) & _may_be_alike("a", "b", least))
+    return stored(crossed.select(F.least("vertex_a", "vertex_b").alias("src"), F.greatest("vertex_a", "vertex_b").alias("dst")).distinct())
+
+
+def distinct_sets(sets: DataFrame) -> DataFrame:
+    """One row per vertex, stored, with the first of its documents as ``least``: doc_id, null last, then text_key."""
     first = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_key")
-    # Size and prefix follow from the vertex, so any of its rows has the same.
-    classes = cut(sets.groupBy("vertex").agg(F.min(first).alias("least"), F.first("size").alias("size"), F.first("prefix").alias("prefix")))
-    tokens = classes.select("vertex", "size", F.posexplode("prefix").alias("place", "token"))
-    # What two sets can share from an element on that is their first common one, against what they must share.
-    def enough(x: str, y: str) -> Column:
-        most = F.least(F.col(f"size_{x}") - F.col(f"place_{x}"), F.col(f"size_{y}") - F.col(f"place_{y}"))
-        return most * (least.numerator + least.denominator) >= (F.col(f"size_{x}") + F.col(f"size_{y}")) * least.numerator
-
-    own = F.struct("vertex", "size", "place")
-    shared = tokens.groupBy("token").agg(F.min("vertex").alias("lead"), F.max("vertex").alias("other")).where("lead != other").select("token", "lead")
-    posted = cut(tokens.join(shared, "token"))
-    leads = posted.groupBy("token").agg(F.min(own).alias("a")).select("token", *(F.col(f"a.{c}").alias(f"{c}_a") for c in ("size", "place")))
-    led = posted.where("vertex != lead").select("token", "vertex", "lead", F.col("size").alias("size_b"), F.col("place").alias("place_b")).join(leads, "token")
-    first_pairs = cut(led.where(enough("a", "b")).select(F.col("lead").alias("src"), F.col("vertex").alias("dst")).distinct())
-    edges = _alike(first_pairs, classes, documents, width, least)
-    member = cut(connected_components(edges).withColumnRenamed("vertex", "v"))
-    placed = posted.join(member, F.col("vertex") == F.col("v"), "left").select("token", "vertex", "size", "place", F.coalesce("component", "vertex").alias("c"))
-    open_tokens = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token")
-    rest = cut(placed.join(open_tokens, "token"))
-    a, b = (rest.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("vertex", "size", "place", "c"))) for side in "ab")
-    crossed = a.join(b, "token").where((F.col("c_a") != F.col("c_b")) & (F.col("vertex_a") < F.col("vertex_b")) & enough("a", "b"))
-    pairs = cut(crossed.select(F.col("vertex_a").alias("src"), F.col("vertex_b").alias("dst")).distinct().join(first_pairs, ["src", "dst"], "left_anti"))
+    # All else follows from the vertex, so any of its rows has the same.
+    return stored(sets.groupBy("vertex").agg(F.min(first).alias("least"), *(F.first(c).alias(c) for c in ("size", "prints", "sketch", "prefix"))))
+
+
+def first_of_groups(classes: DataFrame, proposed: DataFrame, documents: DataFrame, width: int, least: Fraction) -> DataFrame:
+    """(vertex, best): of each set's group the first document, a struct of doc_id and text_key.
+
+    Groups are the components of the graph of all pairs of sets with a similarity of at least ``least``. Pairs (src, dst)
+    that are proposed are compared beside those that the prefix filter finds.
+    """
+    posted = shared_elements(classes)
+    candidates = proposed.union(leading_pairs(posted, classes, least)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    edges = alike(candidates, classes, documents, width, least)
+    member = cut(connected_components(edges))
+    pairs = open_pairs(posted, classes, member, least)
     if not pairs.isEmpty():
-        more = _alike(pairs, classes, documents, width, least)
-        member = connected_components(edges.union(more)).withColumnRenamed("vertex", "v")
-    joined = classes.join(member, F.col("vertex") == F.col("v"), "left").select("vertex", "least", F.coalesce("component", "vertex").alias("component"))
-    placed = cut(joined)
-    return placed.select("vertex", "component"), placed.groupBy("component").agg(F.min("least").alias("best"))
+        more = alike(pairs, classes, documents, width, least)
+        member = cut(connected_components(edges.union(more)))
+    placed = classes.select("vertex", "least").join(member, "vertex", "left").select("vertex", "least", F.coalesce("component", "vertex").alias("component"))
+    return placed.join(placed.groupBy("component").agg(F.min("least").alias("best")), "component").select("vertex", "best")

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, media, mixing, packing, quality, secrets, simhash, suffix, toxicity
+from millrace.llm import bpe, chat, media, mixing, packing, quality, secrets, simhash, similar, suffix, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -215,8 +215,16 @@ def test_near_copies_by_similarity(spark):
     left = {r.doc_id for r in simhash.one_of_each(df).collect()}
     assert {10 * k for k in range(60)} <= left and set(far) <= left
     assert len(left & set(near)) <= 2
-    a, b = (np.frombuffer(simhash.sketch(np.arange(lo, lo + 2000, dtype=np.uint64)), np.uint8)[None] for lo in (0, 400))
-    assert simhash.similarity(a, b)[0] == pytest.approx(1600 / 2400, abs=0.1)
+
+
+def test_odd_sketches_never_differ_in_more_bits_than_sets_in_elements():
+    rng = np.random.default_rng(5)
+    for n in (1, 30, 400, 3000):
+        a = rng.integers(0, 2**63, n, dtype=np.uint64)
+        for m in (0, 1, n // 3):
+            b = np.r_[a[m:], rng.integers(0, 2**63, m // 2, dtype=np.uint64)]
+            apart = np.bitwise_count((similar.odd_sketch(a) ^ similar.odd_sketch(b)).view(np.uint64)).sum()
+            assert apart <= m + m // 2 and (m == 0 or n > 500 or apart > 0.6 * (m + m // 2))
 
 
 def grams(text):
@@ -273,8 +281,7 @@ def test_texts_of_equal_prints_stay(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert left_by_brute_force(rows) == set(range(30))
     assert {r.doc_id for r in simhash.one_of_each(df).collect()} == set(range(30))
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, 2, 3, 8, 5, 0.8).collect()}
-    assert groups == {k: k for k in range(30)}
+    assert {r.doc_id: r.best_id for r in simhash.similar_documents(df).collect()} == {k: k for k in range(30)}
 
 
 def test_similarity_around_the_bound_is_exact(spark):
