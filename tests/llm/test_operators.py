@@ -388,6 +388,72 @@ def test_best_fit_fills_bins():
     assert packing.pack(np.array([300]))[2].tolist() == [512] and len(packing.pack(np.empty(0, int))[0]) == 0
 
 
+def plain_best_fit(lengths, permitted, plan):
+    """Contents of the bins that a search through all open bins gives for descending pieces."""
+    bins = []
+    for n in lengths:
+        fits = [b for b in bins if b[0] >= n]
+        if fits:
+            least = min(b[0] for b in fits)
+            b = [b for b in fits if b[0] == least][0]
+        else:
+            bins.append(b := [plan[[c >= n for c in permitted].index(True)], []])
+        b[0] -= n
+        b[1].append(n)
+    return sorted(sorted(b[1]) for b in bins)
+
+
+def all_groupings(items):
+    if not items:
+        yield []
+        return
+    for rest in all_groupings(items[1:]):
+        yield [[items[0]], *rest]
+        for k in range(len(rest)):
+            yield rest[:k] + [[items[0], *rest[k]]] + rest[k + 1 :]
+
+
+def test_packing_against_brute_force():
+    """Every plan is what plain best fit gives, the cheapest one is taken, and it is near the best of all groupings."""
+    rng = np.random.default_rng(3)
+    permitted = (8, 16, 32)
+    for _ in range(40):
+        lengths = rng.integers(1, 25, 7)
+        falling = np.sort(lengths)[::-1]
+        total = lambda groups: sum(packing.sequence_cost(next(c for c in permitted if c >= sum(g)), 2, 64) for g in groups)
+        costs = []
+        for plan in ((a, b, 32) for a in permitted for b in permitted[1:]):
+            where, _, final = packing.best_fit(falling, permitted, plan)
+            mine = sorted(sorted(falling[where == k].tolist()) for k in range(len(final)))
+            assert total(mine) == total(plain_best_fit(falling.tolist(), permitted, plan))
+            costs.append(total(mine))
+        where, offset, final = packing.pack(lengths, permitted, 2, 64)
+        cost = packing.sequence_cost(final, 2, 64).sum()
+        best = min(total(g) for g in all_groupings(lengths.tolist()) if max(map(sum, g)) <= 32)
+        assert cost == min(costs) and best <= cost <= 1.25 * best
+        spans = sorted((w, o, o + n) for w, o, n in zip(where.tolist(), offset.tolist(), lengths.tolist()))
+        assert all(w != v or end <= start for (w, _, end), (v, start, _) in zip(spans, spans[1:]))
+
+
+@pytest.mark.parametrize("low, high", [(1, 700), (400, 600), (200, 1500)])
+def test_several_lengths_cost_less_than_one(low, high):
+    lengths = np.random.default_rng(6).integers(low, high + 1, 4000)
+    final = packing.pack(lengths)[2]
+    cost = packing.sequence_cost(final).sum()
+    assert sorted(np.bincount(np.searchsorted(packing.LENGTHS, final), minlength=4))[-2] > 0.1 * len(final)
+    for one in packing.LENGTHS:
+        if one >= high:
+            assert cost < packing.sequence_cost(packing.pack(lengths, (one,))[2]).sum()
+
+
+def test_copies_of_one_row_are_dealt_to_all_shards(spark):
+    df = spark.range(900).select(F.lit(5).cast("long").alias("doc_id"), F.lit("one and the same text").alias("text"))
+    got = packing.pack_documents(df, shard=100).collect()
+    assert sorted(r["copy"] for r in got) == list(range(900))
+    shards = Counter(r.bin_id.split("-")[0] for r in got)
+    assert len(shards) == 9 and max(shards.values()) < 200
+
+
 def plain_removal(rows, n=50):
     first = {}
     key = lambda i: math.inf if i is None else i

@@ -45,7 +45,7 @@ def test_stages(spark):
 
 
 def test_run_gives_the_last_stage(spark):
-    assert corpus_pipeline.run(spark, TINY).columns == ["bin_id", "bin_length", "bin_used", "bin_offset", "doc_id", "piece", "start", "length"]
+    assert corpus_pipeline.run(spark, TINY).columns == ["bin_id", "bin_length", "bin_used", "bin_offset", "doc_id", "copy", "piece", "start", "length"]
     assert corpus_pipeline.ORACLE_SQL is None and queries.QUERIES["pipeline"] is corpus_pipeline.run
 
 
