@@ -174,7 +174,7 @@ def similar_documents(documents: DataFrame, width: int = 5, similarity: float =
     bound = Fraction(str(similarity))
     sets = shingle_sets(documents, width, bound)
     classes = distinct_sets(sets)
-    best = first_of_groups(classes, links(classes, budget), documents, width, bound)
+    best = first_of_groups(sets, classes, links(classes, budget), documents, width, bound)
     return sets.select("doc_id", "text_key", "vertex").join(best, "vertex").select("doc_id", "text_key", F.col("best.doc_id").alias("best_id"), F.col("best.text_key").alias("best_key"))
 
 

@@ -5,9 +5,9 @@ two sets of n and m elements with a similarity of at least s share an element am
 one and the first m - ceil(s * m) + 1 of the other, in any fixed order of all elements. Elements that are common in a
 sample come last in that order; the sample decides how many pairs are compared, never which are found.
 
-Of the texts that share such an element, one that shares most is compared with all others first. What these links leave in
-different groups is compared with the texts of that element's other groups. Before two sets are fetched, their odd
-sketches are compared: bit b of a sketch is the parity of how many elements fall into bucket b, so two sketches differ in at
+Elements that the same texts share, such as those of one passage, stand for one another: the first of them is kept. Of the
+texts that share it, one that shares most is compared with all others first. What these links leave in different groups is
+compared with the texts of that element's other groups. Before two sets are fetched, their odd sketches are compared: bit b of a sketch is the parity of how many elements fall into bucket b, so two sketches differ in at
 most as many bits as the sets differ in elements, and a pair beyond that bound is dropped without being missed.
 """
 
@@ -31,6 +31,8 @@ from millrace.plans.storage import cut, stored
 
 #: Distinct texts of the sample for common shingles, about, and how many of these are sent to tasks at most.
 SAMPLE, COMMON = 4000, 200_000
+#: Bits of an element in the prefix filter. Elements that fall together there cost a comparison, no more.
+ELEMENT_BITS = 48
 #: Bits of an odd sketch.
 SKETCH_BITS = 1024
 #: Keys up to which a list of documents is broadcast; a longer one is joined by key.
@@ -78,7 +80,7 @@ def set_column(width: int, least: Fraction, common: np.ndarray):
                 rank = np.where(in_order[at] == h, by_hash[at], -1)
             keep = n - -(-least.numerator * n // least.denominator) + 1 if n else 0
             prefix = h[np.lexsort((h, rank))[:keep]]
-            rows.append((int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).astype(np.int64)), n, [fingerprint(every)], odd_sketch(h), prefix.view(np.int64)))
+            rows.append((int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).astype(np.int64)), n, [fingerprint(every)], odd_sketch(h), (prefix >> np.uint64(64 - ELEMENT_BITS)).view(np.int64)))
         return pd.DataFrame(rows, columns=SET.names)
 
     return sets
@@ -138,12 +140,19 @@ def alike(pairs: DataFrame, classes: DataFrame, documents: DataFrame, width: int
     return stored(pairs.join(sides[0], "src").join(sides[1], "dst").where(near("src_set", "dst_set")).select("src", "dst"))
 
 
-def shared_elements(classes: DataFrame) -> DataFrame:
-    """(token, vertex, place) of the prefix elements that two or more sets have, stored."""
-    tokens = classes.select("vertex", F.posexplode("prefix").alias("place", "token"))
-    group = Window.partitionBy("token").orderBy("vertex")
-    beside = tokens.select("*", F.lag("vertex").over(group).alias("before"), F.lead("vertex").over(group).alias("after"))
-    return stored(beside.where("before is not null or after is not null").select("token", "vertex", "place"))
+def shared_elements(sets: DataFrame) -> DataFrame:
+    """(token, vertex, place, many) of the prefix elements that two or more sets have, stored.
+
+    Elements with the same sets are one row a set: the least place, and how many they are. Such elements come in the same
+    order in all of their sets, so the least place is the first common one for every pair of them.
+    """
+    prefixes = sets.groupBy("vertex").agg(F.first("prefix").alias("prefix"))
+    tokens = prefixes.select("vertex", F.posexplode("prefix").alias("place", "token"))
+    group = Window.partitionBy("token")
+    own = [F.bit_xor(F.xxhash64("vertex", F.lit(seed))).over(group).alias(name) for seed, name in ((1, "one"), (2, "two"))]
+    posted = tokens.select("vertex", "place", F.count("*").over(group).alias("n"), *own).where("n > 1")
+    kept = posted.groupBy("one", "two", "vertex").agg(F.min("place").alias("place"), F.count("*").alias("many"))
+    return stored(kept.select(F.xxhash64("one", "two").alias("token"), "vertex", "place", "many"))
 
 
 def _enough(x: str, y: str, least: Fraction) -> Column:
@@ -154,8 +163,8 @@ def _enough(x: str, y: str, least: Fraction) -> Column:
 
 def leading_pairs(posted: DataFrame, classes: DataFrame, least: Fraction) -> DataFrame:
     """Distinct pairs (src, dst): for each shared element the set with the greatest part of its prefix shared, and each other one."""
-    weight = posted.groupBy("vertex").agg(F.count("*").alias("shared")).join(classes.select("vertex", "size"), "vertex").select("vertex", "size", (F.col("shared") / F.col("size")).alias("weight"))
-    rows = stored(posted.join(weight, "vertex"))
+    weight = posted.groupBy("vertex").agg(F.sum("many").alias("shared")).join(classes.select("vertex", "size"), "vertex").select("vertex", "size", (F.col("shared") / F.col("size")).alias("weight"))
+    rows = posted.join(weight, "vertex")
     leads = rows.groupBy("token").agg(F.max(F.struct("weight", "vertex", "size", "place")).alias("a")).select("token", F.col("a.vertex").alias("src"), F.col("a.size").alias("size_a"), F.col("a.place").alias("place_a"))
     others = rows.select("token", F.col("vertex").alias("dst"), F.col("size").alias("size_b"), F.col("place").alias("place_b"))
     return others.join(leads, "token").where((F.col("src") != F.col("dst")) & _enough("a", "b", least)).select("src", "dst").distinct()
@@ -180,16 +189,16 @@ def distinct_sets(sets: DataFrame) -> DataFrame:
     """One row per vertex, stored, with the first of its documents as ``least``: doc_id, null last, then text_key."""
     first = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_key")
     # All else follows from the vertex, so any of its rows has the same.
-    return stored(sets.groupBy("vertex").agg(F.min(first).alias("least"), *(F.first(c).alias(c) for c in ("size", "prints", "sketch", "prefix"))))
+    return stored(sets.groupBy("vertex").agg(F.min(first).alias("least"), *(F.first(c).alias(c) for c in ("size", "prints", "sketch"))))
 
 
-def first_of_groups(classes: DataFrame, proposed: DataFrame, documents: DataFrame, width: int, least: Fraction) -> DataFrame:
+def first_of_groups(sets: DataFrame, classes: DataFrame, proposed: DataFrame, documents: DataFrame, width: int, least: Fraction) -> DataFrame:
     """(vertex, best): of each set's group the first document, a struct of doc_id and text_key.
 
     Groups are the components of the graph of all pairs of sets with a similarity of at least ``least``. Pairs (src, dst)
     that are proposed are compared beside those that the prefix filter finds.
     """
-    posted = shared_elements(classes)
+    posted = shared_elements(sets)
     candidates = proposed.union(leading_pairs(posted, classes, least)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     edges = alike(candidates, classes, documents, width, least)
     member = cut(connected_components(edges))
