@@ -7,31 +7,34 @@ only: a document is kept if no rule rejects it.
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACES, WORD, let, text_of, word_count, words_of
+from millrace.llm.common import WORD, let, text_of, words_of
+from millrace.plans.storage import stored
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
 #: Rows, and characters of each, on which costs and rejections are estimated; the verdicts do not depend on them.
 SAMPLE, SAMPLE_CHARS = 400, 20_000
+#: Timed runs of a rule on the sample, and the least time in seconds that counts as its cost.
+RUNS, LEAST_COST = 2, 0.002
+#: Rules that the base verdict stands for.
+BASE = {"few_words", "repeated_runs"}
 
 
-def without(text: Column, letters: str) -> Column:
-    return F.translate(text, letters, "")
-
-
-def word_chars(text: Column) -> Column:
-    """Code points in words: all that are no white space."""
-    return F.char_length(without(text, SPACES)).cast("long")
+def word_chars(words: Column) -> Column:
+    """Code points in words."""
+    return F.char_length(F.array_join(words, "")).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
-    return (F.char_length(text) - F.char_length(without(text, SYMBOLS))).cast("long")
+    """Characters of ``SYMBOLS``: one less than the parts between them."""
+    return (F.size(F.split(text, SYMBOLS, -1)) - 1).cast("long")
 
 
 def n_dup_lines(text: Column) -> Column:
@@ -43,17 +46,13 @@ def n_dup_lines(text: Column) -> Column:
     return let(F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD)), count).cast("long")
 
 
-def _pair_hashes(hashes: Column, apart: int) -> Column:
-    """Hash of each element with the one ``apart`` places on, where there is one."""
-    return let(hashes, lambda a: F.transform(F.slice(a, 1, F.greatest(F.size(a) - apart, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(a, i + apart))))
+def _window_hashes(words: Column) -> Column:
+    """A hash of every run of 8 words, from the words' hashes, so that a word is not read 8 times."""
 
+    def runs(h: Column) -> Column:
+        return F.transform(F.slice(h, 1, F.greatest(F.size(h) - (WINDOW - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(h, i + k) for k in range(1, WINDOW))))
 
-def _window_hashes(words: Column) -> Column:
-    """A hash of every run of 8 words: of pairs, of pairs of pairs, and so on, so a word is not read 8 times."""
-    hashes, apart = F.transform(words, lambda w: F.xxhash64(w)), 1
-    while apart < WINDOW:
-        hashes, apart = _pair_hashes(hashes, apart), apart * 2
-    return hashes
+    return let(F.transform(words, lambda w: F.xxhash64(w)), runs)
 
 
 def _covered(words: Column) -> Column:
@@ -71,21 +70,13 @@ def _covered(words: Column) -> Column:
     return let(runs, twice)
 
 
-def n_repeat_words(text: Column) -> Column:
+def n_repeat_words(words: Column) -> Column:
     """Words in runs of 8 that occur twice or more in the text, the first occurrence included.
 
     Hashes settle the documents in which all runs differ; only the others are compared as text.
     """
-
-    def suspect(words: Column) -> Column:
-        return F.size(words) > WINDOW
-
-    def count(words: Column) -> Column:
-        hashes = _window_hashes(words)
-        again = let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
-        return F.when(suspect(words) & again, _covered(words)).otherwise(0)
-
-    return let(words_of(text), count).cast("long")
+    again = let(_window_hashes(words), lambda h: F.size(F.array_distinct(h)) < F.size(h))
+    return F.when((F.size(words) > WINDOW) & again, _covered(words)).otherwise(0).cast("long")
 
 
 @dataclass(frozen=True)
@@ -96,38 +87,51 @@ class Rule:
     rejects: Column
 
 
-def base_failed(text: Column) -> Column:
-    n = word_count(text)
-    return (n < 20) | (100 * n_repeat_words(text) > 30 * n)
+def counts(text: Column, words: Column) -> dict[str, Column]:
+    """The counts that rules look at, as expressions over a text and its words."""
+    return {"n_words": F.size(words).cast("long"), "word_chars": word_chars(words), "n_symbols": n_symbols(text), "n_dup_lines": n_dup_lines(text), "n_repeat_words": n_repeat_words(words)}
 
 
-def rules(text: Column) -> list[Rule]:
-    """Production rules. A rule that divides asks for no words to be there: products are compared instead."""
-    n = word_count(text)
-    letters = F.char_length(F.regexp_replace(text, r"[^\p{Lu}\p{Ll}]", ""))
-    capitals = F.char_length(F.regexp_replace(text, r"[^\p{Lu}]", ""))
+def rules(text: Column, words: Column, counted: dict[str, Column] | None = None) -> list[Rule]:
+    """Production rules, over counts that are columns already if given. Where a rule would divide, products are compared."""
+    c = counted or counts(text, words)
+    n = c["n_words"]
+    letters = F.char_length(F.regexp_replace(text, r"[^\p{Lu}\p{Ll}]+", ""))
+    capitals = F.char_length(F.regexp_replace(text, r"[^\p{Lu}]+", ""))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     return [
         Rule("few_words", n < 20),
-        Rule("symbols", 10 * n_symbols(text) > n),
-        Rule("long_words", word_chars(text) > 12 * n),
-        Rule("short_words", 2 * word_chars(text) < 5 * n),
-        Rule("capitals", 2 * capitals > letters),
-        Rule("repeated_lines", let(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)), lambda a: let(F.size(a) - F.size(F.array_distinct(a)), lambda again: (again >= 3) & (10 * again > 3 * F.size(a))))),
-        Rule("few_distinct_words", let(words_of(text), lambda w: 5 * F.size(F.array_distinct(w)) < F.size(w)) & (n < 2000)),
-        Rule("repeated_runs", 100 * n_repeat_words(text) > 30 * n),
+        Rule("symbols", 10 * c["n_symbols"] > n),
+        Rule("long_words", c["word_chars"] > 12 * n),
+        Rule("short_words", 2 * c["word_chars"] < 5 * n),
+        Rule("capitals", let(capitals, lambda x: (x > 0) & (2 * x > letters))),
+        Rule("repeated_lines", let(lines, lambda a: let(F.size(a) - F.size(F.array_distinct(a)), lambda again: (again >= 3) & (10 * again > 3 * F.size(a))))),
+        Rule("few_distinct_words", (n < 2000) & (5 * F.size(F.array_distinct(words)) < n)),
+        Rule("repeated_runs", 100 * c["n_repeat_words"] > 30 * n),
     ]
 
 
+def _seconds(sample: DataFrame, test: Column) -> tuple[float, int]:
+    """The least time of some runs of a test over a table, and how many rows it holds for. The first run, which compiles, is not timed."""
+    took, held = [], 0
+    for _ in range(RUNS + 1):
+        began = time.perf_counter()
+        held = sample.agg(F.count_if(test)).first()[0]
+        took.append(time.perf_counter() - began)
+    return min(took[1:]), held
+
+
 def order_by_yield(sample: DataFrame, given: list[Rule]) -> list[Rule]:
-    """``given`` in the order of rejections per second on a small table.
+    """``given`` in the order of rejections per cost on a small table.
 
-    Each rule is timed by itself. A rule that rejects nothing there comes last, the cheaper first.
+    A rule's cost is the time that it takes beyond a job that tests nothing, in steps of a factor of two, so that noise
+    seldom changes the order. A rule that rejects nothing there comes last; the cheaper comes first, then the earlier.
     """
+    nothing, _ = _seconds(sample, F.lit(False))
     scored = []
     for place, rule in enumerate(given):
-        began = time.perf_counter()
-        rejected = sample.agg(F.count_if(rule.rejects)).first()[0]
-        cost = time.perf_counter() - began
+        took, rejected = _seconds(sample, rule.rejects)
+        cost = 2.0 ** round(math.log2(max(took - nothing, LEAST_COST)))
         scored.append((-rejected / cost, cost, place))
     return [given[place] for *_, place in sorted(scored)]
 
@@ -140,41 +144,55 @@ def cascade(ordered: list[Rule]) -> Column:
     return out
 
 
-def _ordered(documents: DataFrame, text: str, given) -> list[Rule]:
-    """Rules in the order of their yield on a few rows, which are taken from as few partitions as have them."""
+def _order(documents: DataFrame, text: str, given) -> list[str]:
+    """Names of the rules in the order of their yield on a few rows, which are taken from as few partitions as have them."""
     rows = documents.select(F.left(text_of(text), F.lit(SAMPLE_CHARS)).alias("t")).sample(0.2, seed=5).take(SAMPLE)
-    by_name = {r.name: r for r in given(text_of(text))}
-    if not rows:
-        return list(by_name.values())
-    sample = documents.sparkSession.createDataFrame(rows, "t string").coalesce(1)
-    return [by_name[r.name] for r in order_by_yield(sample, given(F.col("t")))]
+    declared = given(F.col("t"), F.col("w"))
+    if rows:
+        words = documents.sparkSession.createDataFrame(rows, "t string").coalesce(1).withColumn("w", words_of(F.col("t")))
+        declared = order_by_yield(stored(words), declared)
+    return [r.name for r in declared]
+
+
+def _verdict(documents: DataFrame, text: str, given, verdict) -> Column:
+    """``verdict`` of (rules in measured order, rules as declared), with the words of each text split once."""
+    order = _order(documents, text, given)
+
+    def over(words: Column) -> Column:
+        declared = given(text_of(text), words)
+        by_name = {r.name: r for r in declared}
+        return verdict([by_name[n] for n in order], declared)
+
+    return let(words_of(text_of(text)), over)
 
 
 def with_verdict(documents: DataFrame, text: str = "text", out: str = "rejected_by", given=rules) -> DataFrame:
-    """``documents`` with the rule that rejects each, null for documents to keep.
+    """``documents`` with the first rule, as they are declared, that rejects each; null for documents to keep.
 
-    Null texts are empty ones, which have too few words. Which of several rules is named depends on the measured order;
-    whether one is named does not. An empty table stays empty; other columns stay as they are.
+    The cascade in the measured order settles which documents are rejected; the name of the rule is looked up for these
+    only, so neither depends on the measurement. Null and empty texts have too few words; texts of any length are read
+    whole. An empty table stays empty, repeated rows stay, other columns stay as they are; a column named ``out`` is an error.
     """
-    return documents.withColumn(out, cascade(_ordered(documents, text, given)))
+    if out.lower() in (c.lower() for c in documents.columns):
+        raise ValueError(f"there is a column {out} already")
+    return documents.withColumn(out, _verdict(documents, text, given, lambda ordered, declared: F.when(cascade(ordered).isNotNull(), cascade(declared))))
 
 
-def kept_documents(documents: DataFrame) -> DataFrame:
-    """The rows that no rule rejects."""
-    return documents.where(cascade(_ordered(documents, "text", rules)).isNull())
+def kept_documents(documents: DataFrame, text: str = "text", given=rules) -> DataFrame:
+    """The rows that no rule rejects, as they are (see with_verdict for null, empty and long texts and repeated rows)."""
+    return documents.where(_verdict(documents, text, given, lambda ordered, declared: cascade(ordered)).isNull())
 
 
 def quality_table(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, the four base counts, base_failed and kept.
 
-    Repeated rows stay; null texts have no words and fail.
+    Repeated rows stay; null and empty texts have no words and fail; texts are read whole, however long. An empty table
+    gives no rows; other columns are ignored, whatever their names.
     """
-    text = F.col("t")
-    rows = documents.select("doc_id", text_of().alias("t"))
-    counts = rows.select("doc_id", "t", word_count(text).alias("n_words"), word_chars(text).alias("word_chars"), n_symbols(text).alias("n_symbols"), n_dup_lines(text).alias("n_dup_lines"), n_repeat_words(text).alias("n_repeat_words"))
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    base = {"few_words", "repeated_runs"}
-    extra = [r for r in _ordered(documents, "text", rules) if r.name not in base]
-    own = {r.name: r for r in rules(text)}
-    verdict = cascade([own[r.name] for r in extra])
-    return counts.withColumn("base_failed", failed).withColumn("kept", F.when(F.col("base_failed"), False).otherwise(verdict.isNull())).drop("t")
+    order = _order(documents, "text", rules)
+    rows = documents.select("doc_id", text_of().alias("t")).withColumn("w", words_of(F.col("t")))
+    table = rows.select("doc_id", "t", "w", *(c.alias(name) for name, c in counts(F.col("t"), F.col("w")).items()))
+    table = table.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+    own = {r.name: r for r in rules(F.col("t"), F.col("w"), {name: F.col(name) for name in counts(F.col("t"), F.col("w"))})}
+    verdict = cascade([own[n] for n in order if n not in BASE])
+    return table.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(verdict.isNull())).drop("t", "w")
