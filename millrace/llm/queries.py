@@ -76,7 +76,7 @@ WORD_COUNT = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 OP4_SQL = rf"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, source, {WORD_COUNT}::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, chr(0) || 'null')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, chr(0) || 'null') || chr(1) || coalesce(text, '')), 1, 15))::BIGINT AS h
   FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -95,12 +95,11 @@ WITH RECURSIVE docs AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM targets
 ), running AS (
   SELECT d.doc_id, d.size, b.source_size, b.target, b.copies, b.target - b.copies * b.source_size AS budget,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE UNBOUNDED PRECEDING) AS upto,
-         sum(d.size) OVER (PARTITION BY d.source, d.h) AS here
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h ROWS UNBOUNDED PRECEDING) AS upto
   FROM docs d JOIN budgets b ON d.source IS NOT DISTINCT FROM b.source
 )
 SELECT doc_id, size, source_size, target::DOUBLE AS target,
-       (size * (copies + CASE WHEN upto <= budget OR (upto - here <= budget AND upto - budget < budget - (upto - here)) THEN 1 ELSE 0 END))::BIGINT AS taken
+       (size * (copies + CASE WHEN upto <= budget OR (upto - size <= budget AND upto - budget < budget - (upto - size)) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM running
 """
 
