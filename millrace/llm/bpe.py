@@ -1,12 +1,17 @@
 """Token counts by byte-pair merging with a heap over a linked list.
 
-A word of n symbols that takes m merges has n - m tokens, so merging needs no identifiers of tokens.
+A word of n symbols that takes m merges has n - m tokens, so merging needs no identifiers of tokens. Texts are cut into words
+here if their characters have not changed since an early version of Unicode, so that all tables agree on them; the
+tokenizer file's own normalizer and splitter, as the library runs them, cut the others, and all texts if the file's rules
+are not the known ones.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import re
+import sys
 import unicodedata
 
 import pandas as pd
@@ -22,6 +27,15 @@ SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The words of the tokenizer file's split pattern.
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 END = "</w>"
+#: The rules of a tokenizer file that the pattern above stands for (fixed values).
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 CACHE = 400_000
 
 
@@ -32,27 +46,46 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def changed_characters() -> str:
+    """A pattern for characters that Unicode 3.2 lacks or classes in another way: tables of later versions may differ on them."""
+    old, new = unicodedata.ucd_3_2_0.category, unicodedata.category
+    same = [old(chr(c)) == new(chr(c)) != "Cn" and not 0xD800 <= c < 0xE000 for c in range(sys.maxunicode + 1)]
+    edges = [c for c in range(1, len(same)) if same[c] != same[c - 1]]
+    spans = [(lo, hi - 1) for lo, hi in zip([0, *edges], [*edges, len(same)]) if not same[lo]]
+    return "[" + "".join(f"\\U{lo:08x}-\\U{hi:08x}" for lo, hi in spans) + "]"
+
+
 class MergeTable:
     """Ranks of symbol pairs. Symbols are numbered in the order in which they appear."""
 
-    def __init__(self, merges: list[tuple[str, str]], special: list[str]):
+    def __init__(self, merges: list[tuple[str, str]], special: list[str], end: str = END, known: bool = True, file: str = ""):
         number: dict[str, int] = {}
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
         letters = byte_letters()
-        for letter in letters + [x + END for x in letters]:
+        for letter in letters + [x + end for x in letters]:
             number.setdefault(letter, len(number))
         for i, (a, b) in enumerate(merges):
             x, y, z = (number.setdefault(s, len(number)) for s in (a, b, a + b))
             self.rank.setdefault((x, y), (i, z))
-        self.inner, self.last = [number[x] for x in letters], [number[x + END] for x in letters]
+        self.inner, self.last = [number[x] for x in letters], [number[x + end] for x in letters]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.known, self.file, self.changed = known, file, re.compile(changed_characters())
 
     @classmethod
     def load(cls, path: str) -> MergeTable:
+        """From a tokenizer file: byte-level pairs with special strings that match as they are. Other kinds are errors."""
         with open(path, encoding="utf-8") as f:
-            file = json.load(f)
-        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in file["model"]["merges"]]
-        return cls(pairs, [t["content"] for t in file["added_tokens"]])
+            text = f.read()
+        file = json.loads(text)
+        model, splitter = file["model"], file["pre_tokenizer"] or {}
+        steps = splitter.get("pretokenizers", [splitter])
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges") if model.get(k)]
+        if model.get("type", "BPE") != "BPE" or odd or not steps or steps[-1].get("type") != "ByteLevel":
+            raise ValueError(f"not a byte-level pair tokenizer of the plain kind: {odd or steps}")
+        if plain := [t["content"] for t in file["added_tokens"] if not t["special"] or t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]]:
+            raise ValueError(f"added tokens that are no plain special strings: {plain}")
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        return cls(pairs, [t["content"] for t in file["added_tokens"]], model.get("end_of_word_suffix") or "", file["normalizer"] == NORMALIZER and splitter == SPLITTER, text)
 
     @classmethod
     def of(cls, fields: dict) -> MergeTable:
@@ -60,9 +93,21 @@ class MergeTable:
         vars(table).update(fields)
         return table
 
+    def words(self, part: str) -> list[str]:
+        """The words of a text without special strings."""
+        if self.known and (part.isascii() or self.changed.search(part) is None):
+            return PIECES.findall(_lower(unicodedata.normalize("NFC", part)))
+        if not hasattr(self, "library"):
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.file)
+            self.bytes = {letter: b for b, letter in enumerate(byte_letters())}
+        normal = self.library.normalizer.normalize_str(part) if self.library.normalizer else part
+        return [bytes(map(self.bytes.__getitem__, w)).decode("utf-8", "surrogateescape") for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+
     def count_word(self, word: str) -> int:
         """Tokens of one word: initial symbols less merges."""
-        data = word.encode("utf-8")
+        data = word.encode("utf-8", "surrogateescape")
         symbol = [self.inner[b] for b in data]
         symbol[-1] = self.last[data[-1]]
         n, rank = len(symbol), self.rank
@@ -114,10 +159,7 @@ def count_text(counts: WordCounts, text: str) -> int:
     if counts.table.special is not None:
         parts = counts.table.special.split(text)
         total = len(parts) - 1
-    for part in parts:
-        words = PIECES.findall(_lower(unicodedata.normalize("NFC", part)))
-        total += sum(map(counts.__getitem__, words))
-    return total
+    return total + sum(sum(map(counts.__getitem__, counts.table.words(part))) for part in parts)
 
 
 def token_counter(spark, path: str):
@@ -138,7 +180,11 @@ def token_counter(spark, path: str):
 
 
 def token_counts(documents: DataFrame, path: str, limit: int = 2048) -> DataFrame:
-    """One row per document with its UTF-8 bytes and tokens; null texts are empty and have none of either."""
+    """One row per document with its UTF-8 bytes and tokens, and whether these exceed ``limit``.
+
+    Null texts are empty and have none of either; texts are counted whole, however long. Repeated rows stay, an empty table
+    gives no rows, and other columns are ignored.
+    """
     count = token_counter(documents.sparkSession, path)
     rows = documents.select("doc_id", F.octet_length(text_of()).cast("long").alias("n_bytes"), count(text_of()).alias("n_tokens"))
     return rows.withColumn("over_limit", F.col("n_tokens") > limit)
