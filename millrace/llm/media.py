@@ -19,6 +19,9 @@ from pyspark.sql import types as T
 from millrace.llm.common import text_of
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
+HEADER, HEADER_SIZE = ">IIBBBBB", 13
+#: Samples of the largest image that is decoded.
+MAX_SAMPLES = 1 << 31
 WIDTH = 64
 CHUNK = 1 << 16
 SIDE, LOW = 32, 8
@@ -53,7 +56,7 @@ def encode_png(payload: bytes, width: int = WIDTH, level: int = 6) -> bytes:
     out[:, 0] = pick
     out[:, 1:] = choices[pick, np.arange(len(rows))]
     packed = zlib.compress(out.tobytes(), level)
-    header = struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)
+    header = struct.pack(HEADER, width, len(rows), 8, 0, 0, 0, 0)
     data = b"".join(_chunk(b"IDAT", packed[i : i + CHUNK]) for i in range(0, len(packed), CHUNK))
     return SIGNATURE + _chunk(b"IHDR", header) + data + _chunk(b"IEND", b"")
 
@@ -118,19 +121,26 @@ def decode_png(data: bytes) -> np.ndarray:
         if zlib.crc32(body, zlib.crc32(kind)) != struct.unpack_from(">I", data, at + 8 + size)[0]:
             raise MediaError(f"checksum of {kind!r}")
         if kind == b"IHDR":
-            header = struct.unpack(">IIBBBBB", body)
+            if len(body) != HEADER_SIZE:
+                raise MediaError("header of the wrong length")
+            header = struct.unpack(HEADER, body)
         elif kind == b"IDAT":
             packed.append(body)
         ended = kind == b"IEND"
         at += 12 + size
     if header is None or not ended or header[2:] != (8, 0, 0, 0, 0):
         raise MediaError("not a whole 8-bit greyscale image")
+    wide, high = header[:2]
+    if not 0 < wide * high <= MAX_SAMPLES:
+        raise MediaError("no samples, or too many")
+    stream = zlib.decompressobj()
     try:
-        raw = zlib.decompress(b"".join(packed))
+        raw = stream.decompress(b"".join(packed), high * (wide + 1) + 1)  # a small file can hold any number of zeros
+        if not stream.eof:
+            raw += stream.decompress(stream.unconsumed_tail, 1)
     except zlib.error as e:
         raise MediaError(str(e)) from e
-    wide, high = header[:2]
-    if len(raw) != high * (wide + 1):
+    if len(raw) != high * (wide + 1) or not stream.eof:
         raise MediaError("wrong number of samples")
     return unfilter(np.frombuffer(raw, np.uint8).reshape(high, wide + 1))
 
@@ -138,7 +148,7 @@ def decode_png(data: bytes) -> np.ndarray:
 def _shrink(image: np.ndarray, axis: int) -> np.ndarray:
     n = image.shape[axis]
     if n < SIDE:
-        return np.take(image, np.arange(SIDE) * n // SIDE, axis=axis) * 16
+        return np.take(image, np.arange(SIDE) * n // SIDE, axis=axis).astype(np.int64) * 16
     edges = np.arange(SIDE + 1) * n // SIDE
     sums = np.add.reduceat(image, edges[:-1], axis=axis, dtype=np.int64)
     counts = np.diff(edges)
@@ -157,25 +167,34 @@ def png_of_text(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: encode_png(payload_of(t)))
 
 
-FEATURES = {"payload_bytes": T.LongType(), "payload_sha256": T.StringType(), "tail_crc32": T.LongType(), "media_bytes": T.LongType(), "media_sha256": T.StringType(), "hash": T.BinaryType()}
+FEATURES = {"payload_bytes": T.LongType(), "payload_sha256": T.StringType(), "tail_crc32": T.LongType(), "media_bytes": T.LongType(), "media_sha256": T.StringType(), "hash": T.BinaryType(), "error": T.StringType()}
 
 
 @F.pandas_udf(T.StructType([T.StructField(k, v) for k, v in FEATURES.items()]))
 def png_features(media: pd.Series) -> pd.DataFrame:
-    """Digests of what is read back from stored PNG bytes; null for null media."""
+    """Digests of what is read back from stored PNG bytes; null for null media, and for damaged ones, whose ``error`` says why."""
     rows = []
     for data in media:
         if data is None:
-            rows.append((None,) * 6)
+            rows.append((None,) * 7)
+            continue
+        try:
+            image = decode_png(data := bytes(data))
+        except MediaError as e:
+            rows.append((None,) * 6 + (str(e),))
             continue
-        image = decode_png(data := bytes(data))
         back = image.tobytes()
-        rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(data), hashlib.sha256(data).hexdigest(), cosine_hash(image)))
+        rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(data), hashlib.sha256(data).hexdigest(), cosine_hash(image), None))
     return pd.DataFrame(rows, columns=list(FEATURES))
 
 
 def with_media(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
-    """``df`` with a binary PNG column. Null texts are empty ones, which give one row of zero samples; other columns stay."""
+    """``df`` with a binary PNG column. Null texts are empty ones, which give one row of zero samples.
+
+    Other columns stay; if there is one named ``out`` already, that is an error.
+    """
+    if out.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"there is a column {out} already")
     return df.withColumn(out, png_of_text(text_of(text)))
 
 
@@ -188,4 +207,4 @@ def media_digests(documents: DataFrame) -> DataFrame:
     """One row per document, repeated rows included; null texts count as empty, equal texts give equal values."""
     stored = with_media(documents.select("doc_id", F.octet_length(text_of()).cast("long").alias("n_bytes"), "text")).drop("text")
     read = stored.select("doc_id", "n_bytes", media_columns().alias("m"))
-    return read.select("doc_id", "n_bytes", *(f"m.{c}" for c in FEATURES if c != "hash"), F.lower(F.hex("m.hash")).alias("feature"))
+    return read.select("doc_id", "n_bytes", *(f"m.{c}" for c in FEATURES if c not in ("hash", "error")), F.lower(F.hex("m.hash")).alias("feature"))

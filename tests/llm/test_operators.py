@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm import bpe, chat, media, mixing, packing, quality, secrets, simhash, similar, suffix, toxicity
 
+from millrace.llm.common import words_of
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that operators might want to use themselves.
@@ -94,6 +97,41 @@ def test_png_of_every_filter_and_damage():
     with pytest.raises(media.MediaError):
         media.decode_png(data[:-5])
     assert media.cosine_hash(image) == media.cosine_hash(image.copy())
+    with pytest.raises(media.MediaError):
+        media.decode_png(media.SIGNATURE + media._chunk(b"IHDR", b"short") + media._chunk(b"IEND", b""))
+    bomb = media._chunk(b"IHDR", struct.pack(">IIBBBBB", 64, 1, 8, 0, 0, 0, 0)) + media._chunk(b"IDAT", zlib.compress(bytes(10**7))) + media._chunk(b"IEND", b"")
+    with pytest.raises(media.MediaError):
+        media.decode_png(media.SIGNATURE + bomb)
+
+
+def test_hash_of_low_frequencies():
+    """The bits are those of the plain cosine transform, and stay under small changes of an image."""
+    rng = np.random.default_rng(4)
+    for shape in ((32, 32), (64, 96), (7, 64)):
+        image = rng.integers(0, 256, shape, dtype=np.uint8)
+        pick = [[np.arange(k * n // 32, (k + 1) * n // 32) for k in range(32)] if n >= 32 else [[k * n // 32] for k in range(32)] for n in shape]
+        rows = np.array([image[ys].astype(np.int64).sum(axis=0) * 16 // len(ys) for ys in pick[0]])
+        small = np.array([rows[:, xs].sum(axis=1) * 16 // len(xs) for xs in pick[1]]).T // 16
+        want = []
+        for u in range(8):
+            for v in range(8):
+                cu, cv = (np.rint(4096 * np.cos(np.pi * k * (2 * np.arange(32) + 1) / 64)) for k in (u, v))
+                want.append(float(cu @ small @ cv))
+        bits = np.unpackbits(np.frombuffer(media.cosine_hash(image), np.uint8))
+        assert bits.tolist() == [int(x > sorted(want[1:])[31]) for x in want]
+    blocks = np.kron(rng.integers(0, 250, (8, 8)), np.ones((8, 8), int)).astype(np.uint8)  # all low frequencies are there
+    a, b = (np.unpackbits(np.frombuffer(media.cosine_hash(i), np.uint8)) for i in (blocks, blocks + rng.integers(0, 3, blocks.shape, dtype=np.uint8)))
+    assert (a != b).sum() <= 8
+
+
+def test_damaged_media_give_nulls(spark):
+    good = media.encode_png(media.payload_of("text"))
+    df = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(good[:-9])), (3, None), (4, bytearray(b"no picture"))], "doc_id long, media binary")
+    got = {r.doc_id: r.m for r in df.select("doc_id", media.media_columns().alias("m")).collect()}
+    assert got[1].media_bytes == len(good) and got[1].error is None
+    assert all(got[k].payload_sha256 is None for k in (2, 3, 4)) and got[2].error == "cut off" and got[3].error is None and got[4].error
+    with pytest.raises(ValueError):
+        media.with_media(df.withColumn("text", F.lit("x")))
 
 
 def test_quality_counts(docs, rows):
@@ -116,7 +154,8 @@ def test_quality_counts(docs, rows):
 
 
 def test_order_of_rules_does_not_change_the_verdict(docs):
-    given = quality.rules(F.coalesce("text", F.lit("")))
+    text = F.coalesce("text", F.lit(""))
+    given = quality.rules(text, words_of(text))
     forward = docs.select("doc_id", quality.cascade(given).isNull().alias("k"))
     backward = docs.select("doc_id", quality.cascade(given[::-1]).isNull().alias("k"))
     assert collected(forward) == collected(backward)
@@ -136,6 +175,29 @@ def test_token_counts(docs, rows):
     pool = "abcXYZ '’s't  \t\n\x0b\x1c\x85ΣσςÉ½²漢字🙂ı.,!?-_#ﬁ"
     for t in ["<|endoftext|>", "a<|startoftext|>b <|ENDOFTEXT|>", "don't WE'LL"] + ["".join(rng.choice(pool) for _ in range(40)) for _ in range(500)]:
         assert bpe.count_text(table, t) == count(t), t
+    anything = lambda: chr(rng.choice([rng.randrange(32, 0x300), rng.randrange(0x300, 0xD800), rng.randrange(0xE000, 0x110000)]))
+    for t in ("".join(anything() for _ in range(rng.randint(1, 30))) for _ in range(3000)):
+        assert bpe.count_text(table, t) == count(t), ascii(t)
+
+
+def test_other_tokenizer_files(tmp_path):
+    """Rules that are not the known ones are the library's; what cannot be counted by merges is an error."""
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        file = json.load(f)
+    file["normalizer"] = {"type": "Lowercase"}
+    (path := tmp_path / "other.json").write_text(json.dumps(file), encoding="utf-8")
+    library, table = Tokenizer.from_file(str(path)), bpe.WordCounts(bpe.MergeTable.load(str(path)))
+    for t in ("Cafe\u0301 au lait", "İstanbul  \t x", "a<|endoftext|>B"):
+        assert bpe.count_text(table, t) == len(library.encode(t, add_special_tokens=False).ids)
+    for change in ({"model": {**file["model"], "byte_fallback": True}}, {"pre_tokenizer": None}, {"added_tokens": [{**file["added_tokens"][0], "lstrip": True}]}):
+        path.write_text(json.dumps({**file, **change}), encoding="utf-8")
+        with pytest.raises(ValueError):
+            bpe.MergeTable.load(str(path))
 
 
 def plain_fingerprint(t, width):
@@ -347,6 +409,24 @@ def test_mixing(docs, rows):
     assert sum(size(r.text) for r in mixed.collect()) == sum(taken.values())
 
 
+def test_ties_at_the_end_of_a_budget(spark):
+    """One document repeated, and documents without an id: sources that are all ties still come near their targets."""
+    rows = [(1, "a b c d", "p")] * 101 + [(None, f"{i} b c", "q") for i in range(100)] + [(i, f"{i} x", "r") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.mix_table(docs).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got)
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+    assert len(target) == 3 and all(abs(taken[k] - target[k]) <= 4 for k in target)
+    assert any(target[k] % k for k in target)
+    mixed = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        mixed[r.source] += len(r.text.split())
+    assert all(abs(a - b) <= 4 * 4 for a, b in zip(sorted(mixed.values()), sorted(taken.values())))
+
+
 def test_nested_budgets(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.array_repeat(F.lit("w"), (F.col("id") % 50).cast("int"))).alias("text"), F.lit("one").alias("source"))
     sized = mixing.sized_documents(rows)
