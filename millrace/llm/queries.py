@@ -28,7 +28,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.findings(_table(spark, sf_dir, "documents"), secrets.default_forest(spark))
+    return secrets.findings(_table(spark, sf_dir, "documents"), secrets.default_forest(spark), path="source")
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

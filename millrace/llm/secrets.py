@@ -1,13 +1,15 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a long run of the letters that keys and tokens are made of. The forest looks at its length, at how its
-characters change class, at how much of it dictionary words cover, and at the path and the words around it. It is
-trained on labelled findings (bounded, see LABELLED) and evaluated as nested conditions inside a SQL expression, so
-scanning and redaction are one pass over the texts without a shuffle.
+A candidate is a long run of the letters that keys and tokens are made of, a value that is assigned to a secret's name, a
+password inside a URL, or a block with a private key. The forest looks at its length, at how its characters change class,
+at how much of it dictionary words cover, and at the path and the words around it. It is trained on labelled findings
+(bounded, see LABELLED) and evaluated as nested conditions inside a SQL expression, so scanning and redaction are one pass
+over the texts without a shuffle.
 """
 
 from __future__ import annotations
 
+import random
 from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -17,14 +19,20 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import let, text_of
 
-#: Sixteen or more letters, digits and signs of encoded keys.
-CANDIDATE = r"[A-Za-z0-9_+/=.\-]{16,}"
+#: A private key; a value after a secret's name, an equals sign or colon, and a quote perhaps; sixteen or more letters,
+#: digits and signs of encoded keys; what stands between a user's name and the host of a URL.
+CANDIDATE = "|".join((
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]{1,20000}-----END [A-Z ]{0,20}PRIVATE KEY-----",
+    r"(?<=[:=]\s{0,2}[\"'`]?)(?<=(?i:passw(?:or)?d|passwd|passphrase|pwd|secret|token|api.?key)[\"']?\s{0,2}[:=]{1,2}\s{0,2}[\"'`]?)[^\s\"'`<>]{8,200}",
+    r"[A-Za-z0-9_+/=.\-]{16,}",
+    r"(?<=:)(?<=://[^\s/:@]{1,40}:)[^\s/@]{3,64}(?=@)",
+))
 #: Characters of a candidate's surroundings in which neighbouring words are looked up.
 BEFORE, AFTER = 48, 32
 MASK = "[SECRET]"
 #: Labelled findings that the built-in training set has.
-LABELLED = 3000
-TREES, DEPTH = 15, 6
+LABELLED = 4000
+TREES, DEPTH = 15, 7
 
 #: Words of names, prose and code (fixed values).
 DICTIONARY = (
@@ -35,8 +43,10 @@ DICTIONARY = (
 ).split()
 KEY_WORDS = r"(?i)(secret|token|passw|passphrase|api.?key|access.?key|private.?key|auth|bearer|credential|signature|client.?key)[\w\"' \]]{0,12}[:=> (\"']{0,4}\s*[\"'`]?$"
 HASH_WORDS = r"(?i)(sha\d*|md5|commit|checksum|digest|hash|revision|etag|integrity|fingerprint|build|uuid|guid|id|ref)[\"' ]{0,2}[:=> (\"'-]{0,4}\s*[\"'`]?$"
-PLACEHOLDERS = r"(?i)(example|sample|placeholder|changeme|your|xxxx|0000|1234567|dummy|redacted|test)"
-FEATURES = ("length", "class_changes", "digits", "capitals", "hex_only", "distinct", "covered", "slashes", "dots", "words_joined", "key_near", "hash_near", "assigned", "quoted", "placeholder", "sample_path")
+PLACEHOLDERS = r"(?i)(example|sample|placeholder|change.?me|your|xxxx|0000|1234567|dummy|redacted|test|[*]{3}|\$[{(]|[{]{2}|environ|getenv|[.]env|\(\)|\[\])"
+#: How keys of some issuers begin (fixed values).
+PREFIXES = r"^(sk_live_|rk_live_|pk_live_|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abpr]-|AKIA|ASIA|AIza|npm_|dop_v1_|SG[.])"
+FEATURES = ("length", "class_changes", "digits", "capitals", "hex_only", "distinct", "covered", "slashes", "dots", "words_joined", "key_near", "hash_near", "assigned", "quoted", "placeholder", "sample_path", "signs", "prefix", "url_login", "key_block")
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -68,6 +78,10 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
         "assigned": flag(before.rlike(r"[:=]\s*[\"'`]?$")),
         "quoted": flag(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")),
         "placeholder": flag(candidate.rlike(PLACEHOLDERS) | candidate.rlike(r"(.)\1{5}")),
+        "signs": _share(_count(candidate, "[^A-Za-z0-9]"), n),
+        "prefix": flag(candidate.rlike(PREFIXES)),
+        "url_login": flag(before.rlike(r"://[^\s/:@]{1,40}:$") & after.startswith("@")),
+        "key_block": flag(candidate.startswith("-----BEGIN ")),
         "sample_path": flag(F.coalesce(path, F.lit("")).rlike(r"(?i)(^|[/_.-])(tests?|examples?|samples?|fixtures?|docs?|mocks?)([/_.-]|$)")),
     }
     return F.struct(*(values[name].alias(name) for name in FEATURES))
@@ -76,52 +90,57 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
 def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
     """Made-up findings (candidate, before, after, path, label) of a fixed generator; the same at every call.
 
-    Half are secrets: random hex, base64 or prefixed keys where a name of a secret is assigned. The others are the
-    same kinds of strings named as hashes and identifiers, joined words, paths, version names, placeholders, and keys
-    in sample files.
+    Half are secrets: random hex, base64 or prefixed keys and short passwords where a name of a secret is assigned,
+    passwords in URLs, private keys, and keys of known issuers that no name announces. The others are strings of the same
+    kinds named as hashes and identifiers, joined words, paths, version names, placeholders, words and references to
+    variables that are assigned to a secret's name, and keys in sample files.
     """
-    seed = lambda k: F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(k)))
-
-    def pick(k: str, choices: list) -> Column:
-        return F.element_at(F.array(*(c if isinstance(c, Column) else F.lit(c) for c in choices)), (F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(len(choices))) + 1).cast("int"))
-
-    hexes = F.concat(seed("a"), F.substring(seed("b"), 1, 8))
-    base = F.translate(F.base64(F.unhex(F.concat(seed("c"), seed("d")))), "=", "")
-    keys = [hexes, F.substring(hexes, 1, 32), base, F.substring(base, 1, 24), F.concat(pick("prefix", ["sk_live_", "ghp_", "xoxb-", "AKIA", "pk-"]), F.substring(base, 3, 28)), F.concat(hexes, seed("e"))]
-    word = lambda k: pick(k, DICTIONARY)
-    names = ["token", "api_key", "secret", "password", "access_key", "auth_token", "client_secret", "private_key", "SECRET_KEY", "API_TOKEN", "credential"]
-    assign = [F.concat(pick("name", names), pick("op", [" = \"", "=\"", ": \"", " = '", "=", ": ", " := \"", ": '"]))]
-    true_before = F.concat(word("w1"), F.lit(" "), pick("pre", ["", "my ", "const ", "export ", "the "]), *assign)
-    true_after = F.concat(pick("close", ["\"", "'", "\" ", "\n", " "]), word("w2"))
-    digest_before = F.concat(word("w1"), F.lit(" "), pick("digest", ["commit ", "sha256:", "sha256 = \"", "md5 ", "checksum: ", "revision ", "etag=\"", "integrity=\"sha", "uuid: ", "id=", "build "]))
-    plain_before = F.concat(word("w1"), F.lit(" "), word("w3"), pick("gap", [" ", ", ", ". ", ": ", " = ", "\n", " (", "\""]))
-    joined = F.concat_ws("_", word("j1"), word("j2"), word("j3"), word("j4"))
-    camel = F.concat(F.initcap(word("j1")), F.initcap(word("j2")), F.initcap(word("j3")), F.initcap(word("j4")))
-    pathish = F.concat_ws("/", F.lit("src"), word("j1"), word("j2"), F.concat(word("j3"), F.lit(".py")))
-    version = F.concat_ws(".", word("j1"), word("j2"), F.lit("com"), F.lit("v1.2.3"))
-    compound = F.concat(word("j1"), word("j2"), word("j3"), word("j4"))
-    blank = pick("blank", ["YOUR_API_KEY_HERE_PLEASE", "xxxxxxxxxxxxxxxxxxxxxxxx", "example-token-placeholder", "0000000000000000000000000000", "12345678901234567890", "changeme_changeme_changeme", "================", "--------------------"])
-    uuid = F.concat_ws("-", F.substring(seed("a"), 1, 8), F.substring(seed("a"), 9, 4), F.substring(seed("a"), 13, 4), F.substring(seed("a"), 17, 4), F.substring(seed("b"), 1, 12))
-    real = F.struct(pick("key", keys).alias("candidate"), true_before.alias("before"), true_after.alias("after"), pick("path", ["src/main.py", "config/settings.yaml", "app.js", "deploy.env", ""]).alias("path"), F.lit(1.0).alias("label"))
-
-    def fake(candidate: Column, before: Column, path: Column) -> Column:
-        return F.struct(candidate.alias("candidate"), before.alias("before"), true_after.alias("after"), path.alias("path"), F.lit(0.0).alias("label"))
-
-    source, none = pick("path", ["src/main.py", "notes.txt", ""]), F.lit("")
-    fakes = [
-        fake(pick("key", keys[:4]), digest_before, source), fake(uuid, pick("ub", [digest_before, plain_before]), source), fake(joined, plain_before, source), fake(camel, plain_before, none),
-        fake(pathish, plain_before, source), fake(version, plain_before, none), fake(compound, plain_before, none), fake(blank, pick("bb", [true_before, plain_before]), source),
-        fake(pick("wn", [joined, camel, pathish]), true_before, source), fake(pick("key", keys), true_before, pick("sp", ["tests/data.py", "docs/example.md", "fixtures/keys.txt"])), fake(pick("key", keys[:4]), plain_before, none),
-    ]
-    made = spark.range(0, rows, 1, 1).select(F.when(F.col("id") % 2 == 0, real).otherwise(pick("kind", fakes)).alias("f"))
-    return made.select("f.*")
+    rng = random.Random(11)
+    pick = rng.choice
+    word = lambda: pick(DICTIONARY)
+    hexes = lambda n: "".join(pick("0123456789abcdef") for _ in range(n))
+    base = lambda n: "".join(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    equals = lambda: pick((' = "', '="', ': "', " = '", "=", ": ", ' := "', ": '"))
+    key = lambda: pick((hexes(40), hexes(32), hexes(64), base(43), base(24), pick(("sk_live_", "ghp_", "xoxb-", "AKIA", "pk-")) + base(28)))
+    plain_key = lambda: pick((hexes(40), hexes(32), hexes(64), base(43), base(24)))
+    sign = lambda: pick("!@#$&?%*")
+    short = lambda: pick((word().capitalize() + str(rng.randint(10, 9999)) + sign(), base(8) + sign() + base(3), word() + sign() + word() + str(rng.randint(1, 999)), base(12), hexes(10)))
+    lead = lambda: word() + " " + pick(("", "my ", "const ", "export ", "the "))
+    named = lambda: lead() + pick(("token", "api_key", "secret", "password", "access_key", "auth_token", "client_secret", "private_key", "SECRET_KEY", "API_TOKEN", "credential")) + equals()
+    password = lambda: lead() + pick(("password", "db_passwd", "pwd", "passphrase", "secret", "PASSWORD", "smtp_password")) + equals()
+    digest = lambda: word() + " " + pick(("commit ", "sha256:", 'sha256 = "', "md5 ", "checksum: ", "revision ", 'etag="', 'integrity="sha', "uuid: ", "id=", "build "))
+    prose = lambda: word() + " " + word() + pick((" ", ", ", ". ", ": ", " = ", "\n", " (", '"'))
+    close = lambda: pick(('"', "'", '" ', "\n", " ")) + word()
+    code = lambda: pick(("src/main.py", "config/settings.yaml", "app.js", "deploy.env", ""))
+    samples = lambda: pick(("tests/data.py", "docs/example.md", "fixtures/keys.txt"))
+    joined = lambda: pick(("_".join(word() for _ in range(4)), "".join(word().capitalize() for _ in range(4)), f"src/{word()}/{word()}/{word()}.py"))
+    blank = lambda: pick(("YOUR_API_KEY_HERE_PLEASE", "xxxxxxxxxxxxxxxxxxxxxxxx", "example-token-placeholder", "0000000000000000000000000000", "12345678901234567890", "changeme_changeme_changeme", "================", "--------------------"))
+    variable = lambda: pick((f"${{{word().upper()}_TOKEN}}", f"{{{{{word()}.secret}}}}", f"os.environ[{word()}", "process.env.TOKEN", f"get_{word()}()", "************"))
+    words = lambda: pick((f"{word()}-{word()}", word() + word(), f"{word()}_or_{word()}", f"{word().capitalize()}.{word()}", "required", "optional", "forgotten", "incorrect", "different", "something"))
+    block = lambda: f"-----BEGIN {pick(('RSA ', 'EC ', 'OPENSSH ', ''))}PRIVATE KEY-----\n{base(64)}\n{base(40)}\n-----END PRIVATE KEY-----"
+    login = lambda: f"{word()} {pick(('postgres', 'mysql', 'https', 'redis', 'amqp'))}://{word()}:"
+    issued = lambda: pick(("sk_live_", "ghp_", "xoxb-", "AKIA", "glpat-", "AIza")) + pick((base(24).upper(), base(32)))
+    bearer = lambda: lead() + pick(("Authorization: Bearer ", "Bearer ", "bearer "))
+    secret = (
+        lambda: (key(), named(), close(), code()), lambda: (key(), named(), close(), code()), lambda: (key(), named(), close(), code()), lambda: (short(), password(), close(), code()),
+        lambda: (issued(), prose(), close(), code()), lambda: (short(), login(), f"@{word()}.net", code()), lambda: (issued(), login(), f"@{word()}.net", code()), lambda: (block(), prose(), close(), code()),
+        lambda: (".".join(base(n) for n in (20, 24, 27)), bearer(), close(), code()),
+    )
+    uuid = lambda: "-".join(hexes(n) for n in (8, 4, 4, 4, 12))
+    other = (
+        lambda: (plain_key(), digest(), close(), code()), lambda: (uuid(), pick((digest, prose))(), close(), code()), lambda: (joined(), prose(), close(), code()), lambda: ("".join(word() for _ in range(4)), prose(), close(), ""),
+        lambda: (f"{word()}.{word()}.com.v1.2.3", prose(), close(), ""), lambda: (blank(), pick((named, password, prose))(), close(), code()), lambda: (joined(), named(), close(), code()), lambda: (key(), named(), close(), samples()),
+        lambda: (plain_key(), prose(), close(), ""), lambda: (variable(), pick((named, password))(), close(), code()), lambda: (words(), pick((named, password))(), close(), code()),
+    )
+    made = [(*pick(secret if i % 2 == 0 else other)(), 1.0 - i % 2) for i in range(rows)]
+    return spark.createDataFrame(made, "candidate string, before string, after string, path string, label double").coalesce(1)
 
 
 def train_forest(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> list:
     """Trees fitted to labelled findings: nested (feature, threshold, left, right), or a share of secrets at a leaf."""
     rows = labelled.select(features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path")).alias("f"), F.col("label").cast("double").alias("label")).select("f.*", "label")
     table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("features", "label")
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=11, featureSubsetStrategy="sqrt", subsamplingRate=0.8, minInstancesPerNode=2).fit(table)
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=11, featureSubsetStrategy="onethird", subsamplingRate=0.8, minInstancesPerNode=2).fit(table)
 
     def read(node):
         if node.subtreeDepth() == 0:
