@@ -22,7 +22,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets masked in their texts."""
-    return secrets.redacted(docs, secrets.default_forest(spark))
+    return secrets.redacted(docs, secrets.default_forest(spark), path="source")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
