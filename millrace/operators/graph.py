@@ -358,24 +358,44 @@ def max_flow(edges: DataFrame, source: int, sink: int, most: int = 100_000) -> D
 
 
 def matching_of(rows) -> list[tuple]:
-    """A largest matching of a bipartite graph's src and dst sides."""
+    """A largest matching of left (src) to right (dst), in phases of disjoint shortest augmenting paths, without recursion."""
     near: dict = {}
     for a, b, _ in rows:
         near.setdefault(a, []).append(b)
-    mate: dict = {}
-
-    def place(a, seen):
-        for b in near[a]:
-            if b not in seen:
-                seen.add(b)
-                if b not in mate or place(mate[b], seen):
-                    mate[b] = a
-                    return True
-        return False
-
-    for a in sorted(near):
-        place(a, set())
-    return sorted((a, b) for b, a in mate.items())
+    near = {a: sorted(set(bs)) for a, bs in near.items()}
+    left, right = dict.fromkeys(near), {}
+    while True:
+        layer, depth, found = [a for a in near if left[a] is None], {}, False
+        depth.update(dict.fromkeys(layer, 0))
+        while layer and not found:
+            after = []
+            for a in layer:
+                for b in near[a]:
+                    if (owner := right.get(b)) is None:
+                        found = True
+                    elif owner not in depth:
+                        depth[owner] = depth[a] + 1
+                        after.append(owner)
+            layer = after
+        if not found:
+            return sorted((a, b) for a, b in left.items() if b is not None)
+        untried = {a: iter(bs) for a, bs in near.items()}
+        for root in [a for a in near if left[a] is None]:
+            path, taken = [root], []
+            while path:
+                a = path[-1]
+                b = next(untried[a], None)
+                if b is None:
+                    path.pop()
+                    if taken:
+                        taken.pop()
+                elif (owner := right.get(b)) is None:
+                    for x, y in zip(path, [*taken, b]):
+                        left[x], right[y] = y, x
+                    break
+                elif depth.get(owner) == depth[a] + 1:
+                    path.append(owner)
+                    taken.append(b)
 
 
 def bipartite_matching(edges: DataFrame, most: int = 100_000) -> DataFrame:
@@ -416,3 +436,89 @@ def assignment_of(cost) -> tuple[float, list[int]]:
         if p[j]:
             row[p[j] - 1] = j - 1
     return sum(cost[i][row[i]] for i in range(n)), row
+
+
+def depth_first_of(rows) -> tuple[list[tuple], bool]:
+    """(vertex, parent, discovery, finish) of a walk over a directed graph, least vertices first, and whether it has a cycle."""
+    near: dict = {}
+    for a, b, _ in rows:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set())
+    found, done, clock, cycle = {}, {}, 0, False
+    for root in sorted(near):
+        if root in found:
+            continue
+        found[root], clock = (None, clock), clock + 1
+        stack = [(root, iter(sorted(near[root])))]
+        while stack:
+            v, rest = stack[-1]
+            for u in rest:
+                if u not in found:
+                    found[u], clock = (v, clock), clock + 1
+                    stack.append((u, iter(sorted(near[u]))))
+                    break
+                cycle |= u not in done
+            else:
+                stack.pop()
+                done[v], clock = clock, clock + 1
+    return [(v, *found[v], done[v]) for v in sorted(found)], cycle
+
+
+def depth_first(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """id, parent, discovery and finish of every vertex of a directed graph of at most ``most`` edges, which is checked.
+
+    The walk begins at the least vertex and takes the least neighbour first. An edge goes to a vertex that is not finished
+    yet if and only if there is a cycle (see has_cycle).
+    """
+    run = lambda rows: [(v, float("nan") if p is None else float(p), d, f) for v, p, d, f in depth_first_of(rows)[0]]
+    out = _kernel(edges, run, "id long, parent double, discovery long, finish long", most)
+    return out.withColumn("parent", F.when(~F.isnan("parent"), F.col("parent")).cast("long"))
+
+
+def has_cycle(edges: DataFrame) -> bool:
+    """Whether a directed graph has a cycle: it has no topological layers then."""
+    try:
+        topological_layers(edges)
+    except ValueError:
+        return True
+    return False
+
+
+def a_star_of(rows, start, goal, estimate) -> tuple[float, list] | None:
+    """Length and vertices of a shortest path, looking first where length so far and ``estimate`` (never too high) are least."""
+    import heapq
+
+    near: dict = {}
+    for a, b, w in rows:
+        near.setdefault(a, []).append((b, w))
+    best, heap = {start: (0.0, None)}, [(estimate(start), start)]
+    closed: set = set()
+    while heap:
+        _, v = heapq.heappop(heap)
+        if v == goal:
+            path = [v]
+            while best[path[-1]][1] is not None:
+                path.append(best[path[-1]][1])
+            return best[goal][0], path[::-1]
+        if v in closed:
+            continue
+        closed.add(v)
+        for u, w in near.get(v, ()):
+            length = best[v][0] + w
+            if u not in best or length < best[u][0]:
+                best[u] = (length, v)
+                closed.discard(u)
+                heapq.heappush(heap, (length + estimate(u), u))
+    return None
+
+
+def exact_colours(edges: DataFrame, most: int = 200) -> DataFrame:
+    """id and colour with the fewest colours, for graphs of at most ``most`` edges, which is checked."""
+    from millrace.functions.kernels_more import least_colours
+
+    def run(rows):
+        ids = sorted({v for a, b, _ in rows for v in (a, b)})
+        number = {v: k for k, v in enumerate(ids)}
+        return list(zip(ids, least_colours(len(ids), [(number[a], number[b]) for a, b, _ in rows if a != b])))
+
+    return _kernel(edges, run, "id long, colour int", most)

@@ -8,10 +8,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import distributions as dist
+from millrace.functions import special
 from millrace.operators.sequence import scan
 from millrace.operators.statistics import average_rank
 
@@ -195,3 +198,55 @@ def normal_normal(df: DataFrame, x: str, mean: float, variance: float, noise: fl
     s = df.groupBy(*by).agg(F.count(x).alias("n"), F.sum(x).alias("total"))
     precision = 1 / variance + F.col("n") / noise
     return s.select(*by, "n", ((mean / variance + F.col("total") / noise) / precision).alias("mean"), (1 / precision).alias("variance"))
+
+
+def _interval(cdf, low: float, high, level: float):
+    """A function of two parameter columns: the interval that leaves the same share on either side, as a struct lo, hi."""
+
+    @F.pandas_udf(T.StructType([T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())]))
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        x, y = a.to_numpy(float), b.to_numpy(float)
+        out = {}
+        for name, share in (("lo", (1 - level) / 2), ("hi", (1 + level) / 2)):
+            lo, hi = np.full(len(x), low), np.broadcast_to(high(x, y), len(x)).astype(float)
+            for _ in range(100):
+                middle = (lo + hi) / 2
+                under = cdf(x, y, middle) < share
+                lo, hi = np.where(under, middle, lo), np.where(under, hi, middle)
+            out[name] = (lo + hi) / 2
+        return pd.DataFrame(out)
+
+    return run
+
+
+def beta_interval(alpha: Column, beta: Column, level: float = 0.95) -> Column:
+    """Credible interval of a Beta posterior."""
+    return _interval(special.betainc, 0.0, lambda a, b: 1.0, level)(alpha.cast("double"), beta.cast("double"))
+
+
+def gamma_interval(shape: Column, rate: Column, level: float = 0.95) -> Column:
+    """Credible interval of a Gamma posterior."""
+    return _interval(lambda a, b, x: special.gammainc(a, b * x), 0.0, lambda a, b: (a + 40 * np.sqrt(a) + 40) / b, level)(shape.cast("double"), rate.cast("double"))
+
+
+def normal_interval(mean: Column, variance: Column, level: float = 0.95) -> Column:
+    """Credible interval of a normal posterior."""
+    z = float(_NORMAL.quantile(np.array([(1 + level) / 2]))[0])
+    return F.struct((mean - z * F.sqrt(variance)).alias("lo"), (mean + z * F.sqrt(variance)).alias("hi"))
+
+
+@F.pandas_udf(T.DoubleType())
+def _log_gamma(x: pd.Series) -> pd.Series:
+    return pd.Series(special.lgamma(x.to_numpy(float)))
+
+
+def log_evidence(k: Column, n: Column, a: float, b: float) -> Column:
+    """Logarithm of the probability of k hits in n under a Beta(a, b) prior."""
+    g = lambda x: _log_gamma(x.cast("double"))
+    choose = g(n + 1) - g(k + 1) - g(n - k + 1)
+    return choose + g(k + a) + g(n - k + b) - g(n + a + b) - F.lit(math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b))
+
+
+def bayes_factor(log_one: Column, log_two: Column) -> Column:
+    """How much better the first model explains the data than the second."""
+    return F.exp(log_one - log_two)

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.plans.storage import stored
+
 #: Columns of a dense system that the driver solves.
 MOST_COLUMNS = 2000
 
@@ -135,33 +137,102 @@ def lu(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, low, np.triu(u)
 
 
-def conjugate_gradient(m: DataFrame, b: np.ndarray, tol: float = 1e-8, rounds: int = 500) -> np.ndarray:
-    """Solution of a positive definite system whose matrix is a coordinate table; the vectors are on the driver."""
-    if len(b) > 1_000_000:
-        raise ValueError("the vector has over a million entries")
-    spark = m.sparkSession
-    m = m.cache()
+#: Entries of a vector that the driver holds while a system is solved or an eigenvalue found.
+MOST_ENTRIES = 1_000_000
+
+
+def _product(m: DataFrame, n: int):
+    """x -> m x for a coordinate table that is written once; the vectors are on the driver, their length is checked."""
+    if n > MOST_ENTRIES:
+        raise ValueError(f"the vector has over {MOST_ENTRIES} entries")
+    spark, table = m.sparkSession, stored(m)
 
-    def times(x):
+    def times(x: np.ndarray) -> np.ndarray:
         frame = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "pos long, v double")
-        out = np.zeros(len(x))
-        for r in matvec(m, F.broadcast(frame)).collect():
+        out = np.zeros(n)
+        for r in matvec(table, F.broadcast(frame)).collect():
             out[r[0]] = r[1]
         return out
 
-    x = np.zeros(len(b))
-    r = np.asarray(b, float)
-    p, rr = r.copy(), float(r @ r)
+    return times
+
+
+def inverse_diagonal(m: DataFrame, n: int) -> np.ndarray:
+    """One over each entry of the diagonal, as a preconditioner; one where that is 0 or missing."""
+    out = np.ones(n)
+    for r in m.where("i = j and v != 0").groupBy("i").agg(F.sum("v")).collect():
+        out[r[0]] = 1 / r[1]
+    return out
+
+
+def conjugate_gradient(m: DataFrame, b: np.ndarray, tol: float = 1e-8, rounds: int = 500, preconditioner: np.ndarray | None = None) -> np.ndarray:
+    """Solution of a positive definite system whose matrix is a coordinate table."""
+    times, scale_by = _product(m, len(b)), 1.0 if preconditioner is None else preconditioner
+    x, r = np.zeros(len(b)), np.asarray(b, float)
+    z = scale_by * r
+    p, rz = z.copy(), float(r @ z)
     for _ in range(rounds):
-        if rr**0.5 <= tol:
+        if np.linalg.norm(r) <= tol:
             break
         ap = times(p)
-        alpha = rr / float(p @ ap)
-        x += alpha * p
-        r = r - alpha * ap
-        new = float(r @ r)
-        p, rr = r + new / rr * p, new
-    m.unpersist()
+        alpha = rz / float(p @ ap)
+        x, r = x + alpha * p, r - alpha * ap
+        z = scale_by * r
+        new = float(r @ z)
+        p, rz = z + new / rz * p, new
+    return x
+
+
+def stabilised_gradients(m: DataFrame, b: np.ndarray, tol: float = 1e-8, rounds: int = 500, preconditioner: np.ndarray | None = None) -> np.ndarray:
+    """Solution of a general system by two coupled gradients, the second of which smooths the first; raises if it breaks down."""
+    times, scale_by = _product(m, len(b)), 1.0 if preconditioner is None else preconditioner
+    x, r = np.zeros(len(b)), np.asarray(b, float)
+    shadow, p = r.copy(), r.copy()
+    rho = float(shadow @ r)
+    for _ in range(rounds):
+        if np.linalg.norm(r) <= tol:
+            return x
+        hat = scale_by * p
+        v = times(hat)
+        if (down := float(shadow @ v)) == 0:
+            raise ValueError("the iteration broke down")
+        alpha = rho / down
+        s = r - alpha * v
+        s_hat = scale_by * s
+        t = times(s_hat)
+        omega = float(t @ s) / (float(t @ t) or 1.0)
+        x, r = x + alpha * hat + omega * s_hat, s - omega * t
+        if np.linalg.norm(r) <= tol:
+            return x
+        new = float(shadow @ r)
+        if new == 0 or omega == 0:
+            raise ValueError("the iteration broke down")
+        p, rho = r + new / rho * alpha / omega * (p - omega * v), new
+    return x
+
+
+def minimal_residual(m: DataFrame, b: np.ndarray, tol: float = 1e-8, restart: int = 30, rounds: int = 20, preconditioner: np.ndarray | None = None) -> np.ndarray:
+    """Solution of a general system: the least residual over a growing basis of products, begun anew after ``restart`` of them."""
+    times, scale_by = _product(m, len(b)), 1.0 if preconditioner is None else preconditioner
+    b = np.asarray(b, float)
+    x = np.zeros(len(b))
+    for _ in range(rounds):
+        r = b - times(x)
+        if (size := np.linalg.norm(r)) <= tol:
+            break
+        basis, h = [r / size], np.zeros((restart + 1, restart))
+        for k in range(restart):
+            w = times(scale_by * basis[k])
+            for i, q in enumerate(basis):
+                h[i, k] = q @ w
+                w = w - h[i, k] * q
+            h[k + 1, k] = np.linalg.norm(w)
+            y, *_ = np.linalg.lstsq(h[: k + 2, : k + 1], np.r_[size, np.zeros(k + 1)], rcond=None)
+            left = np.linalg.norm(np.r_[size, np.zeros(k + 1)] - h[: k + 2, : k + 1] @ y)
+            if left <= tol or h[k + 1, k] < 1e-14:
+                break
+            basis.append(w / h[k + 1, k])
+        x = x + scale_by * (np.array(basis[: len(y)]).T @ y)
     return x
 
 
@@ -177,18 +248,13 @@ def principal_axes(df: DataFrame, columns: list[str], k: int) -> tuple[np.ndarra
 
 def power_iteration(m: DataFrame, n: int, rounds: int = 100) -> tuple[float, np.ndarray]:
     """The largest eigenvalue of a symmetric coordinate table and its vector."""
-    spark, x = m.sparkSession, np.ones(n) / n**0.5
-    m = m.cache()
-    value = 0.0
+    times, x = _product(m, n), np.ones(n) / n**0.5
+    now = value = 0.0
     for _ in range(rounds):
-        frame = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "pos long, v double")
-        y = np.zeros(n)
-        for r in matvec(m, F.broadcast(frame)).collect():
-            y[r[0]] = r[1]
+        y = times(x)
         now = float(x @ y)
         x = y / (np.linalg.norm(y) or 1.0)
         if abs(now - value) < 1e-10 * max(1.0, abs(now)):
             break
         value = now
-    m.unpersist()
     return now, x

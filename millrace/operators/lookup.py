@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.sequence import enumerate_rows
+from millrace.operators.sequence import enumerate_rows, ranged
 from millrace.plans.storage import cut
 
 Cols = tuple[str, ...] | list[str]
@@ -14,14 +14,24 @@ Cols = tuple[str, ...] | list[str]
 def as_of(left: DataFrame, right: DataFrame, left_time: str, right_time: str, value: Column, tie: str, by: Cols = (), out: str = "value") -> DataFrame:
     """For each left row the value of the last right row at or before it (ties: the greatest ``tie``).
 
-    Both sides go through one window per key, so rows are sorted once and never joined pair by pair.
+    Both sides go through one window per key, so rows are sorted once and never joined pair by pair. Without ``by`` the rows
+    are dealt by time and what a partition ends with is carried to the next, so that no task has all rows.
     """
     key = list(by)
     # left rows come after right rows of the same time
     l = left.withColumn("_t", F.col(left_time)).withColumn("_side", F.lit(1)).withColumn("_tie", F.lit(None).cast(right.schema[tie].dataType)).withColumn("_v", F.lit(None))
     r = right.select(*key, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), value.alias("_v"))
-    w = Window.partitionBy(*key).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    rows = l.unionByName(r, allowMissingColumns=True).withColumn(out, F.last("_v", ignorenulls=True).over(w))
+    order = ["_t", "_side", "_tie"]
+    rows = l.unionByName(r, allowMissingColumns=True)
+    if key:
+        rows = rows.withColumn(out, F.last("_v", ignorenulls=True).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    else:  # range partitions, and what the last value of those before is, one row a partition
+        rows = ranged(rows, order)
+        ends = rows.where("_v is not null").groupBy("_part").agg(F.max_by("_v", F.struct(*order)).alias("_end"))
+        ends = rows.select("_part").distinct().join(ends, "_part", "left")
+        carried = ends.select("_part", F.last("_end", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+        inside = F.last("_v", ignorenulls=True).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn(out, inside).join(F.broadcast(carried), "_part").withColumn(out, F.coalesce(out, "_carried"))
     return rows.where("_side = 1").select(*left.columns, out)
 
 

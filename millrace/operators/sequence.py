@@ -14,7 +14,7 @@ from millrace.plans.storage import cut
 Cols = tuple[str, ...] | list[str]
 
 
-def _ranged(df: DataFrame, order_by: Cols) -> DataFrame:
+def ranged(df: DataFrame, order_by: Cols) -> DataFrame:
     dealt = df.repartitionByRange(*(F.col(c) for c in order_by))
     return cut(dealt.withColumn("_part", F.spark_partition_id()))
 
@@ -29,7 +29,7 @@ def enumerate_rows(df: DataFrame, order_by: Cols, by: Cols = (), out: str = "pos
     """Position from 0 in the given order, per group of ``by``."""
     if by:
         return df.withColumn(out, (F.row_number().over(Window.partitionBy(*by).orderBy(*order_by)) - 1).cast("long"))
-    rows = _ranged(df, order_by)
+    rows = ranged(df, order_by)
     base = _before(rows.groupBy("_part").count(), "count")
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order_by)) - 1
     return rows.withColumn("_place", place).join(base, "_part").withColumn(out, (F.col("_base") + F.col("_place")).cast("long")).drop("_part", "_place", "_base")
@@ -41,7 +41,7 @@ def scan(df: DataFrame, value: str, order_by: Cols, by: Cols = (), inclusive: bo
     if by:
         w = Window.partitionBy(*by).orderBy(*order_by).rowsBetween(*frame)
         return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
-    rows = _ranged(df, order_by)
+    rows = ranged(df, order_by)
     base = _before(rows.groupBy("_part").agg(F.coalesce(F.sum(value), F.lit(0)).alias("_sum")), "_sum")
     w = Window.partitionBy("_part").orderBy(*order_by).rowsBetween(*frame)
     inside = rows.withColumn("_inside", F.coalesce(F.sum(value).over(w), F.lit(0)))
@@ -57,9 +57,13 @@ def segmented_scan(df: DataFrame, value: str, starts: Column, order_by: Cols, by
 
 
 def running_product(df: DataFrame, value: str, order_by: Cols, by: Cols, out: str = "product") -> DataFrame:
-    """Product of the values up to each row."""
+    """Product of the values up to each row, by running sums of logarithms, of signs and of zeros. Null values change nothing."""
     w = Window.partitionBy(*by).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.aggregate(F.collect_list(F.col(value).cast("double")).over(w), F.lit(1.0), lambda p, x: p * x))
+    x = F.col(value).cast("double")
+    size = F.exp(F.coalesce(F.sum(F.when(x != 0, F.log(F.abs(x)))).over(w), F.lit(0.0)))
+    sign = F.when(F.sum((F.coalesce(x, F.lit(1.0)) < 0).cast("int")).over(w) % 2 == 1, -1.0).otherwise(1.0)
+    zero = F.sum((F.coalesce(x, F.lit(1.0)) == 0).cast("int")).over(w) > 0
+    return df.withColumn(out, F.when(zero, 0.0).otherwise(sign * size))
 
 
 def zip_rows(left: DataFrame, right: DataFrame, left_order: Cols, right_order: Cols) -> DataFrame:
@@ -121,10 +125,16 @@ def group_values(df: DataFrame, key: str, value: str, out: str = "items") -> Dat
 
 def run_lengths(df: DataFrame, value: str, order_by: Cols, by: Cols = ()) -> DataFrame:
     """Runs of equal values in order: run number from 0, value, length."""
-    w = Window.partitionBy(*by).orderBy(*order_by)
-    changed = df.withColumn("_new", F.coalesce((~F.lag(value).over(w).eqNullSafe(F.col(value))).cast("long"), F.lit(0)))
+    if by:
+        w = Window.partitionBy(*by).orderBy(*order_by)
+        before = F.lag(F.struct(value)).over(w)
+        changed = df.withColumn("_new", (before.isNotNull() & ~before[value].eqNullSafe(F.col(value))).cast("long"))
+    else:  # the value before comes by position, so that no task has all rows
+        rows = cut(enumerate_rows(df, order_by, out="_at"))
+        ahead = rows.select((F.col("_at") + 1).alias("_at"), F.struct(F.col(value).alias("_v")).alias("_before"))
+        changed = rows.join(ahead, "_at", "left").withColumn("_new", (F.col("_before").isNotNull() & ~F.col("_before._v").eqNullSafe(F.col(value))).cast("long")).drop("_before", "_at")
     numbered = scan(changed, "_new", order_by, by, out="_run")
-    first = F.min("_run").over(Window.partitionBy(*by)) if by else F.lit(1)
+    first = F.min("_run").over(Window.partitionBy(*by)) if by else F.lit(0)
     return numbered.withColumn("run", F.col("_run") - first).groupBy(*by, "run").agg(F.first(value).alias(value), F.count("*").alias("length"))
 
 
@@ -151,8 +161,10 @@ def order_statistic(df: DataFrame, value: str, k: int, by: Cols = ()) -> DataFra
 
 
 def upper_median(df: DataFrame, value: str, by: Cols) -> DataFrame:
-    """The element at n div 2 of the sorted values."""
-    return df.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("_all")).select(*by, F.expr("element_at(_all, cast(size(_all) div 2 + 1 as int))").alias("median"))
+    """The element at n div 2 of the sorted values, nulls left out; a group is sorted on disk if need be, never one array."""
+    group = Window.partitionBy(*by)
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("median"), F.row_number().over(group.orderBy(value)).alias("_nth"), F.count("*").over(group).alias("_n"))
+    return rows.where(F.col("_nth") == F.floor(F.col("_n") / 2) + 1).select(*by, "median")
 
 
 def islands(df: DataFrame, value: str, by: Cols = ()) -> DataFrame:

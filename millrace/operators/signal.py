@@ -11,16 +11,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Positions of the shorter series of a convolution.
+TAPS = 100_000
+
+
 def convolve(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(pos, x): full linear convolution of two series with positions from 0."""
+    """(pos, x): full linear convolution of two series with positions from 0; ``b`` has ``TAPS`` positions at most and is broadcast."""
     right = b.select(F.col("pos").alias("_p"), F.col("x").alias("_x"))
-    return a.crossJoin(F.broadcast(right) if b.limit(100_001).count() <= 100_000 else right).groupBy((F.col("pos") + F.col("_p")).alias("pos")).agg(F.sum(F.col("x") * F.col("_x")).alias("x"))
+    if right.limit(TAPS + 1).count() > TAPS:
+        raise ValueError(f"the second series has more than {TAPS} positions: cut it into blocks and add up their convolutions")
+    return a.crossJoin(F.broadcast(right)).groupBy((F.col("pos") + F.col("_p")).alias("pos")).agg(F.sum(F.col("x") * F.col("_x")).alias("x"))
 
 
-def correlate(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(pos, x): sum of a[k] b[k + pos] for lags from 0."""
-    right = b.select(F.col("pos").alias("_p"), F.col("x").alias("_x"))
-    return a.join(right, F.col("_p") >= F.col("pos")).groupBy((F.col("_p") - F.col("pos")).alias("pos")).agg(F.sum(F.col("x") * F.col("_x")).alias("x"))
+def correlate(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
+    """(pos, x): sum of a[k] b[k + pos] for lags from 0 to ``most``, by an equality join on a[k]'s positions shifted by each lag."""
+    right = b.select(F.col("pos").cast("long").alias("_p"), F.col("x").alias("_x"))
+    spread = a.select("x", F.col("pos").cast("long").alias("_k"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most).cast("long"))).alias("pos"))
+    return spread.join(right, F.col("_p") == F.col("_k") + F.col("pos")).groupBy("pos").agg(F.sum(F.col("x") * F.col("_x")).alias("x"))
 
 
 def fir(df: DataFrame, taps: list[float], order_by: list[str], by: list[str], value: str = "x", out: str = "y") -> DataFrame:

@@ -5,6 +5,7 @@ Null values are left out. Float sums depend on the order of partial sums in the
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +18,13 @@ def describe(df: DataFrame, value: str, by: Cols = (), quantiles: tuple[float, .
     """n, mean, median, variances, standard deviations, skewness and excess kurtosis (0 where all values are equal), quantiles by linear interpolation."""
     x = F.col(value).cast("double")
     out = [
-        F.count(x).alias("n"), F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"),
+        F.count(x).alias("n"), F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"), F.percentile(x, F.array(F.lit(0.5), *map(F.lit, quantiles))).alias("_quantiles"),
         F.var_pop(x).alias("var_pop"), F.var_samp(x).alias("var_samp"), F.stddev_pop(x).alias("std_pop"), F.stddev_samp(x).alias("std_samp"),
         F.coalesce(F.skewness(x), F.lit(0.0)).alias("skewness"), F.coalesce(F.kurtosis(x), F.lit(0.0)).alias("kurtosis"), F.min(x).alias("min"), F.max(x).alias("max"),
     ]
-    out += [F.percentile(x, F.lit(q)).alias(f"q{round(q * 100)}") for q in quantiles]
-    return df.groupBy(*by).agg(*out)
+    rows = df.groupBy(*by).agg(*out)  # all quantiles come from one map of values and their counts
+    names = ["median", *(f"q{round(q * 100)}" for q in quantiles)]
+    return rows.select(*by, *(F.col("_quantiles")[k].alias(name) for k, name in enumerate(names)), *(c for c in rows.columns if c not in (*by, "_quantiles")))
 
 
 def mode(df: DataFrame, value: str, by: Cols = ()) -> DataFrame:
@@ -163,15 +165,21 @@ def weighted_average(df: DataFrame, value: str, width: int, order_by: Cols, by:
 def exponential_average(df: DataFrame, value: str, width: int, order_by: Cols, by: Cols, out: str = "ema") -> DataFrame:
     """y0 = x0, then alpha x + (1 - alpha) y with alpha = 2 / (width + 1).
 
-    A recurrence needs its series in order: each group is folded in one task, so groups must fit one.
+    A recurrence needs its series in order: each group is one table of a task, so groups must fit one. Null values count as 0.
     """
     alpha = 2.0 / (width + 1)
-    items = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order_by, F.col(value).cast("double").alias("_x")))).alias("_s"))
-    step = lambda acc, e: F.struct((F.when(acc["n"] == 0, e["_x"]).otherwise(alpha * e["_x"] + (1 - alpha) * acc["y"])).alias("y"), (acc["n"] + 1).alias("n"), F.concat(acc["all"], F.array(F.when(acc["n"] == 0, e["_x"]).otherwise(alpha * e["_x"] + (1 - alpha) * acc["y"]))).alias("all"))
-    start = F.struct(F.lit(0.0).alias("y"), F.lit(0).alias("n"), F.array().cast("array<double>").alias("all"))
-    folded = items.withColumn("_y", F.aggregate("_s", start, step, lambda acc: acc["all"]))
-    rows = folded.select(*by, F.explode(F.arrays_zip("_s", "_y")).alias("_z"))
-    return rows.select(*by, *(F.col(f"_z._s.{c}").alias(c) for c in order_by), F.col("_z._y").alias(out))
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(list(order_by), kind="stable", ignore_index=True)
+        y, averages = 0.0, []
+        for k, x in enumerate(group[out].fillna(0.0).to_numpy()):
+            y = x if k == 0 else alpha * x + (1 - alpha) * y
+            averages.append(y)
+        group[out] = averages
+        return group
+
+    rows = df.select(*by, *order_by, F.col(value).cast("double").alias(out))
+    return rows.groupBy(*by).applyInPandas(fold, rows.schema)
 
 
 def autocorrelation(df: DataFrame, value: str, lags: int, order_by: Cols, by: Cols) -> DataFrame:

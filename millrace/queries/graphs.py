@@ -8,12 +8,12 @@ from millrace.queries.statistics import rounded
 
 R = Registry()
 
-#: Customers' and suppliers' nations of the first orders, as a directed graph with the least price as weight.
-EDGES = "(SELECT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst, min(l_extendedprice) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity <= 1 AND l_orderkey % 7 = 0 AND c_nationkey != s_nationkey GROUP BY 1, 2)"
+#: Customers' and suppliers' nations of all orders, as a directed graph with the least price as weight.
+EDGES = "(SELECT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst, min(l_extendedprice) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey != s_nationkey GROUP BY 1, 2)"
 
 
 def _edges(t):
-    l = t.lineitem.where("l_quantity <= 1 and l_orderkey % 7 = 0").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    l = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     return l.where("c_nationkey != s_nationkey").groupBy(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).agg(F.min("l_extendedprice").alias("w"))
 
 
@@ -42,10 +42,12 @@ def _(t):
     return rounded(g.shortest_paths(e, e.agg(F.min("src")).first()[0]).select("id", "distance"), distance=4)
 
 
-@R.add("connected_components", "WITH RECURSIVE e AS (SELECT p_partkey a, p_partkey * 3 % 701 b FROM part WHERE p_partkey % 2 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(v, c) AS (SELECT a, a FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.v) SELECT v AS vertex, min(c) AS component FROM r GROUP BY 1")
+#: Each part points to the one that is its size below, or to itself if there is none: every path ends at its component's least key.
+@R.add("connected_components", "WITH RECURSIVE e AS (SELECT p.p_partkey a, coalesce(q.p_partkey, p.p_partkey) b FROM part p LEFT JOIN part q ON q.p_partkey = p.p_partkey - p.p_size), w(v, c) AS (SELECT a, b FROM e UNION ALL SELECT w.v, e.b FROM w JOIN e ON e.a = w.c WHERE e.a != e.b) SELECT v AS vertex, min(c) AS component FROM w GROUP BY 1")
 def _(t):
-    p = t.part.where("p_partkey % 2 = 0")
-    return g.components(p.select(F.col("p_partkey").alias("src"), (F.col("p_partkey") * 3 % 701).alias("dst")))
+    q = t.part.select(F.col("p_partkey").alias("below"))
+    p = t.part.join(q, F.col("below") == F.col("p_partkey") - F.col("p_size"), "left")
+    return g.components(p.select(F.col("p_partkey").alias("src"), F.coalesce("below", "p_partkey").alias("dst")))
 
 
 @R.add("mst_weight", f"WITH RECURSIVE e AS {EDGES}, u AS (SELECT least(src, dst) a, greatest(src, dst) b, min(w) w FROM e GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (ORDER BY w, a, b) r FROM u), f(r, x, y, minw) AS (SELECT r, a, b, r FROM k) SELECT count(*) AS edges, round(sum(w), 2) AS weight FROM k WHERE NOT EXISTS (SELECT 1 FROM (WITH RECURSIVE p(v, start) AS (SELECT k.a, k.a UNION SELECT CASE WHEN q.a = p.v THEN q.b ELSE q.a END, p.start FROM p JOIN k q ON (q.a = p.v OR q.b = p.v) AND q.r < k.r) SELECT v FROM p) z WHERE z.v = k.b)")
@@ -59,9 +61,9 @@ def _(t):
     return g.topological_layers(t.nation.select(F.col("n_regionkey").cast("long").alias("src"), (100 + F.col("n_nationkey")).cast("long").alias("dst")))
 
 
-@R.add("scc", "WITH RECURSIVE e AS (SELECT p_partkey a, (p_partkey * 5 + 1) % 47 b FROM part WHERE p_partkey < 60), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), v AS (SELECT a AS id FROM e UNION SELECT b FROM e) SELECT id AS vertex, least(id, coalesce((SELECT min(x.b) FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a = id), id)) AS component FROM v")
+@R.add("scc", "WITH RECURSIVE e AS (SELECT p_partkey a, (p_partkey * 5 + 1) % 47 b FROM part), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), v AS (SELECT a AS id FROM e UNION SELECT b FROM e), m AS (SELECT x.a, min(x.b) AS b FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a) SELECT id AS vertex, least(id, coalesce(m.b, id)) AS component FROM v LEFT JOIN m ON m.a = id")
 def _(t):
-    p = t.part.where("p_partkey < 60")
+    p = t.part
     return g.strong_components(p.select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 5 + 1) % 47).alias("dst")))
 
 
@@ -80,9 +82,10 @@ def _(t):
     return g.greedy_colours(_edges(t))
 
 
-@R.add("bridges_and_cuts")
+#: Halving makes the parts one tree: every edge is a bridge, and every vertex with two edges or more a cut.
+@R.add("bridges_and_cuts", "WITH e AS (SELECT p_partkey b, p_partkey // 2 a FROM part WHERE p_partkey > 0) SELECT a AS src, b AS dst, 'bridge' AS kind FROM e UNION ALL SELECT v, v, 'cut' FROM (SELECT a v FROM e UNION ALL SELECT b FROM e) GROUP BY v HAVING count(*) > 1")
 def _(t):
-    p = t.part.where("p_partkey between 1 and 300").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).alias("dst"))
+    p = t.part.where("p_partkey > 0").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).alias("dst"))
     return g.bridges(p).withColumn("kind", F.lit("bridge")).unionByName(g.cut_vertices(p).select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit("cut").alias("kind")))
 
 

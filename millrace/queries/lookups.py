@@ -63,19 +63,19 @@ def _(t):
     return rounded(lk.closest_pair(t.part.withColumn("s", F.col("p_size").cast("double")), "p_partkey", "s", "p_retailprice"), distance=6)
 
 
-KNN = "SELECT q.vec_id AS query, p.vec_id AS point, row_number() OVER (PARTITION BY q.vec_id ORDER BY sqrt(list_sum([(x[1]::DOUBLE - x[2]::DOUBLE) ** 2 for x in list_zip(q.embedding, p.embedding)])), p.vec_id) AS nth, p.label FROM embeddings q, embeddings p WHERE q.vec_id < 20 AND p.vec_id >= 20"
+KNN = "SELECT q.vec_id AS query, p.vec_id AS point, row_number() OVER (PARTITION BY q.vec_id ORDER BY sqrt(list_sum([(x[1]::DOUBLE - x[2]::DOUBLE) ** 2 for x in list_zip(q.embedding, p.embedding)])), p.vec_id) AS nth, p.label FROM embeddings q, embeddings p WHERE q.vec_id % 100 = 0"
 
 
 @R.add("knn_embeddings", f"SELECT query, point, nth FROM ({KNN}) WHERE nth <= 5")
 def _(t):
     e = t.embeddings
-    return lk.k_nearest(e.where("vec_id < 20"), e.where("vec_id >= 20"), "vec_id", "vec_id", "embedding", "embedding", 5).select("query", "point", "nth")
+    return lk.k_nearest(e.where("vec_id % 100 = 0"), e, "vec_id", "vec_id", "embedding", "embedding", 5).select("query", "point", "nth")
 
 
 @R.add("knn_classify", f"SELECT query, label FROM (SELECT query, label, row_number() OVER (PARTITION BY query ORDER BY count(*) DESC, label) r FROM ({KNN}) WHERE nth <= 5 GROUP BY 1, 2) WHERE r = 1")
 def _(t):
     e = t.embeddings
-    near = lk.k_nearest(e.where("vec_id < 20"), e.where("vec_id >= 20"), "vec_id", "vec_id", "embedding", "embedding", 5)
+    near = lk.k_nearest(e.where("vec_id % 100 = 0"), e, "vec_id", "vec_id", "embedding", "embedding", 5)
     votes = near.groupBy("query", "label").count()
     return votes.groupBy("query").agg(F.min_by("label", F.struct(-F.col("count"), F.col("label"))).alias("label"))
 
@@ -148,21 +148,21 @@ def _(t):
     return sk.count_min_estimate(t.events.select("event_type").distinct(), "event_type", sk.count_min(t.events, F.col("event_type"), 64, 4), 64, 4)
 
 
-TOK = "SELECT DISTINCT p_partkey, unnest(string_split(p_name || ' ' || p_brand || ' ' || p_type, ' ')) AS w FROM part WHERE p_partkey < 300"
+TOK = "SELECT DISTINCT l_orderkey AS k, l_partkey AS w FROM lineitem"
 
 
 def _tokens(t):
-    return t.part.where("p_partkey < 300").select("p_partkey", F.explode(F.split(F.concat_ws(" ", "p_name", "p_brand", "p_type"), " ")).alias("w")).distinct()
+    return t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("w")).distinct()
 
 
-@R.add("minhash_similarity", f"WITH s AS (SELECT p_partkey k, i, min({H('w || chr(58) || i')}) h FROM ({TOK}), range(16) r(i) GROUP BY 1, 2) SELECT a.k AS a, b.k AS b, count(*) / 16.0::DOUBLE AS similarity FROM s a JOIN s b ON a.i = b.i AND a.h = b.h AND a.k < b.k GROUP BY 1, 2")
+@R.add("minhash_similarity", f"WITH s AS (SELECT k, i, min({H('w || chr(58) || i')}) h FROM ({TOK}), range(16) r(i) GROUP BY 1, 2) SELECT a.k AS a, b.k AS b, count(*) / 16.0::DOUBLE AS similarity FROM s a JOIN s b ON a.i = b.i AND a.h = b.h AND a.k < b.k GROUP BY 1, 2 HAVING count(*) >= 4")
 def _(t):
-    return sk.signature_similarity(sk.minhash(_tokens(t), "p_partkey", "w", 16), "p_partkey", 16)
+    return sk.signature_similarity(sk.minhash(_tokens(t), "k", "w", 16), "k", 16, least=0.25)
 
 
-@R.add("exact_jaccard", f"WITH s AS ({TOK}), n AS (SELECT p_partkey, count(*) n FROM s GROUP BY 1), c AS (SELECT a.p_partkey a, b.p_partkey b, count(*) c FROM s a JOIN s b ON a.w = b.w AND a.p_partkey < b.p_partkey GROUP BY 1, 2) SELECT a, b, round(c / (x.n + y.n - c), 8) AS jaccard FROM c JOIN n x ON x.p_partkey = a JOIN n y ON y.p_partkey = b")
+@R.add("exact_jaccard", f"WITH s AS ({TOK}), n AS (SELECT k, count(*) n FROM s GROUP BY 1), c AS (SELECT a.k a, b.k b, count(*) c FROM s a JOIN s b ON a.w = b.w AND a.k < b.k GROUP BY 1, 2) SELECT a, b, round(c / (x.n + y.n - c), 8) AS jaccard FROM c JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 10 * c >= 3 * (x.n + y.n - c)")
 def _(t):
-    return rounded(sk.exact_jaccard(_tokens(t), "p_partkey", "w"), jaccard=8)
+    return rounded(sk.exact_jaccard(_tokens(t), "k", "w", least=0.3), jaccard=8)
 
 
 @R.add("reservoir_sample", f"SELECT o_orderkey FROM orders ORDER BY {H('o_orderkey::VARCHAR')} LIMIT 100")

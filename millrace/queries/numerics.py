@@ -9,16 +9,16 @@ from millrace.queries import Registry
 from millrace.queries.statistics import rounded
 
 R = Registry()
-COO = "(SELECT l_orderkey % 40 AS i, l_partkey % 30 AS j, sum(l_quantity) AS v FROM lineitem WHERE l_orderkey < 3000 GROUP BY 1, 2)"
-COB = "(SELECT l_partkey % 30 AS i, l_suppkey % 20 AS j, sum(l_quantity) AS v FROM lineitem WHERE l_orderkey < 3000 GROUP BY 1, 2)"
+COO = "(SELECT l_orderkey % 40 AS i, l_partkey % 30 AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
+COB = "(SELECT l_partkey % 30 AS i, l_suppkey % 20 AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
 
 
 def _a(t):
-    return t.lineitem.where("l_orderkey < 3000").groupBy((F.col("l_orderkey") % 40).alias("i"), (F.col("l_partkey") % 30).alias("j")).agg(F.sum("l_quantity").alias("v"))
+    return t.lineitem.groupBy((F.col("l_orderkey") % 40).alias("i"), (F.col("l_partkey") % 30).alias("j")).agg(F.sum("l_quantity").alias("v"))
 
 
 def _b(t):
-    return t.lineitem.where("l_orderkey < 3000").groupBy((F.col("l_partkey") % 30).alias("i"), (F.col("l_suppkey") % 20).alias("j")).agg(F.sum("l_quantity").alias("v"))
+    return t.lineitem.groupBy((F.col("l_partkey") % 30).alias("i"), (F.col("l_suppkey") % 20).alias("j")).agg(F.sum("l_quantity").alias("v"))
 
 
 @R.add("coo_matmul", f"SELECT a.i AS i, b.j AS j, sum(a.v * b.v) AS v FROM {COO} a JOIN {COB} b ON a.j = b.i GROUP BY 1, 2")
@@ -80,11 +80,11 @@ def _(t):
     return t.spark.range(1).select(F.round(F.lit(float(v1)), 5).alias("v1"), F.round(F.lit(float(v2)), 5).alias("v2"))
 
 
-SER = "(SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_size::DOUBLE AS x FROM part WHERE p_partkey BETWEEN 1 AND 64)"
+SER = "(SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_size::DOUBLE AS x FROM part)"
 
 
 def _series(t):
-    return seq.enumerate_rows(t.part.where("p_partkey between 1 and 64").select("p_partkey", F.col("p_size").cast("double").alias("x")), ["p_partkey"]).select("pos", "x")
+    return seq.enumerate_rows(t.part.select("p_partkey", F.col("p_size").cast("double").alias("x")), ["p_partkey"]).select("pos", "x")
 
 
 @R.add("convolve_full", f"SELECT a.pos + b.pos AS pos, sum(a.x * b.x) AS x FROM {SER} a, (VALUES (0, 1.0::DOUBLE), (1, 2.0), (2, -1.0)) b(pos, x) GROUP BY 1")
@@ -92,10 +92,10 @@ def _(t):
     return sg.convolve(_series(t), t.spark.createDataFrame([(0, 1.0), (1, 2.0), (2, -1.0)], "pos long, x double"))
 
 
-@R.add("correlate_lags", f"SELECT b.pos - a.pos AS pos, sum(a.x * b.x) AS x FROM {SER} a JOIN {SER} b ON b.pos >= a.pos GROUP BY 1")
+@R.add("correlate_lags", f"SELECT b.pos - a.pos AS pos, sum(a.x * b.x) AS x FROM {SER} a JOIN {SER} b ON b.pos BETWEEN a.pos AND a.pos + 50 GROUP BY 1")
 def _(t):
     s = _series(t)
-    return sg.correlate(s, s)
+    return sg.correlate(s, s, 50)
 
 
 @R.add("fir_filter", "SELECT event_id, round(0.5 * value + 0.3 * coalesce(lag(value) OVER w, 0) + 0.2 * coalesce(lag(value, 2) OVER w, 0), 8) AS y FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
@@ -103,15 +103,17 @@ def _(t):
     return rounded(sg.fir(t.events, [0.5, 0.3, 0.2], ["ts", "event_id"], ["user_id"], "value").select("event_id", "y"), y=8)
 
 
-@R.add("dft_power", f"SELECT k AS bin, round(sum(x * cos(2 * pi() * k * pos / 64)) ** 2 + sum(x * sin(2 * pi() * k * pos / 64)) ** 2, 4) AS power FROM {SER}, range(0, 33) r(k) GROUP BY k")
+@R.add("dft_power", f"SELECT k AS bin, round(sum(x * cos(2 * pi() * k * pos / (SELECT count(*) FROM part))) ** 2 + sum(x * sin(2 * pi() * k * pos / (SELECT count(*) FROM part))) ** 2, 3) AS power FROM {SER}, range(0, 33) r(k) GROUP BY k")
 def _(t):
-    return rounded(sg.dft_power(_series(t), "pos", "x", 64, 33), power=4)
+    return rounded(sg.dft_power(_series(t), "pos", "x", t.part.count(), 33), power=3)
 
 
 @R.add("fft_kernels")
 def _(t):
-    arr = _series(t).groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("a"))
-    return arr.select(F.transform(sg.ifft(sg.fft(F.col("a"))), lambda v: F.round(v, 6)).alias("back"), F.transform(sg.idct(sg.dct(F.col("a"))), lambda v: F.round(v, 6)).alias("cosine"), F.transform(sg.periodogram(F.col("a")), lambda v: F.round(v, 6)).alias("power"))
+    blocks = _series(t).withColumn("block", F.floor(F.col("pos") / 64))
+    arr = blocks.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("a"))
+    arr = arr.withColumn("a", F.concat("a", F.array_repeat(F.lit(0.0), F.lit(64) - F.size("a"))))  # the last block is filled up
+    return arr.select("block", F.transform(sg.ifft(sg.fft(F.col("a"))), lambda v: F.round(v, 6)).alias("back"), F.transform(sg.idct(sg.dct(F.col("a"))), lambda v: F.round(v, 6)).alias("cosine"), F.transform(sg.periodogram(F.col("a")), lambda v: F.round(v, 6)).alias("power"))
 
 
 @R.add("window_hann", "SELECT n AS pos, round(0.5 - 0.5 * cos(2 * pi() * n / 31), 10) AS w FROM range(32) t(n)")
@@ -134,7 +136,7 @@ def _(t):
     return rounded(sg.gradient(t.events, "value", 1.0, ["ts", "event_id"], ["user_id"]).select("event_id", "gradient"), gradient=6)
 
 
-@R.add("interp1d", "WITH s AS (SELECT user_id, event_id x, value y FROM events WHERE event_id % 3 = 0), p AS (SELECT user_id, event_id FROM events WHERE event_id % 3 = 1), b AS (SELECT p.*, (SELECT max(x) FROM s WHERE s.user_id = p.user_id AND x <= p.event_id) x0, (SELECT min(x) FROM s WHERE s.user_id = p.user_id AND x >= p.event_id) x1 FROM p), v AS (SELECT b.*, l.y y0, r.y y1 FROM b LEFT JOIN s l ON l.x = x0 LEFT JOIN s r ON r.x = x1) SELECT event_id, round(coalesce(y0 + (event_id - x0) / (x1 - x0) * (y1 - y0), y0, y1) + 1e-9, 6) AS value FROM v")
+@R.add("interp1d", "WITH s AS (SELECT user_id, event_id x, value y FROM events WHERE event_type IN ('click', 'purchase')), p AS (SELECT user_id, event_id FROM events), b AS (SELECT p.*, (SELECT max(x) FROM s WHERE s.user_id = p.user_id AND x <= p.event_id) x0, (SELECT min(x) FROM s WHERE s.user_id = p.user_id AND x >= p.event_id) x1 FROM p), v AS (SELECT b.*, l.y y0, r.y y1 FROM b LEFT JOIN s l ON l.x = x0 LEFT JOIN s r ON r.x = x1) SELECT event_id, round(coalesce(y0 + (event_id - x0) / nullif(x1 - x0, 0) * (y1 - y0), y0, y1) + 1e-9, 6) AS value FROM v")
 def _(t):
-    e = t.events.select("user_id", "event_id", "value")
-    return rounded(sg.interpolate(e.where("event_id % 3 = 1").select("user_id", "event_id"), e.where("event_id % 3 = 0"), "event_id", "event_id", "value", ["user_id"]).select("event_id", (F.col("value") + 1e-9).alias("value")), value=6)
+    e = t.events.select("user_id", "event_id", "event_type", "value")
+    return rounded(sg.interpolate(e.select("user_id", "event_id"), e.where("event_type in ('click', 'purchase')").drop("event_type"), "event_id", "event_id", "value", ["user_id"]).select("event_id", (F.col("value") + 1e-9).alias("value")), value=6)

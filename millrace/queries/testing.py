@@ -117,3 +117,19 @@ def _(t):
 def _(t):
     x = F.col("p_size").cast("double")
     return t.part.select("p_partkey", *(F.round(d.cdf_column(x / s), 9).alias(n) for n, d, s in (("normal", dist.Normal(25.0, 10.0), 1), ("gamma", dist.Gamma(2.0, 10.0), 1), ("beta", dist.Beta(2.0, 3.0), 50), ("student", dist.StudentT(5.0), 10), ("f", dist.FDist(3.0, 9.0), 10), ("chi2", dist.ChiSquared(20.0), 1), ("binomial", dist.Binomial(50, 0.4), 1), ("poisson", dist.Poisson(20.0), 1), ("geometric", dist.Geometric(0.1), 1))))
+
+
+E = lambda a, b: f"lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + lgamma(k + {a}) + lgamma(n - k + {b}) - lgamma(n + {a} + {b}) - (lgamma({a}) + lgamma({b}) - lgamma({a} + {b}))"
+
+
+@R.add("bayes_factor", f"SELECT event_type, round({E('1.0', '1.0')}, 6) AS flat, round(exp(({E('1.0', '1.0')}) - ({E('2.0', '8.0')})), 6) AS factor FROM (SELECT event_type, count(*) FILTER (value > 100)::DOUBLE k, count(*)::DOUBLE n FROM events GROUP BY 1)")
+def _(t):
+    s = t.events.groupBy("event_type").agg(F.count_if(F.col("value") > 100).alias("k"), F.count("*").alias("n"))
+    flat, other = ht.log_evidence(F.col("k"), F.col("n"), 1.0, 1.0), ht.log_evidence(F.col("k"), F.col("n"), 2.0, 8.0)
+    return s.select("event_type", F.round(flat, 6).alias("flat"), F.round(ht.bayes_factor(flat, other), 6).alias("factor"))
+
+
+@R.add("credible_intervals")
+def _(t):
+    post = ht.beta_binomial(t.events, F.col("value") > 100, 1.0, 1.0, ("event_type",))
+    return post.select("event_type", ht.beta_interval(F.col("alpha"), F.col("beta")).alias("i")).select("event_type", F.round("i.lo", 8).alias("lo"), F.round("i.hi", 8).alias("hi"))
