@@ -6,8 +6,9 @@ one and the first m - ceil(s * m) + 1 of the other, in any fixed order of all el
 sample come last in that order; the sample decides how many pairs are compared, never which are found.
 
 Elements that the same texts share, such as those of one passage, stand for one another: the first of them is kept. Of the
-texts that share it, one that shares most is compared with all others first. What these links leave in different groups is
-compared with the texts of that element's other groups. Before two sets are fetched, their odd sketches are compared: bit b of a sketch is the parity of how many elements fall into bucket b, so two sketches differ in at
+texts that share it, one that shares most is compared with all others first, and then, while that joins groups, one of those
+outside the largest group. What these links leave in different groups is compared with the texts of that element's other
+groups, for each group the nearest pair first. Before two sets are fetched, their odd sketches are compared: bit b of a sketch is the parity of how many elements fall into bucket b, so two sketches differ in at
 most as many bits as the sets differ in elements, and a pair beyond that bound is dropped without being missed.
 """
 
@@ -33,9 +34,11 @@ from millrace.plans.storage import cut, stored
 SAMPLE, COMMON = 4000, 200_000
 #: Bits of an element in the prefix filter. Elements that fall together there cost a comparison, no more.
 ELEMENT_BITS = 48
-#: Bits of an odd sketch.
-SKETCH_BITS = 1024
-#: Keys up to which a list of documents is broadcast; a longer one is joined by key.
+#: Least bits of an odd sketch; it has a power of two, over twice as many as the set has elements.
+SKETCH_BITS = 256
+#: Rounds with further leaders, and rounds with nearest pairs before all pairs that are left are compared at once.
+LEADERS, NEAREST = 1, 4
+#: Keys up to which a list of documents or sets is broadcast; a longer one is joined by key.
 FEW_KEYS = 1_000_000
 
 
@@ -54,9 +57,10 @@ def common_shingles(documents: DataFrame, width: int) -> np.ndarray:
 
 
 def odd_sketch(elements: np.ndarray) -> np.ndarray:
-    """Parity of the number of elements in each bucket, as signed 64-bit numbers."""
-    bucket = (elements >> np.uint64(20)) % np.uint64(SKETCH_BITS)
-    return np.packbits(np.bincount(bucket.astype(np.int64), minlength=SKETCH_BITS) & 1).view(np.int64)
+    """Parity of the number of elements in each bucket, as signed 64-bit numbers. The halves of a sketch add up to the one of half the bits."""
+    bits = max(SKETCH_BITS, 1 << (2 * len(elements)).bit_length())
+    bucket = (elements >> np.uint64(20)) % np.uint64(bits)
+    return np.packbits(np.bincount(bucket.astype(np.int64), minlength=bits) & 1).view(np.int64)
 
 
 SET = T.StructType([T.StructField("vertex", T.LongType()), T.StructField("size", T.LongType()), T.StructField("prints", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("prefix", T.ArrayType(T.LongType()))])
@@ -92,18 +96,26 @@ def shingle_sets(documents: DataFrame, width: int, least: Fraction) -> DataFrame
     return stored(documents.select("doc_id", F.xxhash64("text").alias("text_key"), column(text_of()).alias("s")).select("doc_id", "text_key", "s.*"))
 
 
+def few(keys: DataFrame) -> DataFrame:
+    """The keys, to be broadcast if they are few."""
+    return F.broadcast(keys) if keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS else keys
+
+
 def listed(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """``rows`` with (or, for left_anti, without) a (k_doc, k_text) among the keys; a short list is broadcast."""
-    if keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS:
-        keys = F.broadcast(keys)
+    """``rows`` with (or, for left_anti, without) a (k_doc, k_text) among the keys."""
+    keys = few(keys)
     return rows.join(keys, rows["doc_id"].eqNullSafe(keys["k_doc"]) & (F.xxhash64(rows["text"]) == keys["k_text"]), how)
 
 
 def _bits_apart(a: Column, b: Column) -> Column:
-    apart = F.bit_count(a[0].bitwiseXOR(b[0]))
-    for k in range(1, SKETCH_BITS // 64):
-        apart = apart + F.bit_count(a[k].bitwiseXOR(b[k]))
-    return apart
+    """Differing bits of two sketches, one of which may be twice as long; for sets of more different sizes it is not asked."""
+
+    def folded(long: Column, other: Column) -> Column:
+        half = F.size(other)
+        return F.when(F.size(long) > half, F.zip_with(F.slice(long, F.lit(1), half), F.slice(long, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(long)
+
+    each = F.zip_with(folded(a, b), folded(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(each, F.lit(0), lambda total, x: total + x)
 
 
 def _may_be_alike(x: str, y: str, least: Fraction) -> Column:
@@ -129,11 +141,16 @@ def alike(pairs: DataFrame, classes: DataFrame, documents: DataFrame, width: int
             out.append(both * least.denominator >= least.numerator * (len(x) + len(y) - both))
         return pd.Series(out, dtype=bool)
 
+    def ends(of: DataFrame) -> DataFrame:
+        return of.select(F.col("src").alias("vertex")).union(of.select(F.col("dst").alias("vertex"))).distinct()
+
+    info = stored(classes.join(few(stored(ends(pairs))), "vertex").select("vertex", "size", "sketch", "least"))
     for side, end in (("a", "src"), ("b", "dst")):
-        pairs = pairs.join(classes.select(F.col("vertex").alias(end), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), end)
+        pairs = pairs.join(info.select(F.col("vertex").alias(end), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), end)
     pairs = stored(pairs.where(_may_be_alike("a", "b", least)).select("src", "dst"))
-    ends = pairs.select(F.col("src").alias("vertex")).union(pairs.select(F.col("dst").alias("vertex"))).distinct()
-    keys = stored(classes.join(ends, "vertex").select("vertex", F.col("least.doc_id").alias("k_doc"), F.col("least.text_key").alias("k_text")))
+    if pairs.isEmpty():
+        return pairs
+    keys = stored(info.join(ends(pairs), "vertex").select("vertex", F.col("least.doc_id").alias("k_doc"), F.col("least.text_key").alias("k_text")))
     found = listed(documents.select("doc_id", "text"), keys, "inner").groupBy("vertex").agg(F.min("text").alias("text"))
     sets = stored(found.select("vertex", set_of(text_of()).alias("s")))
     sides = [sets.select(F.col("vertex").alias(c), F.col("s").alias(f"{c}_set")) for c in ("src", "dst")]
@@ -161,28 +178,59 @@ def _enough(x: str, y: str, least: Fraction) -> Column:
     return most * (least.numerator + least.denominator) >= (F.col(f"size_{x}") + F.col(f"size_{y}")) * least.numerator
 
 
-def leading_pairs(posted: DataFrame, classes: DataFrame, least: Fraction) -> DataFrame:
-    """Distinct pairs (src, dst): for each shared element the set with the greatest part of its prefix shared, and each other one."""
+def weighed(posted: DataFrame, classes: DataFrame) -> DataFrame:
+    """``posted`` with each set's size and weight, the part of it that is shared, stored."""
     weight = posted.groupBy("vertex").agg(F.sum("many").alias("shared")).join(classes.select("vertex", "size"), "vertex").select("vertex", "size", (F.col("shared") / F.col("size")).alias("weight"))
-    rows = posted.join(weight, "vertex")
-    leads = rows.groupBy("token").agg(F.max(F.struct("weight", "vertex", "size", "place")).alias("a")).select("token", F.col("a.vertex").alias("src"), F.col("a.size").alias("size_a"), F.col("a.place").alias("place_a"))
-    others = rows.select("token", F.col("vertex").alias("dst"), F.col("size").alias("size_b"), F.col("place").alias("place_b"))
-    return others.join(leads, "token").where((F.col("src") != F.col("dst")) & _enough("a", "b", least)).select("src", "dst").distinct()
+    return stored(posted.select("token", "vertex", "place").join(weight, "vertex"))
+
+
+def labelled(rows: DataFrame, member: DataFrame) -> DataFrame:
+    """``rows`` with the group of each vertex as ``c``: its component, or itself."""
+    return rows.join(few(member), "vertex", "left").withColumn("c", F.coalesce("component", "vertex")).drop("component")
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """Rows of the elements that sets of several groups share, with the group that most of them are in."""
+    by_group = rows.groupBy("token", "c").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("groups"), F.max(F.struct("n", "c"))["c"].alias("most"))
+    return rows.join(by_group.where("groups > 1").select("token", "most"), "token")
 
 
-def open_pairs(posted: DataFrame, classes: DataFrame, member: DataFrame, least: Fraction) -> DataFrame:
-    """Distinct pairs of sets in different groups that share an element and may be alike.
+def leading_pairs(rows: DataFrame, least: Fraction, member: DataFrame | None = None) -> DataFrame:
+    """Distinct pairs (src, dst): for each shared element one set, and each other one that is not in its group.
+
+    That is the set with the greatest weight; with groups, of those that are not in the element's largest one.
+    """
+    rows = rows.withColumn("c", F.col("vertex")) if member is None else _open(labelled(rows, member))
+    some = rows if member is None else rows.where("c != most")
+    leads = some.groupBy("token").agg(F.max(F.struct("weight", "vertex", "size", "place", "c")).alias("a")).select("token", F.col("a.vertex").alias("src"), F.col("a.size").alias("size_a"), F.col("a.place").alias("place_a"), F.col("a.c").alias("c_a"))
+    others = rows.select("token", F.col("vertex").alias("dst"), F.col("size").alias("size_b"), F.col("place").alias("place_b"), "c")
+    return others.join(leads, "token").where((F.col("c") != F.col("c_a")) & _enough("a", "b", least)).select("src", "dst").distinct()
+
+
+def open_pairs(rows: DataFrame, classes: DataFrame, member: DataFrame, least: Fraction) -> DataFrame:
+    """Distinct pairs (src, dst, apart) of sets in different groups that share an element and may be alike.
 
     Each element's largest group is met by the sets of its others only, so that a large group costs no pairs inside.
     """
-    rows = posted.join(member, "vertex", "left").select("token", "vertex", "place", F.coalesce("component", "vertex").alias("c"))
-    by_group = rows.groupBy("token", "c").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("groups"), F.max(F.struct("n", "c"))["c"].alias("most"))
-    # Elements within one group are dropped before sketches are fetched.
-    rest = stored(rows.join(by_group.where("groups > 1").select("token", "most"), "token").join(classes.select("vertex", "size", "sketch"), "vertex"))
+    rest = stored(_open(labelled(rows, member)).join(classes.select("vertex", "sketch"), "vertex"))
     names = ("vertex", "place", "c", "size", "sketch")
     a, b = (x.select("token", *(F.col(n).alias(f"{n}_{side}") for n in names)) for x, side in ((rest.where("c != most"), "a"), (rest, "b")))
     crossed = a.join(b, "token").where((F.col("c_a") != F.col("c_b")) & _enough("a", "b", least) & _may_be_alike("a", "b", least))
-    return stored(crossed.select(F.least("vertex_a", "vertex_b").alias("src"), F.greatest("vertex_a", "vertex_b").alias("dst")).distinct())
+    apart = _bits_apart(F.col("sketch_a"), F.col("sketch_b")) / (F.col("size_a") + F.col("size_b"))
+    return stored(crossed.select(F.least("vertex_a", "vertex_b").alias("src"), F.greatest("vertex_a", "vertex_b").alias("dst"), apart.alias("apart")).distinct())
+
+
+def nearest_pairs(pairs: DataFrame) -> DataFrame:
+    """Of pairs with their groups (src, dst, apart, c_src, c_dst) the nearest one of each group."""
+    pair = F.min(F.struct("apart", "src", "dst")).alias("p")
+    return pairs.select(F.col("c_src").alias("c"), "apart", "src", "dst").union(pairs.select("c_dst", "apart", "src", "dst")).groupBy("c").agg(pair).select("p.src", "p.dst").distinct()
+
+
+def _across(pairs: DataFrame, member: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different groups, with these groups, stored."""
+    for end in ("src", "dst"):
+        pairs = pairs.join(few(member.select(F.col("vertex").alias(end), F.col("component").alias(f"c_{end}"))), end, "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
+    return stored(pairs.where("c_src != c_dst"))
 
 
 def distinct_sets(sets: DataFrame) -> DataFrame:
@@ -198,13 +246,28 @@ def first_of_groups(sets: DataFrame, classes: DataFrame, proposed: DataFrame, do
     Groups are the components of the graph of all pairs of sets with a similarity of at least ``least``. Pairs (src, dst)
     that are proposed are compared beside those that the prefix filter finds.
     """
-    posted = shared_elements(sets)
-    candidates = proposed.union(leading_pairs(posted, classes, least)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    rows = weighed(shared_elements(sets), classes)
+    candidates = proposed.union(leading_pairs(rows, least)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     edges = alike(candidates, classes, documents, width, least)
     member = cut(connected_components(edges))
-    pairs = open_pairs(posted, classes, member, least)
-    if not pairs.isEmpty():
-        more = alike(pairs, classes, documents, width, least)
-        member = cut(connected_components(edges.union(more)))
+
+    def join(pairs: DataFrame) -> bool:
+        """Compare the pairs; whether any is alike."""
+        nonlocal edges, member
+        found = alike(pairs, classes, documents, width, least)
+        if found.isEmpty():
+            return False
+        edges = edges.union(found)
+        member = cut(connected_components(edges))
+        return True
+
+    for _ in range(LEADERS):
+        if not join(leading_pairs(rows, least, member)):
+            break
+    pairs, turns = _across(open_pairs(rows, classes, member, least), member), 0
+    while not pairs.isEmpty():
+        chosen = stored(nearest_pairs(pairs) if turns < NEAREST else pairs.select("src", "dst"))
+        join(chosen)
+        pairs, turns = _across(pairs.select("src", "dst", "apart").join(chosen, ["src", "dst"], "left_anti"), member), turns + 1
     placed = classes.select("vertex", "least").join(member, "vertex", "left").select("vertex", "least", F.coalesce("component", "vertex").alias("component"))
     return placed.join(placed.groupBy("component").agg(F.min("least").alias("best")), "component").select("vertex", "best")
