@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import text_of
+from millrace.llm.common import let, text_of
 from millrace.llm.shingles import SEED, fingerprint, shingle_hashes
 from millrace.operators.components import connected_components
 from millrace.plans.storage import cut, stored
@@ -107,12 +107,27 @@ def listed(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     return rows.join(keys, rows["doc_id"].eqNullSafe(keys["k_doc"]) & (F.xxhash64(rows["text"]) == keys["k_text"]), how)
 
 
+def _halved(sketch: Column, half: Column) -> Column:
+    """The sketch of ``half`` as many 64-bit numbers."""
+    return F.zip_with(F.slice(sketch, F.lit(1), half), F.slice(sketch, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+
+def short_sketch(sketch: Column, size: Column) -> Column:
+    """A half or a quarter of a sketch, of two thirds to four thirds as many bits as the set has elements, 64 at least.
+
+    It bounds the similarity as the whole one does, and tells most sets apart that are not alike. Of sets whose sizes allow
+    the similarity, one short sketch may be twice as long as the other.
+    """
+    half = _halved(sketch, (F.size(sketch) / 2).cast("int"))
+    return F.when(F.size(sketch) * 24 >= size, let(half, lambda h: _halved(h, (F.size(h) / 2).cast("int")))).otherwise(half)
+
+
 def _bits_apart(a: Column, b: Column) -> Column:
     """Differing bits of two sketches, one of which may be twice as long; for sets of more different sizes it is not asked."""
 
     def folded(long: Column, other: Column) -> Column:
         half = F.size(other)
-        return F.when(F.size(long) > half, F.zip_with(F.slice(long, F.lit(1), half), F.slice(long, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(long)
+        return F.when(F.size(long) > half, _halved(long, half)).otherwise(long)
 
     each = F.zip_with(folded(a, b), folded(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     return F.aggregate(each, F.lit(0), lambda total, x: total + x)
@@ -125,6 +140,18 @@ def _may_be_alike(x: str, y: str, least: Fraction) -> Column:
     return (F.least(n, m) * q >= F.greatest(n, m) * p) & (_bits_apart(F.col(f"sketch_{x}"), F.col(f"sketch_{y}")) * (q + p) <= (n + m) * (q - p))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("src").alias("vertex")).union(pairs.select(F.col("dst").alias("vertex"))).distinct()
+
+
+def _sketched(pairs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (src, dst) with sizes and sketches of their ends as sides a and b, and the classes of the ends, stored."""
+    info = stored(classes.join(few(stored(_ends(pairs))), "vertex").select("vertex", "size", "sketch", "least"))
+    for side, end in (("a", "src"), ("b", "dst")):
+        pairs = pairs.join(info.select(F.col("vertex").alias(end), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), end)
+    return pairs, info
+
+
 def alike(pairs: DataFrame, classes: DataFrame, documents: DataFrame, width: int, least: Fraction) -> DataFrame:
     """The pairs (src, dst) of vertices whose sets have a similarity of at least ``least``."""
 
@@ -141,30 +168,34 @@ def alike(pairs: DataFrame, classes: DataFrame, documents: DataFrame, width: int
             out.append(both * least.denominator >= least.numerator * (len(x) + len(y) - both))
         return pd.Series(out, dtype=bool)
 
-    def ends(of: DataFrame) -> DataFrame:
-        return of.select(F.col("src").alias("vertex")).union(of.select(F.col("dst").alias("vertex"))).distinct()
-
-    info = stored(classes.join(few(stored(ends(pairs))), "vertex").select("vertex", "size", "sketch", "least"))
-    for side, end in (("a", "src"), ("b", "dst")):
-        pairs = pairs.join(info.select(F.col("vertex").alias(end), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), end)
+    pairs, info = _sketched(pairs, classes)
     pairs = stored(pairs.where(_may_be_alike("a", "b", least)).select("src", "dst"))
     if pairs.isEmpty():
         return pairs
-    keys = stored(info.join(ends(pairs), "vertex").select("vertex", F.col("least.doc_id").alias("k_doc"), F.col("least.text_key").alias("k_text")))
+    keys = stored(info.join(_ends(pairs), "vertex").select("vertex", F.col("least.doc_id").alias("k_doc"), F.col("least.text_key").alias("k_text")))
     found = listed(documents.select("doc_id", "text"), keys, "inner").groupBy("vertex").agg(F.min("text").alias("text"))
     sets = stored(found.select("vertex", set_of(text_of()).alias("s")))
     sides = [sets.select(F.col("vertex").alias(c), F.col("s").alias(f"{c}_set")) for c in ("src", "dst")]
     return stored(pairs.join(sides[0], "src").join(sides[1], "dst").where(near("src_set", "dst_set")).select("src", "dst"))
 
 
-def shared_elements(sets: DataFrame) -> DataFrame:
+def prefixes_of(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(vertex, prefix), one row a vertex. If few sets have copies, only the rows of these are sent to be made one."""
+    rows = sets.select("vertex", "prefix")
+    copied = classes.where("copies > 1").select("vertex")
+    if copied.limit(FEW_KEYS + 1).count() > FEW_KEYS:
+        return rows.groupBy("vertex").agg(F.first("prefix").alias("prefix"))
+    again = rows.join(F.broadcast(copied), "vertex", "left_semi").groupBy("vertex").agg(F.first("prefix").alias("prefix"))
+    return rows.join(F.broadcast(copied), "vertex", "left_anti").union(again)
+
+
+def shared_elements(sets: DataFrame, classes: DataFrame) -> DataFrame:
     """(token, vertex, place, many) of the prefix elements that two or more sets have, stored.
 
     Elements with the same sets are one row a set: the least place, and how many they are. Such elements come in the same
     order in all of their sets, so the least place is the first common one for every pair of them.
     """
-    prefixes = sets.groupBy("vertex").agg(F.first("prefix").alias("prefix"))
-    tokens = prefixes.select("vertex", F.posexplode("prefix").alias("place", "token"))
+    tokens = prefixes_of(sets, classes).select("vertex", F.posexplode("prefix").alias("place", "token"))
     group = Window.partitionBy("token")
     own = [F.bit_xor(F.xxhash64("vertex", F.lit(seed))).over(group).alias(name) for seed, name in ((1, "one"), (2, "two"))]
     posted = tokens.select("vertex", "place", F.count("*").over(group).alias("n"), *own).where("n > 1")
@@ -210,14 +241,17 @@ def leading_pairs(rows: DataFrame, least: Fraction, member: DataFrame | None = N
 def open_pairs(rows: DataFrame, classes: DataFrame, member: DataFrame, least: Fraction) -> DataFrame:
     """Distinct pairs (src, dst, apart) of sets in different groups that share an element and may be alike.
 
-    Each element's largest group is met by the sets of its others only, so that a large group costs no pairs inside.
+    Each element's largest group is met by the sets of its others only, so that a large group costs no pairs inside. The join by
+    element, in which a set has a row for each of its elements, carries short sketches; whole ones are fetched for its pairs.
     """
-    rest = stored(_open(labelled(rows, member)).join(classes.select("vertex", "sketch"), "vertex"))
+    short = classes.select("vertex", short_sketch(F.col("sketch"), F.col("size")).alias("sketch"))
+    rest = stored(_open(labelled(rows, member)).join(short, "vertex"))
     names = ("vertex", "place", "c", "size", "sketch")
     a, b = (x.select("token", *(F.col(n).alias(f"{n}_{side}") for n in names)) for x, side in ((rest.where("c != most"), "a"), (rest, "b")))
     crossed = a.join(b, "token").where((F.col("c_a") != F.col("c_b")) & _enough("a", "b", least) & _may_be_alike("a", "b", least))
+    pairs, _ = _sketched(stored(crossed.select(F.least("vertex_a", "vertex_b").alias("src"), F.greatest("vertex_a", "vertex_b").alias("dst")).distinct()), classes)
     apart = _bits_apart(F.col("sketch_a"), F.col("sketch_b")) / (F.col("size_a") + F.col("size_b"))
-    return stored(crossed.select(F.least("vertex_a", "vertex_b").alias("src"), F.greatest("vertex_a", "vertex_b").alias("dst"), apart.alias("apart")).distinct())
+    return stored(pairs.where(_may_be_alike("a", "b", least)).select("src", "dst", apart.alias("apart")))
 
 
 def nearest_pairs(pairs: DataFrame) -> DataFrame:
@@ -234,10 +268,10 @@ def _across(pairs: DataFrame, member: DataFrame) -> DataFrame:
 
 
 def distinct_sets(sets: DataFrame) -> DataFrame:
-    """One row per vertex, stored, with the first of its documents as ``least``: doc_id, null last, then text_key."""
+    """One row per vertex, stored, with its number of rows as ``copies`` and the first of its documents as ``least``: doc_id, null last, then text_key."""
     first = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_key")
     # All else follows from the vertex, so any of its rows has the same.
-    return stored(sets.groupBy("vertex").agg(F.min(first).alias("least"), *(F.first(c).alias(c) for c in ("size", "prints", "sketch"))))
+    return stored(sets.groupBy("vertex").agg(F.count("*").alias("copies"), F.min(first).alias("least"), *(F.first(c).alias(c) for c in ("size", "prints", "sketch"))))
 
 
 def first_of_groups(sets: DataFrame, classes: DataFrame, proposed: DataFrame, documents: DataFrame, width: int, least: Fraction) -> DataFrame:
@@ -246,7 +280,7 @@ def first_of_groups(sets: DataFrame, classes: DataFrame, proposed: DataFrame, do
     Groups are the components of the graph of all pairs of sets with a similarity of at least ``least``. Pairs (src, dst)
     that are proposed are compared beside those that the prefix filter finds.
     """
-    rows = weighed(shared_elements(sets), classes)
+    rows = weighed(shared_elements(sets, classes), classes)
     candidates = proposed.union(leading_pairs(rows, least)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     edges = alike(candidates, classes, documents, width, least)
     member = cut(connected_components(edges))

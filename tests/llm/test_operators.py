@@ -7,6 +7,7 @@ import re
 import struct
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -295,6 +296,50 @@ def test_odd_sketches_never_differ_in_more_bits_than_sets_in_elements(spark):
     assert {len(r[1]) != len(r[2]) for r in rows} == {True, False}
 
 
+def test_open_pairs_join_short_sketches_and_lose_no_pair(spark, monkeypatch):
+    """The rows that are joined by element have sketches of at most four thirds of the sets' sizes; the pairs are those of whole ones."""
+    rng = np.random.default_rng(6)
+    sets, token = [], []
+    for k, n in enumerate((1, 20, 100, 150, 190, 500, 1030)):
+        a = rng.integers(0, 2**63, n, dtype=np.uint64)
+        for out, more in ((0, 0), (0, 1), (n // 20, n // 20), (n // 9, 0), (n // 8, n // 8), (n // 4, n // 5), (0, n // 5), (n, n)):
+            sets.append(np.r_[a[out:], rng.integers(0, 2**63, more, dtype=np.uint64)])
+            token.append(k)
+    sketch = [similar.odd_sketch(a) for a in sets]
+    group = [v - v % 8 if v % 8 < 2 else v for v in range(len(sets))]
+    classes = spark.createDataFrame([(v, len(a), sketch[v].tolist(), (False, v, v)) for v, a in enumerate(sets)], "vertex long, size long, sketch array<long>, least struct<absent: boolean, doc_id: long, text_key: long>")
+    rows = spark.createDataFrame([(token[v], v, 0, len(a), 0.5) for v, a in enumerate(sets)], "token long, vertex long, place int, size long, weight double")
+    member = spark.createDataFrame([(v, c) for v, c in enumerate(group)], "vertex long, component long")
+
+    def whole_bits(a, b):
+        least = min(len(a), len(b))
+        return int(np.bitwise_count(np.bitwise_xor.reduce(a.view(np.uint64).reshape(-1, least)) ^ np.bitwise_xor.reduce(b.view(np.uint64).reshape(-1, least))).sum())
+
+    want = set()
+    for x in range(len(sets)):
+        for y in range(x):
+            n, m = len(sets[x]), len(sets[y])
+            if token[x] == token[y] and group[x] != group[y] and 5 * min(n, m) >= 4 * max(n, m) and 9 * whole_bits(sketch[x], sketch[y]) <= n + m:
+                want.add((y, x))
+    tables, write = [], similar.stored
+    monkeypatch.setattr(similar, "stored", lambda df: tables.append(write(df)) or tables[-1])
+    got = similar.open_pairs(rows, classes, member, Fraction("0.8")).collect()
+    joined = [r for t in tables if {"token", "sketch"} <= set(t.columns) for r in t.collect()]
+    assert joined and all(64 * len(r.sketch) <= max(64, 4 * r.size / 3) for r in joined)
+    assert len(got) == len(want) and {(r.src, r.dst) for r in got} == want and 20 < len(want) < 100
+
+
+def test_prefixes_of_copies_are_one_row(spark, monkeypatch):
+    rows = [(v, [v, v + 1]) for v in range(40) for _ in range(1 + 4 * (v % 5 == 0))] + [(99, [])] * 3
+    sets = spark.createDataFrame(rows, "vertex long, prefix array<long>")
+    classes = sets.groupBy("vertex").agg(F.count("*").alias("copies"))
+    want = sorted({(v, tuple(p)) for v, p in rows})
+    few = similar.prefixes_of(sets, classes)
+    assert sorted((r.vertex, tuple(r.prefix)) for r in few.collect()) == want
+    monkeypatch.setattr(similar, "FEW_KEYS", 0)
+    assert sorted((r.vertex, tuple(r.prefix)) for r in similar.prefixes_of(sets, classes).collect()) == want
+
+
 def grams(text):
     w = text.split()
     return set(zip(*(w[i:] for i in range(5)))) if len(w) >= 5 else {tuple(w)}
