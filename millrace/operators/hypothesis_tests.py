@@ -138,24 +138,39 @@ def friedman(df: DataFrame, x: str, block: str, treatment: str) -> DataFrame:
     return _result(df.sparkSession, q, _upper(dist.ChiSquared(k - 1), q), k - 1)
 
 
-def _ranked_sample(df: DataFrame, x: str, most: int) -> list[float]:
-    values = [r[0] for r in df.where(F.col(x).isNotNull()).select(F.col(x).cast("double")).orderBy(x).limit(most + 1).collect()]
-    if len(values) > most:
-        raise ValueError(f"the test is for at most {most} values")
-    return values
+#: Ranks of one value that are taken together.
+RUN = 256
 
 
-def shapiro_wilk(df: DataFrame, x: str, most: int = 5000) -> DataFrame:
-    """The simplified statistic W = (sum z x)^2 / (n SS) with normal scores; for samples of at most ``most`` values, which is checked."""
-    v = np.array(_ranked_sample(df, x, most))
-    n = len(v)
+def _scores(n: int):
+    """For batches of (x, c, at): x times the sum of the normal scores of the c ranks after ``at``, of n."""
+
+    def run(batches):
+        for pdf in batches:
+            c = pdf["c"].to_numpy()
+            ends = np.cumsum(c)
+            rank = np.arange(1, c.sum() + 1) + np.repeat(pdf["at"].to_numpy() - ends + c, c)
+            z = _NORMAL.quantile((rank - 0.375) / (n + 0.25))
+            total = np.concatenate([[0.0], np.cumsum(z)])
+            yield pd.DataFrame({"s": [float(pdf["x"].to_numpy() @ (total[ends] - total[ends - c]))]})
+
+    return run
+
+
+def shapiro_wilk(df: DataFrame, x: str) -> DataFrame:
+    """The simplified statistic W = (sum z x)^2 / (n SS) with normal scores. Ranks come from counts of distinct values, those of a hot value in runs."""
+    v = F.col(x).cast("double")
+    n, mean, var, lo, hi = df.agg(F.count(v), F.avg(v), F.var_pop(v), F.min(v), F.max(v)).first()
     if n < 3:
         raise ValueError("three values at least")
-    z = _NORMAL.quantile((np.arange(1, n + 1) - 0.375) / (n + 0.25))
-    ss = ((v - v.mean()) ** 2).sum()
-    w = min(max((z @ v) ** 2 / (n * ss), 0.0), 1.0) if ss else 1.0
-    score = (1 - w) * math.sqrt(n)
-    return _result(df.sparkSession, w, _normal_two_sided(score), None)
+    if lo == hi:
+        return _result(df.sparkSession, 1.0, 1.0, None)
+    first = F.col("upto") - F.col("c")
+    runs = _ecdf(df.select(v.alias("x")), "x").withColumn("at", F.explode(F.sequence(first, F.col("upto") - 1, F.lit(RUN))))
+    runs = runs.select((F.col("x") - mean).alias("x"), F.least(F.lit(RUN), F.col("upto") - F.col("at")).alias("c"), "at")
+    zx = runs.mapInPandas(_scores(n), "s double").agg(F.sum("s")).first()[0]
+    w = min(max(zx**2 / (n * n * var), 0.0), 1.0)
+    return _result(df.sparkSession, w, _normal_two_sided((1 - w) * math.sqrt(n)), None)
 
 
 def anderson_darling(df: DataFrame, x: str) -> DataFrame:

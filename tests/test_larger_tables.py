@@ -1,5 +1,9 @@
 """What failed on larger tables: statistics, kernels and graphs against plain versions."""
 
+import math
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import hypothesis_tests
@@ -11,3 +15,14 @@ def test_anderson_darling_far_from_normal(spark):
     assert r.statistic > 600 and 0 <= r.p_value < 1e-6
     r = hypothesis_tests.anderson_darling(spark.range(50).withColumn("x", F.lit(3.0)), "x").first()
     assert (r.statistic, r.p_value) == (0.0, 1.0)
+
+
+def test_shapiro_wilk_of_many_values(spark):
+    rows = spark.range(7000).select(F.when(F.col("id") % 3 == 0, 5.0).when(F.col("id") % 7 == 0, None).otherwise(F.sqrt("id")).alias("x"))
+    v = np.array(sorted(r.x for r in rows.collect() if r.x is not None))
+    z = hypothesis_tests._NORMAL.quantile((np.arange(1, len(v) + 1) - 0.375) / (len(v) + 0.25))
+    w = (z @ v) ** 2 / (len(v) * ((v - v.mean()) ** 2).sum())
+    r = hypothesis_tests.shapiro_wilk(rows, "x").first()
+    assert len(v) > 5000 and r.statistic == pytest.approx(w, abs=1e-9)
+    assert r.p_value == pytest.approx(math.erfc((1 - w) * math.sqrt(len(v)) / math.sqrt(2)), abs=1e-6)
+    assert tuple(hypothesis_tests.shapiro_wilk(spark.range(5).select(F.lit(2).alias("x")), "x").first())[:2] == (1.0, 1.0)
