@@ -1,11 +1,14 @@
 """What failed on larger tables: statistics, kernels and graphs against plain versions."""
 
 import math
+import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import kernels as kn
 from millrace.operators import hypothesis_tests
 
 
@@ -26,3 +29,35 @@ def test_shapiro_wilk_of_many_values(spark):
     assert len(v) > 5000 and r.statistic == pytest.approx(w, abs=1e-9)
     assert r.p_value == pytest.approx(math.erfc((1 - w) * math.sqrt(len(v)) / math.sqrt(2)), abs=1e-6)
     assert tuple(hypothesis_tests.shapiro_wilk(spark.range(5).select(F.lit(2).alias("x")), "x").first())[:2] == (1.0, 1.0)
+
+
+def test_kernels_of_long_arrays():
+    rng = random.Random(5)
+
+    def plain_bitonic(a):
+        def rising(a):
+            out = []
+            for i, x in enumerate(a):
+                out.append(1 + max((out[j] for j in range(i) if a[j] < x), default=0))
+            return out
+
+        return max((u + d - 1 for u, d in zip(rising(a), rising(a[::-1])[::-1])), default=0)
+
+    def plain_bins(sizes, capacity):
+        rooms = []
+        for s in sorted(sizes, reverse=True):
+            i = next((i for i, r in enumerate(rooms) if r >= s), None)
+            if i is None:
+                rooms.append(capacity - s)
+            else:
+                rooms[i] -= s
+        return len(rooms)
+
+    for n in [*range(9), *(rng.randrange(60) for _ in range(200))]:
+        a = [rng.randrange(70) for _ in range(n)]
+        assert kn.bitonic(a) == plain_bitonic(a)
+        assert kn.first_fit_decreasing(a, 60) == plain_bins(a, 60)
+    a = [rng.randrange(1, 51) for _ in range(48_000)]
+    began = time.process_time()
+    assert kn.bitonic(a) > 80 and kn.first_fit_decreasing(a, 60) > 15_000
+    assert time.process_time() - began < 20
