@@ -5,11 +5,14 @@ Null values are left out. Float sums depend on the order of partial sums in the
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.sequence import scan
+from millrace.operators.sequence import ranged, scan
+from millrace.plans.storage import cut
 
 Cols = tuple[str, ...] | list[str]
 
@@ -81,17 +84,69 @@ def spearman(df: DataFrame, x: str, y: str, by: Cols = ()) -> DataFrame:
     return pearson(average_rank(average_rank(rows, x, by, "_rx"), y, by, "_ry"), "_rx", "_ry", by)
 
 
-def kendall(df: DataFrame, x: str, y: str, key: str, most: int = 20_000) -> DataFrame:
-    """tau-b over all pairs of at most ``most`` rows, which is checked; pairs tied in both are left out."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, x, y)
-    if rows.limit(most + 1).count() > most:
-        raise ValueError(f"all pairs of more than {most} rows")
-    a, b = rows.alias("a"), rows.alias("b")
-    dx, dy = F.signum(F.col(f"a.{x}") - F.col(f"b.{x}")), F.signum(F.col(f"a.{y}") - F.col(f"b.{y}"))
-    pairs = a.join(b, F.col(f"a.{key}") < F.col(f"b.{key}")).select((dx * dy).alias("s"), dx.alias("dx"), dy.alias("dy"))
-    n = pairs.agg(F.count_if(F.col("s") > 0).alias("concordant"), F.count_if(F.col("s") < 0).alias("discordant"), F.count_if((F.col("dx") == 0) & (F.col("dy") != 0)).alias("tx"), F.count_if((F.col("dy") == 0) & (F.col("dx") != 0)).alias("ty"))
-    both = F.col("concordant") + F.col("discordant")
-    return n.select("concordant", "discordant", F.coalesce(_safe_ratio((F.col("concordant") - F.col("discordant")).cast("double"), F.sqrt((both + F.col("tx")) * (both + F.col("ty")))), F.lit(0.0)).alias("tau"))
+def inversions(rank, weight) -> int:
+    """Weight of the pairs of places of which the earlier has the higher rank (whole numbers from 0), bit by bit of the rank."""
+    import numpy as np
+
+    rank, weight, total = np.asarray(rank, "int64"), np.asarray(weight, "int64"), 0
+    for bit in reversed(range(int(rank.max()).bit_length() if len(rank) else 0)):
+        high, one = rank >> (bit + 1), rank >> bit & 1  # equal high bits lie together, in their order
+        upto = np.cumsum(weight * one)
+        starts = np.flatnonzero(np.concatenate([[True], high[1:] != high[:-1]]))
+        before = np.repeat((upto - weight * one)[starts], np.diff(np.append(starts, len(rank))))
+        total += int((weight * (1 - one) * (upto - before)).sum())
+        order = np.argsort(rank >> bit, kind="stable")
+        rank, weight = rank[order], weight[order]
+    return total
+
+
+def _inversions_within(order_by: list[str], of: str):
+    """A task's inversions of ``of`` among its rows, sorted; ``n`` weighs them."""
+    import numpy as np
+
+    def run(batches):
+        if rows := [b for b in batches if len(b)]:
+            pdf = pd.concat(rows).sort_values(order_by)
+            yield pd.DataFrame({"d": [inversions(np.unique(pdf[of].to_numpy(), return_inverse=True)[1], pdf["n"].to_numpy())]})
+
+    return run
+
+
+def _tied(counts: DataFrame, by: Cols) -> int:
+    """Pairs of rows that are equal in ``by``."""
+    n = counts.groupBy(*by).agg(F.sum("n").alias("n"))
+    return n.agg(F.expr("coalesce(sum(n * (n - 1) div 2), 0)")).first()[0]
+
+
+def _discordant(counts: DataFrame) -> int:
+    """Pairs with x less and y greater, of rows (x, y, n).
+
+    Rows are dealt by (x, y), and a task counts the pairs of its share. For pairs of two shares, rows dealt by y count how many
+    lie in a later share and have a lesser y; beyond that the counts by share of either kind are enough, a few numbers.
+    """
+    by_x = ranged(counts, ["x", "y"]).withColumnRenamed("_part", "share")
+    by_y = ranged(by_x.groupBy("y", "share").agg(F.sum("n").alias("n")), ["y", "share"])
+    inside = by_x.mapInPandas(_inversions_within(["x", "y"], "y"), "d long").union(by_y.mapInPandas(_inversions_within(["y", "share"], "share"), "d long"))
+    cells = sorted(tuple(r) for r in by_y.groupBy("_part", "share").agg(F.sum("n")).collect())  # by partitions, not by rows
+    return (inside.agg(F.sum("d")).first()[0] or 0) + inversions([r[1] for r in cells], [r[2] for r in cells])
+
+
+def kendall(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
+    """tau-b over all pairs of rows of different keys; pairs tied in both are left out. Pairs are counted by order, never listed, but those that share a key."""
+    rows = df.select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y")).dropna()
+    counts = cut(rows.groupBy("x", "y").agg(F.count("*").alias("n")))
+    pairs, both = _tied(counts, []), _tied(counts, ["x", "y"])
+    tx, ty, discordant = _tied(counts, ["x"]) - both, _tied(counts, ["y"]) - both, _discordant(counts)
+    concordant = pairs - both - tx - ty - discordant
+    again = cut(rows.join(rows.groupBy("k").count().where("count > 1"), "k", "left_semi").groupBy("k", "x", "y").agg(F.count("*").alias("n")))
+    if not again.isEmpty():
+        a, b = (again.select("k", *(F.col(c).alias(f"{c}{i}") for c in "xyn")) for i in "ab")
+        dx, dy, n = F.signum(F.col("xa") - F.col("xb")), F.signum(F.col("ya") - F.col("yb")), F.col("na") * F.col("nb")
+        twice = a.join(b, "k").agg(*(F.coalesce(F.sum(F.when(c, n)), F.lit(0)) for c in (dx * dy > 0, dx * dy < 0, (dx == 0) & (dy != 0), (dy == 0) & (dx != 0)))).first()
+        concordant, discordant, tx, ty = (v - t // 2 for v, t in zip((concordant, discordant, tx, ty), twice))
+    size = math.sqrt((concordant + discordant + tx) * (concordant + discordant + ty))
+    tau = min(max((concordant - discordant) / size, -1.0), 1.0) if size else 0.0
+    return df.sparkSession.createDataFrame([(concordant, discordant, tau)], "concordant long, discordant long, tau double")
 
 
 def covariance_matrix(df: DataFrame, columns: Cols) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import kernels as kn
-from millrace.operators import hypothesis_tests
+from millrace.operators import hypothesis_tests, statistics
 
 
 def test_anderson_darling_far_from_normal(spark):
@@ -61,3 +61,31 @@ def test_kernels_of_long_arrays():
     began = time.process_time()
     assert kn.bitonic(a) > 80 and kn.first_fit_decreasing(a, 60) > 15_000
     assert time.process_time() - began < 20
+
+
+def test_kendall_of_many_rows(spark):
+    rng = random.Random(7)
+    for n, most, keys in ((0, 5, 9), (1, 5, 9), (60, 4, 1000), (400, 30, 150), (400, 1000, 10**9)):
+        rows = [(rng.randrange(keys), rng.randrange(most), rng.choice([None, *map(float, range(most))])) for _ in range(n)]
+        got = statistics.kendall(spark.createDataFrame(rows, "k long, x long, y double").repartition(5), "x", "y", "k").first()
+        pairs = [(b[1] - a[1], b[2] - a[2]) for a in rows for b in rows if a[0] < b[0] and a[2] is not None and b[2] is not None]
+        up, down = sum(p * q > 0 for p, q in pairs), sum(p * q < 0 for p, q in pairs)
+        size = math.sqrt((up + down + sum(p == 0 != q for p, q in pairs)) * (up + down + sum(q == 0 != p for p, q in pairs)))
+        assert tuple(got) == (up, down, pytest.approx((up - down) / size if size else 0.0))
+    n = 30_000
+    rows = spark.range(n).select("id", (F.col("id") * 7 % n).alias("x"), (F.col("id") * 11 % n).alias("y"))
+    x, y = (np.arange(n) * 7 % n, np.arange(n) * 11 % n)
+    up = sum(int(((x[i] - x[:i]) * (y[i] - y[:i]) > 0).sum()) for i in range(n))
+    assert tuple(statistics.kendall(rows, "x", "y", "id").first())[:2] == (up, n * (n - 1) // 2 - up)
+
+
+def test_kendall_over_several_shares(spark):
+    counts = spark.createDataFrame([(i % 50, i * 37 % 101, 1 + i % 3) for i in range(5000)], "x long, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n"))
+    rows = counts.collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = statistics._discordant(counts)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    x, y, w = (np.array([r[c] for r in rows]) for c in ("x", "y", "n"))
+    assert got == sum(int((w[i] * w[(x < x[i]) & (y > y[i])]).sum()) for i in range(len(rows)))
