@@ -276,51 +276,138 @@ def _kernel(edges: DataFrame, run: Callable, schema: str, most: int) -> DataFram
     return e.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda k, pdf: pd.DataFrame(run(sorted(pdf[["src", "dst", "w"]].itertuples(index=False, name=None))), columns=names), schema)
 
 
-def _low_points(rows):
-    """Bridges and cut vertices of an undirected graph, by one depth-first walk without recursion."""
-    near: dict = {}
-    for i, (a, b, _) in enumerate(rows):
-        near.setdefault(a, []).append((b, i))
-        near.setdefault(b, []).append((a, i))
-    order, low, bridges, cuts, clock = {}, {}, [], set(), 0
-    for root in sorted(near):
-        if root in order:
+#: Edges that one task reduces to forests.
+SHARE = 500_000
+
+
+def _arcs(pdf):
+    """Vertices of rows (u, v), and by the vertex's number where its arcs start, where they lead and the row of each; eight bytes a number."""
+    from array import array
+
+    import numpy as np
+
+    ids, code = np.unique(np.concatenate([pdf["u"].to_numpy(), pdf["v"].to_numpy()]), return_inverse=True)
+    m = len(pdf)
+    back, row = np.concatenate([code[m:], code[:m]]), np.tile(np.arange(m), 2)
+    by = np.argsort(code, kind="stable")
+    return ids, *(array("q", x.astype("int64").tobytes()) for x in (np.searchsorted(code[by], np.arange(len(ids) + 1)), back[by], row[by]))
+
+
+def _whole(batches):
+    import pandas as pd
+
+    rows = [b for b in batches if len(b)]
+    return pd.concat(rows, ignore_index=True) if rows else None
+
+
+def _two_forests(batches):
+    """Of a task's edges a breadth-first forest and a forest of the rest.
+
+    They do for bridges and cut vertices, whatever edges are added: without any one vertex, or any one edge, the two forests
+    connect the same vertices as all edges do (Eppstein, Galil, Italiano, Nissenzweig: Sparsification, 1997).
+    """
+    import numpy as np
+
+    if (pdf := _whole(batches)) is None:
+        return
+    ids, start, to, row = _arcs(pdf)
+    kept, seen, up = bytearray(len(pdf)), bytearray(len(ids)), list(range(len(ids)))
+    for root in range(len(ids)):
+        layer = [] if seen[root] else [root]
+        seen[root] = 1
+        while layer:
+            after = []
+            for x in layer:
+                for k in range(start[x], start[x + 1]):
+                    if not seen[to[k]]:
+                        seen[to[k]] = kept[row[k]] = 1
+                        after.append(to[k])
+            layer = after
+    first = bytes(kept)
+
+    def top(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for x in range(len(ids)):
+        for k in range(start[x], start[x + 1]):
+            if not first[row[k]] and (a := top(x)) != (b := top(to[k])):
+                up[a] = b
+                kept[row[k]] = 1
+    yield pdf[np.frombuffer(kept, "bool")]
+
+
+def _low_points(batches):
+    """Bridges and cut vertices by one depth-first walk without recursion."""
+    from array import array
+
+    import numpy as np
+    import pandas as pd
+
+    if (pdf := _whole(batches)) is None:
+        return
+    ids, start, to, row = _arcs(pdf)
+    n, clock, bridges = len(ids), 0, []
+    order, low, parent, via = (array("q", [x]) * n for x in (0, 0, -1, -1))
+    at, cuts = start[:-1], bytearray(n)
+    for root in range(n):
+        if order[root]:
             continue
         order[root] = low[root] = clock = clock + 1
-        stack, kids = [(root, -1, iter(sorted(near[root])))], 0
-        while stack:
-            v, via, it = stack[-1]
-            for u, e in it:
-                if e == via:
+        x, kids = root, 0
+        while True:
+            if (k := at[x]) < start[x + 1]:
+                at[x] = k + 1
+                y = to[k]
+                if row[k] == via[x]:
                     continue
-                if u in order:
-                    low[v] = min(low[v], order[u])
+                if order[y]:
+                    low[x] = min(low[x], order[y])
                 else:
-                    order[u] = low[u] = clock = clock + 1
-                    stack.append((u, e, iter(sorted(near[u]))))
-                    break
+                    order[y] = low[y] = clock = clock + 1
+                    via[y], parent[y], x = row[k], x, y
+            elif (p := parent[x]) >= 0:
+                low[p] = min(low[p], low[x])
+                if low[x] > order[p]:
+                    bridges.append(via[x])
+                if p == root:
+                    kids += 1
+                elif low[x] >= order[p]:
+                    cuts[p] = 1
+                x = p
             else:
-                stack.pop()
-                if stack:
-                    p = stack[-1][0]
-                    low[p] = min(low[p], low[v])
-                    if low[v] > order[p]:
-                        bridges.append((min(p, v), max(p, v)))
-                    if p == root:
-                        kids += 1
-                    elif low[v] >= order[p]:
-                        cuts.add(p)
+                break
         if kids > 1:
-            cuts.add(root)
-    return sorted(bridges), sorted(cuts)
+            cuts[root] = 1
+    found = pdf.iloc[bridges]
+    found = found[~found["twice"]]
+    at = ids[np.frombuffer(cuts, "bool")]
+    yield pd.DataFrame({"src": found["u"], "dst": found["v"], "kind": "bridge"})
+    yield pd.DataFrame({"src": at, "dst": at, "kind": "cut"})
+
+
+def weak_points(edges: DataFrame) -> DataFrame:
+    """Bridges (src < dst) and cut vertices (src = dst) of an undirected graph, told apart by ``kind``. Loops are nothing, a repeated edge is no bridge.
+
+    Tasks reduce their edges to two forests each, in rounds over ever fewer shares; one task walks what is left, which is two
+    edges a vertex at most. Any number of edges will do, but the vertices must fit that task.
+    """
+    e = edges.select(F.least("src", "dst").cast("long").alias("u"), F.greatest("src", "dst").cast("long").alias("v"), F.isnull("src").alias("_a"), F.isnull("dst").alias("_b")).where("not _a and not _b and u != v")
+    e = cut(e.groupBy("u", "v").agg((F.count("*") > 1).alias("twice")))
+    shares = -(-e.count() // SHARE)
+    while shares > 1:
+        e = cut(e.repartitionByRange(shares, "u", "v").mapInPandas(_two_forests, "u long, v long, twice boolean"))
+        shares = -(-shares // 8)
+    return e.repartition(1).mapInPandas(_low_points, "src long, dst long, kind string")
 
 
-def bridges(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
-    return _kernel(edges, lambda rows: _low_points(rows)[0], "src long, dst long", most)
+def bridges(edges: DataFrame) -> DataFrame:
+    return weak_points(edges).where("kind = 'bridge'").select("src", "dst")
 
 
-def cut_vertices(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
-    return _kernel(edges, lambda rows: [(v,) for v in _low_points(rows)[1]], "id long", most)
+def cut_vertices(edges: DataFrame) -> DataFrame:
+    return weak_points(edges).where("kind = 'cut'").select(F.col("src").alias("id"))
 
 
 def max_flow_of(rows, source, sink) -> float:

@@ -86,7 +86,7 @@ def _(t):
 @R.add("bridges_and_cuts", "WITH e AS (SELECT p_partkey b, p_partkey // 2 a FROM part WHERE p_partkey > 0) SELECT a AS src, b AS dst, 'bridge' AS kind FROM e UNION ALL SELECT v, v, 'cut' FROM (SELECT a v FROM e UNION ALL SELECT b FROM e) GROUP BY v HAVING count(*) > 1")
 def _(t):
     p = t.part.where("p_partkey > 0").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).alias("dst"))
-    return g.bridges(p).withColumn("kind", F.lit("bridge")).unionByName(g.cut_vertices(p).select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit("cut").alias("kind")))
+    return g.weak_points(p)
 
 
 @R.add("max_flow")

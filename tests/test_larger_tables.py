@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import kernels as kn
-from millrace.operators import hypothesis_tests, lookup, statistics
+from millrace.operators import graph, hypothesis_tests, lookup, statistics
 
 
 def test_anderson_darling_far_from_normal(spark):
@@ -106,3 +106,54 @@ def test_closest_pair_lists_and_broadcasts_no_points(spark):
     copies = spark.range(20_000).select("id", (F.col("id") % 2).cast("double").alias("x"), F.lit(0.0).alias("y"))
     found = lookup.closest_pair(copies, "id", "x", "y")
     assert tuple(found.first()) == (0, 2, 0.0) and "power" not in plan(found).lower() and "Broadcast" not in plan(found)
+
+
+def _parts(vertices, edges):
+    up = {v: v for v in vertices}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        up[top(a)] = top(b)
+    return sum(up[v] == v for v in vertices)
+
+
+def _weak(edges):
+    vertices = {v for e in edges for v in e}
+    n = _parts(vertices, edges)
+    bridges = [(min(e), max(e), "bridge") for i, e in enumerate(edges) if _parts(vertices, edges[:i] + edges[i + 1 :]) > n]
+    cuts = [(v, v, "cut") for v in vertices if _parts(vertices - {v}, [e for e in edges if v not in e]) > n]
+    return sorted(bridges + cuts)
+
+
+def test_weak_points_of_forests_are_those_of_the_graph():
+    import pandas as pd
+
+    rng = random.Random(11)
+    for _ in range(400):
+        n = rng.randrange(2, 12)
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(1, 26))]
+        count = {}
+        for a, b in edges:
+            if a != b:
+                count[min(a, b), max(a, b)] = count.get((min(a, b), max(a, b)), 0) + 1
+        pdf = pd.DataFrame([(*e, c > 1) for e, c in count.items()], columns=["u", "v", "twice"]).astype({"u": "int64", "v": "int64", "twice": "bool"})
+        walk = lambda f: sorted(r for x in graph._low_points([f]) for r in x.itertuples(index=False, name=None))
+        assert walk(pdf) == _weak(edges)
+        shares = [x for k in range(3) for x in graph._two_forests([pdf[pdf.index % 3 == k].reset_index(drop=True)])]
+        if shares:
+            less = pd.concat(shares)
+            assert len(less) <= len(pdf) and walk(less) == _weak(edges)
+
+
+def test_bridges_of_more_than_a_million_edges(spark):
+    n = 600_000
+    ring = spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"))
+    spokes = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + n).alias("dst"))
+    chord = spark.createDataFrame([(n, 2 * n), (n, 2 * n), (3 * n, 3 * n), (None, 1), (0, n)], "src long, dst long")
+    e = ring.union(spokes).union(chord)
+    assert graph.bridges(e).agg(F.count("*"), F.min("src"), F.max("dst")).first() == (n - 1, 1, 2 * n - 1)
+    assert graph.cut_vertices(e).agg(F.count("*"), F.min("id"), F.max("id")).first() == (n + 1, 0, n)
