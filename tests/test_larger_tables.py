@@ -157,3 +157,21 @@ def test_bridges_of_more_than_a_million_edges(spark):
     e = ring.union(spokes).union(chord)
     assert graph.bridges(e).agg(F.count("*"), F.min("src"), F.max("dst")).first() == (n - 1, 1, 2 * n - 1)
     assert graph.cut_vertices(e).agg(F.count("*"), F.min("id"), F.max("id")).first() == (n + 1, 0, n)
+
+
+def test_overlaps_of_crowded_cells(spark, monkeypatch):
+    rng = random.Random(13)
+    sides = [[(i, lo := rng.randrange(200) / 2, lo + rng.randrange(30)) for i in range(150)] for _ in range(2)]
+    expected = sorted((a[0], b[0]) for a in sides[0] for b in sides[1] if a[1] <= b[2] and b[1] <= a[2])
+    a, b = (spark.createDataFrame(rows, f"{k} long, {k}lo double, {k}hi double") for k, rows in zip("ab", sides))
+    whole = lookup.overlaps(a, b, "alo", "ahi", "blo", "bhi", 20.0)
+    assert whole.columns == ["a", "alo", "ahi", "b", "blo", "bhi"]
+    assert sorted((r.a, r.b) for r in whole.collect()) == expected
+    monkeypatch.setattr(lookup, "PAIRS", 500)
+    monkeypatch.setattr(lookup, "BLOCK", 7)
+    assert sorted((r.a, r.b) for r in lookup.overlaps(a, b, "alo", "ahi", "blo", "bhi", 20.0).collect()) == expected
+    monkeypatch.undo()
+    n = 6000
+    a, b = (spark.range(0, n, 1, 1).select(F.col("id").alias(k), F.lit(0.0).alias(f"{k}lo"), F.lit(1.0).alias(f"{k}hi")) for k in "ab")
+    crowded = lookup.overlaps(a, b, "alo", "ahi", "blo", "bhi", 20.0)
+    assert crowded.rdd.getNumPartitions() > 1 and crowded.count() == n * n
